@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanguard.functions.offsets import WHITE_SPACE
@@ -350,8 +351,6 @@ def rule_violations(rules: DataFrame) -> DataFrame:
     """One row (id, violation) per broken rule, found on the executors."""
 
     def check(batches):
-        import pandas as pd
-
         for batch in batches:
             found = [
                 (r.id, problem)

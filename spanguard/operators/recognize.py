@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanguard.functions import checks
+from spanguard.functions.frames import exploded
 from spanguard.functions.offsets import candidates
 from spanguard.functions.sqlx import each, empty, keep, lit, struct
 from spanguard.operators.merge import arbitrated
@@ -194,19 +195,10 @@ def detect(df: DataFrame, text: str = "text", recognizers: Recognizers | None =
     """Scan a corpus: one row per accepted hit, with the columns of ``df`` other than the text."""
     found = (recognizers or Recognizers()).with_hits(df, text, "hits")
     kept = [c for c in df.columns if c != text]
-    # explode_outer and a filter behind it: a filter in front would make the scan run twice per text.
-    return (
-        found.select(*kept, F.explode_outer("hits").alias("hit"))
-        .where(F.col("hit").isNotNull())
-        .select(*kept, "hit.*")
-    )
+    return exploded(found, kept, "hits", "hit").select(*kept, "hit.*")
 
 
 def recognized(df: DataFrame, text: str, hits: str) -> DataFrame:
     """One row per hit of a single recognizer given as SQL text (see ``email_hits`` and its siblings)."""
     kept = [c for c in df.columns if c != text]
-    return (
-        df.select(*kept, F.explode_outer(F.expr(hits)).alias("hit"))
-        .where(F.col("hit").isNotNull())
-        .select(*kept, "hit.*")
-    )
+    return exploded(df, kept, F.expr(hits), "hit").select(*kept, "hit.*")

@@ -249,11 +249,3 @@ def redact(df: DataFrame, policy: Policy, text: str = "text", hits: str = "hits"
         .drop("_outcome")
     )
 
-
-def with_rows_where(df: DataFrame, condition) -> DataFrame:
-    """Filter on a computed column without letting the filter slide below it and run the computation twice."""
-    return (
-        df.withColumn("_keep", F.explode_outer(F.when(condition, F.array(F.lit(True)))))
-        .where(F.col("_keep").isNotNull())
-        .drop("_keep")
-    )

@@ -9,8 +9,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from spanguard.functions.frames import exploded
 from spanguard.functions.offsets import quoted, window_starts
 from spanguard.functions.sqlx import each, empty, keep, let, lit, struct
 from spanguard.operators.policy import Registration, decision_priority, keyword_rules
@@ -114,12 +116,11 @@ def with_registered_hits(
     shipped = df.sparkSession.sparkContext.broadcast(listed)
 
     @F.pandas_udf(f"array<{HIT}>")
-    def search(texts):
+    def search(texts: pd.Series) -> pd.Series:
         patterns = shipped.value
         machine = _automaton(tuple(p[0] for p in patterns))
         return texts.map(lambda t: _scan_registered(t, patterns, machine) if t else [], na_action="ignore")
 
-    search.__annotations__ = {}
     return df.withColumn(output, search(F.col(text)))
 
 
@@ -134,12 +135,8 @@ def _has_automaton() -> bool:
 def registered_hits(df: DataFrame, registrations: Sequence[Registration], text: str = "text") -> DataFrame:
     """One row per occurrence of a registered text."""
     kept = [c for c in df.columns if c != text]
-    return (
-        with_registered_hits(df, text, "_hits", registrations)
-        .select(*kept, F.explode_outer("_hits").alias("hit"))
-        .where(F.col("hit").isNotNull())
-        .select(*kept, "hit.*")
-    )
+    found = with_registered_hits(df, text, "_hits", registrations)
+    return exploded(found, kept, "_hits", "hit").select(*kept, "hit.*")
 
 
 # ---------------------------------------------------------------------------------------------------------------
