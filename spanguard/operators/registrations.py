@@ -100,17 +100,28 @@ def _scan_registered(text: str, registrations: tuple[tuple[str, str, bool], ...]
 
 
 def with_registered_hits(
-    df: DataFrame, text: str, output: str, registrations: Sequence[Registration], native_limit: int = NATIVE_LIMIT
+    df: DataFrame,
+    text: str,
+    output: str,
+    registrations: Sequence[Registration],
+    native_limit: int = NATIVE_LIMIT,
+    nested: bool = False,
 ) -> DataFrame:
-    """Add ``output``: the hits of all registrations, in their order and then by position."""
+    """Add ``output``: the hits of all registrations, in their order and then by position.
+
+    With ``nested`` the input column is an array of texts and the output has one hit array for each.
+    """
+
+    def per_text(hits_sql) -> DataFrame:
+        return df.withColumn(output, F.expr(each(f"`{text}`", hits_sql) if nested else hits_sql(f"`{text}`")))
+
     if not registrations:
-        return df.withColumn(output, F.expr(empty(HIT)))
+        return per_text(lambda t: empty(HIT))
     total = sum(len(r.text) for r in registrations)
     if total > MAX_PATTERN_CHARACTERS:
         raise ValueError(f"registered texts hold {total} characters; at most {MAX_PATTERN_CHARACTERS} can be shipped")
     if len(registrations) <= native_limit or not _has_automaton():
-        parts = ", ".join(registration_hits(f"`{text}`", r) for r in registrations)
-        return df.withColumn(output, F.expr(f"concat({parts})"))
+        return per_text(lambda t: f"concat({', '.join(registration_hits(t, r) for r in registrations)})")
 
     listed = tuple((r.text, r.group, r.case_sensitive) for r in registrations)
     shipped = df.sparkSession.sparkContext.broadcast(listed)
@@ -121,7 +132,13 @@ def with_registered_hits(
         machine = _automaton(tuple(p[0] for p in patterns))
         return texts.map(lambda t: _scan_registered(t, patterns, machine) if t else [], na_action="ignore")
 
-    return df.withColumn(output, search(F.col(text)))
+    @F.pandas_udf(f"array<array<{HIT}>>")
+    def search_all(lists: pd.Series) -> pd.Series:
+        patterns = shipped.value
+        machine = _automaton(tuple(p[0] for p in patterns))
+        return lists.map(lambda texts: [_scan_registered(t, patterns, machine) for t in texts], na_action="ignore")
+
+    return df.withColumn(output, (search_all if nested else search)(F.col(text)))
 
 
 def _has_automaton() -> bool:

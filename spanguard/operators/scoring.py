@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from spanguard.functions.content import scoring_text
 from spanguard.functions.frames import exploded
@@ -27,6 +27,10 @@ class Scorer(Protocol):
 
     def with_hits(self, df: DataFrame, text: str, output: str) -> DataFrame: ...
 
+    def with_nested_hits(self, df: DataFrame, texts: str, output: str) -> DataFrame:
+        """The same for a column of ``array<string>``; output is ``array<array<HIT>>``."""
+        ...
+
 
 @dataclass(frozen=True)
 class LexiconScorer:
@@ -50,7 +54,10 @@ class LexiconScorer:
         return f"concat({', '.join(parts)})" if parts else empty(HIT)
 
     def with_hits(self, df: DataFrame, text: str, output: str) -> DataFrame:
-        return _on_scoring_text(df, text, output, self.hits_sql)
+        return df.withColumn(output, F.expr(_on_scoring_text(f"`{text}`", self.hits_sql)))
+
+    def with_nested_hits(self, df: DataFrame, texts: str, output: str) -> DataFrame:
+        return df.withColumn(output, F.expr(each(f"`{texts}`", lambda t: _on_scoring_text(t, self.hits_sql))))
 
 
 @dataclass(frozen=True)
@@ -65,11 +72,14 @@ class PatternScorer:
         return f"concat({', '.join(parts)})" if parts else empty(HIT)
 
     def with_hits(self, df: DataFrame, text: str, output: str) -> DataFrame:
-        return _on_scoring_text(df, text, output, self.hits_sql)
+        return df.withColumn(output, F.expr(_on_scoring_text(f"`{text}`", self.hits_sql)))
 
+    def with_nested_hits(self, df: DataFrame, texts: str, output: str) -> DataFrame:
+        return df.withColumn(output, F.expr(each(f"`{texts}`", lambda t: _on_scoring_text(t, self.hits_sql))))
 
-def _on_scoring_text(df: DataFrame, text: str, output: str, hits_sql) -> DataFrame:
-    return df.withColumn(output, F.expr(let(scoring_text(f"`{text}`"), hits_sql)))
+
+def _on_scoring_text(text: str, hits_sql) -> str:
+    return let(scoring_text(text), hits_sql)
 
 
 #: What a loaded model does: a list of texts in, one list of (category, score, start, end) per text out.
@@ -94,15 +104,31 @@ class ModelScorer:
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
-                listed = texts.tolist()
-                results = model(listed) if listed else []
-                if len(results) != len(listed):
-                    raise ValueError(f"scorer returned {len(results)} results for {len(listed)} texts")
-                yield pd.Series([_checked(t, r) for t, r in zip(listed, results)], index=texts.index, dtype=object)
+                yield pd.Series(_scored(model, texts.tolist()), index=texts.index, dtype=object)
 
         ready = df.withColumn(f"{output}__text", F.expr(scoring_text(f"`{text}`")))
         return ready.withColumn(output, score(F.col(f"{output}__text"))).drop(f"{output}__text")
 
+    def with_nested_hits(self, df: DataFrame, texts: str, output: str) -> DataFrame:
+        load = self.load
+
+        @F.pandas_udf(f"array<array<{HIT}>>")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for lists in batches:
+                flat = iter(_scored(model, [t for texts in lists for t in texts]))
+                yield pd.Series([[next(flat) for _ in texts] for texts in lists], index=lists.index, dtype=object)
+
+        ready = df.withColumn(f"{output}__text", F.expr(each(f"`{texts}`", scoring_text)))
+        return ready.withColumn(output, score(F.col(f"{output}__text"))).drop(f"{output}__text")
+
+
+def _scored(model: BatchModel, texts: list[str]) -> list[list[tuple]]:
+    results = model(texts) if texts else []
+    if len(results) != len(texts):
+        raise ValueError(f"scorer returned {len(results)} results for {len(texts)} texts")
+    return [_checked(t, r) for t, r in zip(texts, results)]
+
 
 def _checked(text: str, hits: Sequence[tuple[str, float, int, int]]) -> list[tuple]:
     raw, checked = text.encode(), []
@@ -235,15 +261,3 @@ def hits_column(df: DataFrame, scorer: Scorer | None, text: str, output: str) ->
         return df.withColumn(output, F.expr(empty(HIT)))
     return scorer.with_hits(df, text, output)
 
-
-def column_scorer(identity: str, hits: Callable[[Column], Column]) -> Scorer:
-    """A scorer from a function of the (image-free) text column to a column of ``array<HIT>``."""
-
-    class _Column:
-        def with_hits(self, df: DataFrame, text: str, output: str) -> DataFrame:
-            ready = df.withColumn(f"{output}__text", F.expr(scoring_text(f"`{text}`")))
-            return ready.withColumn(output, hits(F.col(f"{output}__text"))).drop(f"{output}__text")
-
-    scorer = _Column()
-    scorer.identity = identity
-    return scorer
