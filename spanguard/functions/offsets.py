@@ -132,7 +132,7 @@ def trimmed(raw: str, start: str, end: str) -> str:
     return let(cut(raw, start, end), inner)
 
 
-def _run_length(window, pattern: str, sizes: tuple[int | None, ...] = (64, 4096, 262144, None)) -> str:
+def _run_length(window, pattern: str, sizes: tuple[int | None, ...] = (64, 16384, None)) -> str:
     """Length of an ASCII run at one end; looks at a short window first and widens only while the run fills it."""
     size, rest = sizes[0], sizes[1:]
     length = f"octet_length(regexp_extract({window(size)}, {lit(pattern)}, 0))"

@@ -36,14 +36,17 @@ def redact_requests(
     registered = with_registered_hits(scored, "_texts", "_registered", policy.registrations(), nested=True)
     closed = (recognizers or Recognizers()).authoritative()
 
-    def per_field(t: str, i: str) -> str:
-        merged = let(
-            arbitrated_hits(t), lambda certain: f"concat({combined(certain, f'get(_scored, {i})', closed)}, get(_registered, {i}))"
-        )
-        return let(merged, lambda hits: outcome(t, hits, policy))
+    # One step per column: the analyzer resolves nested lambdas one level per pass, and gives up after a hundred.
+    certain = registered.withColumn("_found", F.expr(each("_texts", builtin_hits))).withColumn(
+        "_certain", F.expr(each("_found", arbitrated))
+    )
+
+    def merged(c: str, i: str) -> str:
+        return f"concat({combined(c, f'get(_scored, {i})', closed)}, get(_registered, {i}))"
 
-    judged = registered.withColumn(
-        "outcomes", F.expr(f"cast({each_indexed('_texts', per_field)} as array<{OUTCOME}>)")
+    judged = certain.withColumn("_hits", F.expr(each_indexed("_certain", merged))).withColumn(
+        "outcomes",
+        F.expr(f"cast({each_indexed('_texts', lambda t, i: outcome(t, f'_hits[{i}]', policy))} as array<{OUTCOME}>)"),
     )
     changed = keep(
         each_indexed(
@@ -64,15 +67,11 @@ def redact_requests(
         judged.withColumn("replacements", F.expr(f"cast({replaced} as array<{FIELD}>)"))
         .withColumn("released", count_of("release"))
         .withColumn("redacted", count_of("redact"))
-        .drop("_texts", "_scored", "_registered")
+        .drop("_texts", "_scored", "_registered", "_found", "_certain", "_hits")
     )
     return apply_replacements(counted), quarantine
 
 
-def arbitrated_hits(text: str) -> str:
-    return let(builtin_hits(text), arbitrated)
-
-
 def request_pool(processed: DataFrame, created_at: Column, already_audited: Column | None = None) -> DataFrame:
     """Audit rows of processed requests: one per field with spans.
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanguard.operators.policy import Policy, Rule, all_of, any_of, builtin_policy, entity, keyword, operator_rule
 from spanguard.operators.scoring import LexiconScorer, PatternScorer
 from spanguard.plans.pipeline import pool_rows, run_pipeline, fragments as fragment_rows, spans as span_rows
 from spanguard.schemas import FORMATS
-from spanguard.sources.tables import read_corpus, read_table
+from spanguard.sources.tables import read_corpus, read_table, spread
 
 #: Stand-in for a model: (category, score, pattern).  The secret pattern sees only part of a longer token.
 SCORER = PatternScorer(
@@ -57,7 +57,7 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
 
 def document_fragments(spark: SparkSession, directory: str) -> DataFrame:
     """Documents as judged texts: where they came from and when."""
-    table = read_table(spark, directory, "documents")
+    table = spread(read_table(spark, directory, "documents"), "doc_id")
     return table.select(
         F.concat(F.lit("f"), "doc_id").alias("id"),
         F.concat(F.lit("req-"), F.col("doc_id") % 97).alias("request_id"),
@@ -79,6 +79,11 @@ def fragments_and_spans(spark: SparkSession, directory: str) -> tuple[DataFrame,
     return fragment_rows(pool), span_rows(pool)
 
 
+def event_millis() -> Column:
+    """Event time as unix milliseconds; the table has no time zone, so none may enter here."""
+    return F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+
 def event_requests(spark: SparkSession, directory: str) -> DataFrame:
     """Events as request outcomes."""
     duration = F.round(F.col("value") * 100).cast("bigint")
@@ -94,7 +99,7 @@ def event_requests(spark: SparkSession, directory: str) -> DataFrame:
         F.concat(F.lit("r"), "event_id").alias("request_id"),
         F.when(F.col("event_type") != "error", F.concat(F.lit("p"), F.col("user_id") % 5)).alias("provider_id"),
         F.element_at(F.array(*map(F.lit, FORMATS)), (F.col("event_id") % 3 + 1).cast("int")).alias("api_format"),
-        F.unix_millis("ts").alias("started_at"),
+        event_millis().alias("started_at"),
         duration.alias("duration_ms"),
         F.expr("event_id % 17").alias("queue_ms"),
         F.floor(duration / 3).cast("bigint").alias("inference_ms"),
@@ -104,7 +109,7 @@ def event_requests(spark: SparkSession, directory: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("upstream")).alias("error_kind"),
         F.when(F.col("event_type") == "click", sample).alias("model_performance_json"),
         F.col("event_id").alias("seq"),
-        "ts",
+        F.timestamp_millis(event_millis()).alias("ts"),
         "user_id",
         "event_type",
     )
@@ -131,7 +136,7 @@ def _json(column: str) -> str:
 
 
 def _bodies(spark: SparkSession, directory: str, prefix: str, path: str, api_format: str, body: str) -> DataFrame:
-    return read_table(spark, directory, "documents").select(
+    return spread(read_table(spark, directory, "documents"), "doc_id").select(
         F.concat(F.lit(prefix), "doc_id").alias("request_id"),
         F.lit(path).alias("path"),
         F.lit(api_format).alias("api_format"),

@@ -19,10 +19,22 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work where a small input comes in fewer splits than there are cores.
+
+    Text work is CPU-bound, and a file with one row group is one task.  Large inputs have more splits than cores and
+    stay as they are: their texts are never shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(2 * cores, key) if splits < cores else df
+
+
 def read_corpus(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Keys and ``text`` of a text table."""
     keys, text = CORPORA[name]
-    return read_table(spark, directory, name).select(*keys, F.col(text).alias("text"))
+    return spread(read_table(spark, directory, name), keys[0]).select(*keys, F.col(text).alias("text"))
 
 
 def read_fragments(spark: SparkSession, path: str) -> DataFrame:
