@@ -6,8 +6,7 @@ an automaton in an Arrow batch function, because one pass per registration would
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -68,7 +67,6 @@ def _fold(character: str) -> str:
     return "σ" if lowered == "ς" else lowered
 
 
-@functools.lru_cache(maxsize=4)
 def _automaton(texts: tuple[str, ...]):
     import ahocorasick
 
@@ -127,16 +125,18 @@ def with_registered_hits(
     shipped = df.sparkSession.sparkContext.broadcast(listed)
 
     @F.pandas_udf(f"array<{HIT}>")
-    def search(texts: pd.Series) -> pd.Series:
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         patterns = shipped.value
         machine = _automaton(tuple(p[0] for p in patterns))
-        return texts.map(lambda t: _scan_registered(t, patterns, machine) if t else [], na_action="ignore")
+        for texts in batches:
+            yield texts.map(lambda t: _scan_registered(t, patterns, machine), na_action="ignore")
 
     @F.pandas_udf(f"array<array<{HIT}>>")
-    def search_all(lists: pd.Series) -> pd.Series:
+    def search_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         patterns = shipped.value
         machine = _automaton(tuple(p[0] for p in patterns))
-        return lists.map(lambda texts: [_scan_registered(t, patterns, machine) for t in texts], na_action="ignore")
+        for lists in batches:
+            yield lists.map(lambda texts: [_scan_registered(t, patterns, machine) for t in texts], na_action="ignore")
 
     return df.withColumn(output, (search_all if nested else search)(F.col(text)))
 
