@@ -71,6 +71,24 @@ def _is_number(v: str) -> str:
     return f"coalesce(schema_of_variant({v}) rlike '^(BIGINT|DOUBLE|FLOAT|DECIMAL)', false)"
 
 
+def strict_json(text: str) -> str:
+    """SQL: the text as VARIANT, null unless it is exactly one JSON value.
+
+    Spark's parser stops after the first value and ignores what follows.  Inside an object inside an array, nothing can
+    follow the value without breaking one of them, or showing up as a second key or item.
+    """
+
+    def alone(w: str) -> str:
+        keys = f"map_keys(cast(try_variant_get({w}, '$[0]', 'variant') as map<string, variant>))"
+        return (
+            f"if(size({_items(w)}) = 1 and size({keys}) = 1,"
+            f" try_variant_get({w}, '$[0].v', 'variant'), null)"
+        )
+
+    wrapped = f"try_parse_json(concat({lit('[{' + chr(34) + 'v' + chr(34) + ':')}, {text}, {lit('}]')}))"
+    return let(wrapped, lambda w: f"if({w} is null, null, {alone(w)})")
+
+
 def _field(pointer: str, text: str) -> str:
     return f"named_struct('pointer', {pointer}, 'text', {text}, 'envelope', cast(null as string))"
 
@@ -101,7 +119,7 @@ def unpacked(fields: str) -> str:
 
     def one(f: str) -> str:
         return let(
-            f"try_parse_json({f}.text)",
+            strict_json(f"{f}.text"),
             lambda v: let(
                 f"if({v} is not null and {_string(_get(v, 'chunk_id'))} is not null"
                 f" and {_is_number(_get(v, 'wall_time_seconds'))}, {_string(_get(v, 'output'))}, null)",
@@ -211,7 +229,7 @@ _COLLECTORS = {
 
 def parse_requests(requests: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """(good requests with a ``parsed`` VARIANT, quarantine): a body must be a JSON object."""
-    parsed = requests.withColumn("parsed", F.expr(f"try_parse_json(`{body}`)"))
+    parsed = requests.withColumn("parsed", F.expr(strict_json(f"`{body}`")))
     # A JSON text is an object if it parses and its first character after blanks is a brace.
     is_object = F.coalesce(F.col("parsed").isNotNull() & F.col(body).rlike(r"^[ \t\r\n]*\{"), F.lit(False))
     reason = F.when(F.col("parsed").isNull(), "not_json").otherwise("not_an_object")

@@ -385,8 +385,8 @@ ORACLES["ip_spans"] = select(
 )
 NOTES = """(SELECT c_custkey, 'Ärzte ' || c_name || ' tel 1' || (c_custkey % 10) || lpad(CAST(c_custkey * 7919 % 1000000000 AS VARCHAR), 9, '0')
   || CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE ' ' END || 'mac '
-  || array_to_string(list_transform(range(0, 6), lambda i: printf('%02x', (c_custkey * (i + 3) * 37) % 256)),
-       CASE WHEN c_custkey % 2 = 0 THEN ':' ELSE '-' END)
+  || replace(array_to_string(list_transform(range(0, 6), lambda i: printf('%02x', (c_custkey * (i + 3) * 37) % 256)), '!'),
+       '!', CASE WHEN c_custkey % 2 = 0 THEN ':' ELSE '-' END)
   || CASE WHEN c_custkey % 3 = 0 THEN 'g' ELSE '.' END AS text FROM customer)"""
 for _name, _group, _pattern in (("mobile_spans", "private_phone", MOBILE), ("mac_spans", "mac_address", MAC)):
     ORACLES[_name] = select(
@@ -684,7 +684,7 @@ ORACLES["decision_outcome"] = select(
 # ---------------------------------------------------------------------------------------------------------------
 
 REQUESTS = """requests AS MATERIALIZED (
-  SELECT 'r' || event_id AS request_id, epoch_ms(ts) AS started_at, dur AS duration_ms, dur // 3 AS inference_ms, dur // 2 AS upstream_ms,
+  SELECT 'r' || event_id AS request_id, epoch_us(ts) // 1000 AS started_at, dur AS duration_ms, dur // 3 AS inference_ms, dur // 2 AS upstream_ms,
          event_id AS seq, user_id, event_type, k, event_id % 13 = 0 AS broken
   FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS dur, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) e)"""
 SAMPLES = """samples AS MATERIALIZED (
@@ -754,9 +754,9 @@ ORACLES["accumulated_performance"] = select(
 )
 ORACLES["stage_times"] = """
 SELECT user_id, stage, CAST(sum(next_ms - ms) AS BIGINT) AS stage_ms, count(*) AS calls
-FROM (SELECT user_id, event_type AS stage, event_id % 2 AS mark, epoch_ms(ts) AS ms,
-             lead(event_id % 2) OVER w AS next_mark, lead(epoch_ms(ts)) OVER w AS next_ms
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id)) t
+FROM (SELECT user_id, event_type AS stage, event_id % 2 AS mark, epoch_us(ts) // 1000 AS ms,
+             lead(event_id % 2) OVER w AS next_mark, lead(epoch_us(ts) // 1000) OVER w AS next_ms
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id)) t
 WHERE mark = 0 AND next_mark = 1 GROUP BY user_id, stage"""
 ORACLES["inference_progress"] = """
 SELECT user_id, count(*) FILTER (event_type = 'click') AS completed_inputs,
@@ -842,10 +842,10 @@ SELECT CAST(coalesce(sum(n) FILTER (known), 0) AS BIGINT) AS cached_fragments,
 FROM (SELECT text, count(*) AS n, text IN (SELECT text FROM documents WHERE doc_id % 10 < 3) AS known
       FROM documents WHERE text <> '' GROUP BY text) t"""
 ORACLES["cache_retention"] = """
-SELECT key, at, bytes FROM (
-  SELECT *, sum(bytes) OVER (ORDER BY at DESC, key ROWS UNBOUNDED PRECEDING) AS total,
-         row_number() OVER (ORDER BY at DESC, key) AS n
-  FROM (SELECT event_type || ':' || user_id AS key, max(event_id) AS at, arg_max(CAST(ceil(value * 10) AS BIGINT), event_id) AS bytes
+SELECT key, "at", bytes FROM (
+  SELECT *, sum(bytes) OVER (ORDER BY "at" DESC, key ROWS UNBOUNDED PRECEDING) AS total,
+         row_number() OVER (ORDER BY "at" DESC, key) AS n
+  FROM (SELECT event_type || ':' || user_id AS key, max(event_id) AS "at", arg_max(CAST(ceil(value * 10) AS BIGINT), event_id) AS bytes
         FROM events WHERE ceil(value * 10) <= 100000 GROUP BY ALL) e) t
 WHERE n <= 400 AND total <= 100000"""
 ORACLES["stream_dedup"] = "SELECT DISTINCT 'u' || user_id AS request_id FROM events"
@@ -1001,8 +1001,18 @@ def replay_parts() -> list[str]:
         FROM spans s JOIN fragments g ON g.id = s.fragment_id JOIN final f2 ON 'f' || f2.k || ':' || f2.nth = s.id) x
   WHERE nth = 1)""",
         f"""judged AS MATERIALIZED (
-  SELECT k, grp, old, {rule} AS rule, {action} AS action, ws < cs OR we > ce AS wider
+  SELECT k, grp, old, w, txt, ws, we, row_number() OVER () AS nr, {rule} AS rule, {action} AS action, ws < cs OR we > ce AS wider
   FROM ({grown('latest', 'false', 'k, grp, score, old')}) c)""",
+        # A redacted credential is spread over its text here as well; each other occurrence is one more span.
+        f"""again AS MATERIALIZED (
+  SELECT nr, rule, count(DISTINCT (s, e)) AS n
+  FROM (SELECT j.nr, j.rule, j.ws, j.we,
+               os - length(regexp_extract(substr(txt, 1, os), {q(CRED_TOKEN + '*$')})) AS s,
+               os + length(w) + length(regexp_extract(substr(txt, os + length(w) + 1), {q('^' + CRED_TOKEN + '*')})) AS e
+        FROM (SELECT j.*, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) AS BIGINT) + (i - 1) * length(w) AS os
+              FROM (SELECT *, string_split(txt, w) AS g FROM judged WHERE grp IN {CRED} AND action = 'redact' AND w <> '') j,
+                   unnest(range(1, len(g))) AS u(i)) j) y
+  WHERE NOT (ws <= s AND we >= e) GROUP BY nr, rule)""",
     ]
 
 
@@ -1011,5 +1021,10 @@ ORACLES["policy_backtest"] = select(
 )
 ORACLES["backtest_rules"] = select(
     replay_parts(),
-    "SELECT rule AS rule_id, count(*) AS \"count\" FROM judged WHERE rule LIKE 'builtin.redact.private%' GROUP BY 1",
+    """SELECT rule AS rule_id, CAST(sum(n) AS BIGINT) AS "count"
+       FROM (SELECT rule, 1 AS n FROM judged UNION ALL SELECT rule, n FROM again) x WHERE rule LIKE 'builtin.redact.private%' GROUP BY 1""",
+)
+ORACLES["backtest_expanded"] = select(
+    replay_parts(),
+    "SELECT count(*) FILTER (wider OR nr IN (SELECT nr FROM again)) AS expanded_redactions FROM judged",
 )
