@@ -41,8 +41,16 @@ IP = (
     r"|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}"
 )
 
-# Every IP form holds one of these.
-IP_GUARD = r"[0-9]\.[0-9]{1,3}\.[0-9]|:[0-9A-Fa-f]{0,4}:"
+# Cheap patterns for what every match of a recognizer holds.  Each begins with one character class, which Java skips to
+# quickly; what must follow is tested behind it.
+IP_GUARD = r"[0-9:](?:(?<=[0-9])\.[0-9]{1,3}\.[0-9]|(?<=:)[0-9A-Fa-f]{0,4}:)"
+MAC_GUARD = r"[:-][0-9A-Fa-f]{2}[:-]"
+RUN_GUARD = r"[0-9]{6}"
+#: Holds for every text in which any built-in recognizer finds something; most texts need only this one pass.
+ANY_GUARD = (
+    r"[@0-9:-](?:(?<=@)|(?<=[0-9])(?:[0-9]{5}|\.[0-9]{1,3}\.[0-9])"
+    r"|(?<=[:-])[0-9A-Fa-f]{2}[:-]|(?<=:)[0-9A-Fa-f]{0,4}:)"
+)
 
 # The email pattern above, written so that Java needs linear time and no recursion: a local part is tried only where
 # its run of characters begins (or right after the last match), every loop is possessive, and a label is taken whole
@@ -114,6 +122,7 @@ _RUN_GROUPS = {
 
 def email_hits(text: str) -> str:
     found = each(candidates(text, EMAIL), lambda c: hit("private_email", c))
+    # The byte search decides for most texts before the pattern runs.
     return f"if(contains({text}, '@'), {found}, {empty(HIT)})"
 
 
@@ -122,12 +131,11 @@ def run_hits(text: str, groups: Iterable[str] = tuple(_RUN_GROUPS)) -> str:
         tests = ", ".join(f"if({_RUN_GROUPS[g](f'{c}.word')}, {hit(g, c)}, null)" for g in groups)
         return f"array_compact(array({tests}))"
 
-    # All four shapes hold six digits in a row; most texts stop at that cheap test.
-    return f"if({text} rlike '[0-9]{{6}}', flatten({each(candidates(text, RUN), accepted)}), {empty(HIT)})"
+    return f"flatten({each(candidates(text, RUN, RUN_GUARD), accepted)})"
 
 
 def mac_hits(text: str) -> str:
-    return each(keep(candidates(text, MAC), stands_alone), lambda c: hit("mac_address", c))
+    return each(keep(candidates(text, MAC, MAC_GUARD), stands_alone), lambda c: hit("mac_address", c))
 
 
 def ip_hits(text: str) -> str:
@@ -136,7 +144,8 @@ def ip_hits(text: str) -> str:
 
 def builtin_hits(text: str) -> str:
     """All built-in recognizers, before arbitration."""
-    return f"concat({email_hits(text)}, {run_hits(text)}, {mac_hits(text)}, {ip_hits(text)})"
+    found = f"concat({email_hits(text)}, {run_hits(text)}, {mac_hits(text)}, {ip_hits(text)})"
+    return f"if({text} rlike {lit(ANY_GUARD)}, {found}, {empty(HIT)})"
 
 
 @dataclass(frozen=True)

@@ -23,15 +23,31 @@ NATIVE_LIMIT = 24
 MAX_PATTERN_CHARACTERS = 64_000_000
 
 
-def registration_hits(text: str, registration: Registration) -> str:
+def native_hits(text: str, registrations: Sequence[Registration]) -> str:
+    """SQL array<HIT> of a few registrations; the text is lower-cased once for all of them."""
+
+    def listed(lowered: str) -> str:
+        return f"concat({', '.join(registration_hits(text, lowered, r) for r in registrations)})"
+
+    return let(f"lower({text})", listed)
+
+
+def registration_hits(text: str, lowered: str, registration: Registration) -> str:
     """SQL array<HIT> of one registration.
 
     Windows have as many characters as the registered text; case is folded on the whole window, as lower-casing may
-    depend on the neighbours.  The pattern only proposes windows.
+    depend on the neighbours.  The pattern only proposes windows, and runs only where a byte search found the text
+    (for a non-ASCII text without regard to case, where the pattern itself did).
     """
     if not registration.text:
         return empty(HIT)
     needle, width = lit(registration.text), len(registration.text)
+    if registration.case_sensitive:
+        present = f"contains({text}, {needle})"
+    elif registration.text.isascii():
+        present = f"contains({lowered}, {lit(registration.text.lower())})"
+    else:
+        present = "true"
     pattern = quoted(needle)
     if not registration.case_sensitive:
         pattern = f"concat('(?iu)', {pattern})"
@@ -56,7 +72,7 @@ def registration_hits(text: str, registration: Registration) -> str:
             ),
         )
 
-    return let(f"cast({text} as binary)", hits)
+    return f"if({present}, {let(f'cast({text} as binary)', hits)}, {empty(HIT)})"
 
 
 def _fold(character: str) -> str:
@@ -119,7 +135,7 @@ def with_registered_hits(
     if total > MAX_PATTERN_CHARACTERS:
         raise ValueError(f"registered texts hold {total} characters; at most {MAX_PATTERN_CHARACTERS} can be shipped")
     if len(registrations) <= native_limit or not _has_automaton():
-        return per_text(lambda t: f"concat({', '.join(registration_hits(t, r) for r in registrations)})")
+        return per_text(lambda t: native_hits(t, registrations))
 
     listed = tuple((r.text, r.group, r.case_sensitive) for r in registrations)
     shipped = df.sparkSession.sparkContext.broadcast(listed)

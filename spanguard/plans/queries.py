@@ -336,12 +336,12 @@ def pool_spans(spark, d):
 
 @query
 def content_summary(spark, d):
-    return pool.content_summary(setup.fragments_and_spans(spark, d)[1])
+    return pool.content_summary(setup.pool_spans(spark, d))
 
 
 @query
 def category_evidence(spark, d):
-    counted = pool.category_evidence(setup.fragments_and_spans(spark, d)[1])
+    counted = pool.category_evidence(setup.pool_spans(spark, d))
     return counted.select("original_text", F.posexplode("categories").alias("place", "c")).select(
         "original_text", "place", "c.*"
     )
@@ -357,19 +357,19 @@ def _registered(spark):
 
 @query
 def review_unreviewed(spark, d):
-    summary = pool.content_summary(setup.fragments_and_spans(spark, d)[1])
+    summary = pool.content_summary(setup.pool_spans(spark, d))
     return pool.review(summary, _registered(spark), "unreviewed").select("original_text", "occurrences")
 
 
 @query
 def review_reviewed(spark, d):
-    summary = pool.content_summary(setup.fragments_and_spans(spark, d)[1])
+    summary = pool.content_summary(setup.pool_spans(spark, d))
     return pool.review(summary, _registered(spark), "reviewed").select("original_text", "occurrences")
 
 
 @query
 def review_page(spark, d):
-    page = pool.content_page(setup.fragments_and_spans(spark, d)[1], _rules(spark), "all", 40, 5)
+    page = pool.content_page(setup.pool_spans(spark, d), _rules(spark), "all", 40, 5)
     listed = F.array_join(F.transform("categories", lambda c: F.concat(c["entity_group"], F.lit("="), c["count"])), ",")
     return page.withColumn("categories", listed)
 
@@ -386,19 +386,19 @@ def review_counts(spark, d):
 
 @query
 def unstable_texts(spark, d):
-    summary = pool.content_summary(setup.fragments_and_spans(spark, d)[1])
+    summary = pool.content_summary(setup.pool_spans(spark, d))
     return summary.where(pool.is_unstable()).select("original_text", "released", "redacted")
 
 
 @query
 def registered_action(spark, d):
-    summary = pool.content_summary(setup.fragments_and_spans(spark, d)[1])
+    summary = pool.content_summary(setup.pool_spans(spark, d))
     return pool.with_registered_action(summary.select("original_text"), _rules(spark))
 
 
 @query
 def operator_decisions(spark, d):
-    summary = pool.content_summary(setup.fragments_and_spans(spark, d)[1])
+    summary = pool.content_summary(setup.pool_spans(spark, d))
     return policy.operator_decision(summary.select("original_text"), _rules(spark))
 
 
@@ -417,7 +417,7 @@ def occurrences_of_span(spark, d):
 
 @query
 def spans_of_fragment(spark, d):
-    return pool.spans_of(setup.fragments_and_spans(spark, d)[1], "f22")
+    return pool.spans_of(setup.pool_spans(spark, d), "f22")
 
 
 @query
@@ -432,7 +432,7 @@ def fragment_detail(spark, d):
 
 @query
 def forgotten_rules(spark, d):
-    rows = setup.fragments_and_spans(spark, d)[1]
+    rows = setup.pool_spans(spark, d)
     left = _rules(spark).where(F.col("source") != "builtin")
     return pool.forget_rules(rows, left).select("id", "matched_rule_id")
 
@@ -445,7 +445,7 @@ def forgotten_fragments(spark, d):
 
 @query
 def category_backfill(spark, d):
-    rows = setup.fragments_and_spans(spark, d)[1]
+    rows = setup.pool_spans(spark, d)
     stripped = _rules(spark).withColumn("category", F.when(F.col("source") != "approval", F.col("category")))
     return registrations.backfill_category(stripped, rows).select("id", "source", "category")
 
@@ -489,7 +489,7 @@ def request_stats_empty(spark, d):
 
 @query
 def span_stats_by_group(spark, d):
-    return metrics.by_group(setup.fragments_and_spans(spark, d)[1], setup.FIRST_CREATED + 200_000)
+    return metrics.by_group(setup.pool_spans(spark, d), setup.FIRST_CREATED + 200_000)
 
 
 @query

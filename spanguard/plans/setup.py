@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanguard.operators.policy import Policy, Rule, all_of, any_of, builtin_policy, entity, keyword, operator_rule
 from spanguard.operators.scoring import LexiconScorer, PatternScorer
-from spanguard.plans.pipeline import pool_rows, run_pipeline, fragments as fragment_rows, spans as span_rows
+from spanguard.plans.pipeline import pool_rows, run_pipeline, spans as span_rows
 from spanguard.schemas import FORMATS
-from spanguard.sources.tables import read_corpus, read_table, spread
+from spanguard.session import scratch
+from spanguard.sources.tables import read_corpus, read_fragments, read_spans, read_table, spread
 
 #: Stand-in for a model: (category, score, pattern).  The secret pattern sees only part of a longer token.
 SCORER = PatternScorer(
@@ -74,9 +75,15 @@ def document_pool(spark: SparkSession, directory: str) -> DataFrame:
     return pool_rows(run_pipeline(document_fragments(spark, directory), POLICY, scorer=SCORER))
 
 
+def pool_spans(spark: SparkSession, directory: str) -> DataFrame:
+    return span_rows(document_pool(spark, directory))
+
+
 def fragments_and_spans(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    pool = document_pool(spark, directory)
-    return fragment_rows(pool), span_rows(pool)
+    """Both tables of a written pool, for queries that read it more than once."""
+    path = scratch(spark, "pool")
+    document_pool(spark, directory).write.parquet(path)
+    return read_fragments(spark, path), read_spans(spark, path)
 
 
 def event_millis() -> Column:
