@@ -6,7 +6,7 @@ text before it.
 
 from __future__ import annotations
 
-from spanguard.functions.sqlx import each_indexed, empty, keep, let, lit, scan, struct
+from spanguard.functions.sqlx import each, each_indexed, empty, fresh, keep, let, lit, prefix_sums, struct
 from spanguard.schemas import RANGE
 
 CANDIDATE = "struct<start:int,end:int,word:string,before:string,after:string>"
@@ -48,20 +48,21 @@ def candidates(text: str, pattern: str, guard: str | None = None) -> str:
         )
 
     def located(parts: str) -> str:
-        return scan(
-            each_indexed(parts, lambda p, i: struct(p=p, i=i)),
-            {"pos": "0"},
-            lambda acc, x: {"pos": f"{acc}.pos + octet_length({x}.p)"},
-            lambda acc, x: f"if({x}.i % 2 = 1, array("
-            + struct(
-                start=f"{acc}.pos",
-                end=f"{acc}.pos + octet_length({x}.p)",
-                word=f"{x}.p",
-                **neighbours(parts, f"{x}.i"),
+        index = fresh("i")
+        matches = f"filter(sequence(0, size({parts}) - 1), {index} -> {index} % 2 = 1)"
+
+        def placed(starts: str) -> str:
+            return each(
+                matches,
+                lambda i: struct(
+                    start=f"{starts}[{i}]",
+                    end=f"{starts}[{i}] + octet_length({parts}[{i}])",
+                    word=f"{parts}[{i}]",
+                    **neighbours(parts, i),
+                ),
             )
-            + f"), {empty(CANDIDATE)})",
-            CANDIDATE,
-        )
+
+        return let(prefix_sums(each(parts, lambda p: f"octet_length({p})")), placed)
 
     return f"if({text} rlike {lit(guard or pattern)}, {let(marked_parts(text, pattern), located)}, {empty(CANDIDATE)})"
 
@@ -75,18 +76,16 @@ def literal_ranges(text: str, needle: str) -> str:
     """Non-overlapping occurrences of a non-empty literal, left to right."""
 
     def located(gaps: str) -> str:
-        return scan(
-            f"slice({gaps}, 1, size({gaps}) - 1)",
-            {"pos": "0"},
-            lambda acc, gap: {"pos": f"{acc}.pos + octet_length({gap}) + octet_length({needle})"},
-            lambda acc, gap: "array("
-            + struct(
-                start=f"{acc}.pos + octet_length({gap})",
-                end=f"{acc}.pos + octet_length({gap}) + octet_length({needle})",
+        def placed(starts: str) -> str:
+            return each_indexed(
+                f"slice({gaps}, 1, size({gaps}) - 1)",
+                lambda gap, i: struct(
+                    start=f"{starts}[{i}] + octet_length({gap})",
+                    end=f"{starts}[{i}] + octet_length({gap}) + octet_length({needle})",
+                ),
             )
-            + ")",
-            RANGE,
-        )
+
+        return let(prefix_sums(each(gaps, lambda gap: f"octet_length({gap}) + octet_length({needle})")), placed)
 
     return f"if(contains({text}, {needle}), {let(f'split({text}, {quoted(needle)}, -1)', located)}, {empty(RANGE)})"
 
@@ -96,13 +95,10 @@ def window_starts(text: str, pattern: str) -> str:
 
     def located(parts: str) -> str:
         # A zero-width split never cuts at the very start, so the first place is tested on its own.
-        return scan(
-            each_indexed(parts, lambda p, i: struct(p=p, i=i)),
-            {"pos": "0"},
-            lambda acc, x: {"pos": f"{acc}.pos + octet_length({x}.p)"},
-            lambda acc, x: f"if({x}.i > 0 or {text} rlike concat({lit(chr(92) + 'A')}, {pattern}), array({acc}.pos), {empty('int')})",
-            "int",
-        )
+        place, index = fresh("x"), fresh("i")
+        first = f"{text} rlike concat({lit(chr(92) + 'A')}, {pattern})"
+        starts = prefix_sums(each(parts, lambda p: f"octet_length({p})"))
+        return f"filter({starts}, ({place}, {index}) -> {index} > 0 or {first})"
 
     parts = f"split({text}, concat('(?=', {pattern}, ')'), -1)"
     return f"if({text} rlike {pattern}, {let(parts, located)}, {empty('int')})"
@@ -207,8 +203,3 @@ def replaced(raw: str, ranges: str, placeholder) -> str:
 
     return let(ranges, body)
 
-
-def running_sum(array: str) -> str:
-    """Running totals of an array<int>, as array<int>."""
-    return scan(array, {"sum": "0"}, lambda a, x: {"sum": f"{a}.sum + {x}"}, lambda a, x: f"array({a}.sum + {x})", "int")
-

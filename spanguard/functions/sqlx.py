@@ -14,9 +14,8 @@ from itertools import count
 _names = count()
 _PLAIN = re.compile(r"[A-Za-z0-9 _.:,@/#-]*\Z")
 
-#: Arrays are grown in blocks of this many items, so that folding n items copies about n * BLOCK / 2 references
-#: instead of n * n / 2.
-BLOCK = 256
+#: Items per block of the two-level prefix functions; n items cost about n * (BLOCK + n / BLOCK**2) / 2 steps.
+BLOCK = 64
 
 
 def fresh(prefix: str = "v") -> str:
@@ -83,60 +82,84 @@ def empty(item: str) -> str:
     return f"cast(array() as array<{item}>)"
 
 
-def scan(
-    array: str,
-    state: dict[str, str],
-    step: Callable[[str, str], dict[str, str]],
-    emit: Callable[[str, str], str],
-    item: str,
-) -> str:
-    """Left-to-right pass with a running state; ``emit`` gives the array of items produced by one element.
+def _blockwise(array: str, block_value: Callable[[str], str], base: Callable[[str, str], str], item) -> str:
+    """Exclusive prefix values of an array in two levels: over blocks, then inside each block.
 
-    ``emit`` sees the state before the element, ``step`` gives the state after it.
+    A fold that carries its result along is copied at every step and therefore quadratic; here nothing is carried.
     """
 
-    def merge(acc: str, x: str) -> str:
-        full = f"size({acc}.cur) >= {BLOCK}"
-        return struct(
-            **step(acc, x),
-            done=f"if({full}, array_append({acc}.done, {acc}.cur), {acc}.done)",
-            cur=f"concat(if({full}, {empty(item)}, {acc}.cur), {emit(acc, x)})",
-        )
+    def over_blocks(a: str) -> str:
+        last = f"(size({a}) - 1) div {BLOCK}"
+        blocks = f"sequence(0, {last})"
+
+        def one(values: str, k: str) -> str:
+            first = f"{k} * {BLOCK} + 1"
+            return let(
+                base(values, k),
+                lambda b: each_indexed(f"slice({a}, {first}, {BLOCK})", lambda x, i: item(b, f"slice({a}, {first}, {i})")),
+            )
+
+        per_block = each(blocks, lambda k: block_value(f"slice({a}, {k} * {BLOCK} + 1, {BLOCK})"))
+        prefix = let(per_block, lambda values: f"flatten({each(blocks, lambda k: one(values, k))})")
+        return f"if(size({a}) = 0, null, {prefix})"
+
+    return let(array, over_blocks)
+
 
-    zero = struct(**state, done=empty(f"array<{item}>"), cur=empty(item))
-    return fold(array, zero, merge, lambda acc: f"flatten(array_append({acc}.done, {acc}.cur))")
+def _sum(numbers: str) -> str:
+    return fold(numbers, "0", lambda acc, x: f"{acc} + {x}")
+
+
+def prefix_sums(numbers: str) -> str:
+    """For every item of an array<int> the sum of the items before it."""
+    return _blockwise(numbers, _sum, lambda sums, k: _sum(f"slice({sums}, 1, {k})"), lambda b, before: f"{b} + {_sum(before)}")
+
+
+def prefix_max(values: str) -> str:
+    """For every item the greatest item before it, null for the first."""
+    return _blockwise(
+        values,
+        lambda block: f"array_max({block})",
+        lambda tops, k: f"array_max(slice({tops}, 1, {k}))",
+        lambda b, before: f"greatest({b}, array_max({before}))",
+    )
 
 
 def islands(array: str, item: str, key: str | None = None) -> str:
     """Split items sorted by (key,) start into runs that are connected by strict overlap.
 
-    Items need ``start`` and ``end``.  One linear pass; whatever needs pairs of overlapping items then only looks
-    inside one run, so a text with very many hits never compares all of them with each other.
+    Items need ``start`` and ``end``.  A run begins where no earlier item (of the same key, which is then the greatest
+    so far) reaches beyond the start.  Whatever needs pairs of overlapping items then only looks inside one run, so a
+    text with very many hits never compares all of them with each other.
     """
 
-    def starts_new(acc: str, x: str) -> str:
-        apart = f"{x}.start >= {acc}.hi"
-        return apart if key is None else f"({apart} or {x}.{key} <> {acc}.key)"
-
-    def merge(acc: str, x: str) -> str:
-        new, full = starts_new(acc, x), f"size({acc}.cur) >= {BLOCK}"
-        fields = dict(
-            run=f"if({new}, array({x}), array_append({acc}.run, {x}))",
-            hi=f"if({new}, {x}.end, greatest({acc}.hi, {x}.end))",
-            done=f"if({new} and {full}, array_append({acc}.done, {acc}.cur), {acc}.done)",
-            cur=f"if({new}, if({full}, array({acc}.run), array_append({acc}.cur, {acc}.run)), {acc}.cur)",
+    def reach_of(x: str) -> str:
+        return struct(**({} if key is None else {"key": f"{x}.{key}"}), end=f"{x}.end")
+
+    def opens(x: str, before: str) -> str:
+        test = f"{before} is null or {x}.start >= {before}.end"
+        return test if key is None else f"{test} or {x}.{key} <> {before}.key"
+
+    def cut(a: str, reach: str) -> str:
+        index = fresh("i")
+        firsts = f"filter(sequence(0, size({a}) - 1), {index} -> {opens(f'{a}[{index}]', f'{reach}[{index}]')})"
+        return let(
+            firsts,
+            lambda f: each_indexed(f, lambda s, j: f"slice({a}, {s} + 1, coalesce(get({f}, {j} + 1), size({a})) - {s})"),
         )
-        if key is not None:
-            fields["key"] = f"{x}.{key}"
-        return struct(**fields)
-
-    zero = dict(run=empty(item), hi="-1", done=empty(f"array<array<{item}>>"), cur=empty(f"array<{item}>"))
-    if key is not None:
-        zero["key"] = "cast('' as string)"
-    runs = fold(
-        array,
-        struct(**zero),
-        merge,
-        lambda acc: f"flatten(array_append({acc}.done, array_append({acc}.cur, {acc}.run)))",
-    )
-    return keep(runs, lambda run: f"size({run}) > 0")
+
+    def runs(a: str) -> str:
+        return f"if(size({a}) = 0, {empty(f'array<{item}>')}, {let(prefix_max(each(a, reach_of)), lambda r: cut(a, r))})"
+
+    return let(array, runs)
+
+
+def hash_chain(digests: str, root: str) -> str:
+    """SQL: all links of a chain of SHA-256 over an array of hex digests, 64 characters each, in one string."""
+    step = "sha2(concat(if({acc} = '', {root}, right({acc}, 64)), {x}), 256)"
+    return fold(digests, "cast('' as string)", lambda acc, x: f"concat({acc}, {step.format(acc=acc, root=root, x=x)})")
+
+
+def link(chain_binary: str, index: str) -> str:
+    """SQL: one link of a chain that was cast to binary (cutting binary does not read what comes before)."""
+    return f"cast(substring({chain_binary}, {index} * 64 + 1, 64) as string)"

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from spanguard.functions.frames import exploded
 from spanguard.functions.sqlx import each, struct
 from spanguard.operators.policy import Policy
-from spanguard.operators.redact import outcome
+from spanguard.operators.redact import judged
 from spanguard.schemas import HIT
 
 
@@ -43,11 +43,14 @@ def replay(fragments: DataFrame, spans: DataFrame, policy: Policy) -> DataFrame:
     """Every input span decided on its own: old and new action, whether its redaction grew, and the rules that matched."""
 
     def alone(h: str) -> str:
-        one = f"cast(array({struct(entity_group=f'{h}.entity_group', score=f'{h}.score', start=f'{h}.start', end=f'{h}.end', word=f'{h}.word')}) as array<{HIT}>)"
-        return struct(hit=h, result=f"({outcome('text', one, policy)}).spans")
+        fields = {name: f"{h}.{name}" for name in ("entity_group", "score", "start", "end", "word")}
+        return f"cast(array({struct(**fields)}) as array<{HIT}>)"
 
-    judged = replay_input(fragments, spans).select("id", F.expr(each("replayed", alone)).alias("judged"))
-    return exploded(judged, ["id"], "judged", "j").select(
+    hits = replay_input(fragments, spans).withColumn("_hits", F.expr(each("replayed", alone)))
+    results = judged(hits, policy, "text", "_hits", per="hits").withColumn(
+        "judged", F.expr("transform(arrays_zip(replayed, _spans), z -> named_struct('hit', z.replayed, 'result', z._spans))")
+    )
+    return exploded(results, ["id"], "judged", "j").select(
         F.col("id").alias("fragment_id"),
         F.col("j.hit.start").alias("byte_start"),
         F.col("j.hit.end").alias("byte_end"),

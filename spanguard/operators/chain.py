@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanguard.functions.sqlx import lit, scan
+from spanguard.functions.sqlx import each, each_indexed, hash_chain, let, link, lit, struct
 from spanguard.operators.scoring import Scorer
 
 CHAIN_VERSION = "turn-chain-1"
 #: Turns of one conversation that are chained in one task.
-CHAIN_BLOCK = 4096
+CHAIN_BLOCK = 2048
 DEFAULT_ENTRIES, DEFAULT_BYTES = 4096, 16 * 1024 * 1024
 
 
@@ -110,27 +110,31 @@ def turn_chain(
         "_block", F.floor(F.col("_turn") / block)
     )
 
-    def chained(array: str, seed: str, fields: str) -> str:
-        return scan(
-            array,
-            {"h": seed},
-            lambda a, x: {"h": f"sha2(concat({a}.h, {x}._digest), 256)"},
-            lambda a, x: f"array(named_struct({fields.format(a=a, x=x)}))",
-            "struct<at:bigint,hash:string,parent:string>",
+    def chained(array: str) -> str:
+        """SQL array<struct<at, hash, parent>> for digests sorted by turn."""
+        return let(
+            f"cast({hash_chain(each(array, lambda x: f'{x}._digest'), lit(root))} as binary)",
+            lambda c: each_indexed(
+                array,
+                lambda x, i: struct(
+                    at=f"cast({x}._turn as bigint)",
+                    hash=link(c, i),
+                    parent=f"if({i} = 0, {lit(root)}, {link(c, f'({i} - 1)')})",
+                ),
+            ),
         )
 
-    step = "'at', cast({x}._turn as bigint), 'hash', sha2(concat({a}.h, {x}._digest), 256), 'parent', {a}.h"
     blocks = (
         digests.groupBy(*keys, "_block")
         .agg(F.array_sort(F.collect_list(F.struct("_turn", "_digest"))).alias("_turns"))
-        .withColumn("_chain", F.expr(chained("_turns", lit(root), step)))
+        .withColumn("_chain", F.expr(chained("_turns")))
         .drop("_turns")
     )
     ends = blocks.select(*keys, "_block", F.expr("element_at(_chain, -1).hash").alias("_digest"))
     prefixes = (
         ends.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("_turn"), "_digest"))).alias("_blocks"))
-        .select(*keys, F.explode_outer(F.expr(chained("_blocks", lit(root), step))).alias("_p"))
+        .select(*keys, F.explode_outer(F.expr(chained("_blocks"))).alias("_p"))
         .select(
             *keys,
             F.col("_p.at").alias("_block"),

@@ -326,6 +326,9 @@ def apply_replacements(
 # ---------------------------------------------------------------------------------------------------------------
 
 
+_ANY_FORMAT = "*"
+
+
 def assign_provider(
     requests: DataFrame, providers: DataFrame, wanted: str = "provider_name", api_format: str = "api_format"
 ) -> DataFrame:
@@ -336,32 +339,30 @@ def assign_provider(
     named = providers.groupBy(F.col("name").alias("_name")).agg(
         F.first(F.struct("id", "enabled", "api_format")).alias("_named")
     )
+    enabled = providers.where("enabled")
+    # One row per format, and one under a name of its own for requests of no known format.
     usual = (
-        providers.where("enabled")
-        .groupBy(F.col("api_format").alias("_format"))
+        enabled.select(F.explode(F.array("api_format", F.lit(_ANY_FORMAT))).alias("_format"), "name", "id")
+        .groupBy("_format")
         .agg(F.min(F.struct("name", "id")).alias("_usual"))
     )
-    any_provider = providers.where("enabled").agg(F.min(F.struct("name", "id")).alias("_any"))
     asked = F.col(wanted).isNotNull()
     joined = (
         requests.join(named, requests[wanted] == F.col("_name"), "left")
-        .join(F.broadcast(usual), requests[api_format] == F.col("_format"), "left")
-        .join(F.broadcast(any_provider), F.lit(True), "left")
+        .withColumn("_wanted_format", F.coalesce(api_format, F.lit(_ANY_FORMAT)))
+        .join(usual, F.col("_wanted_format") == F.col("_format"), "left")
     )
     other_format = F.col(api_format).isNotNull() & (F.col("_named.api_format") != F.col(api_format))
     reason = (
         F.when(asked & F.col("_named").isNull(), "unknown_provider")
         .when(asked & ~F.col("_named.enabled"), "disabled_provider")
         .when(asked & other_format, "other_format")
-        .when(~asked & F.col(api_format).isNotNull() & F.col("_usual").isNull(), "no_provider")
-        .when(~asked & F.col(api_format).isNull() & F.col("_any").isNull(), "no_provider")
-    )
-    chosen = (
-        F.when(asked, F.col("_named.id")).when(F.col(api_format).isNotNull(), F.col("_usual.id")).otherwise(F.col("_any.id"))
+        .when(~asked & F.col("_usual").isNull(), "no_provider")
     )
+    chosen = F.when(asked, F.col("_named.id")).otherwise(F.col("_usual.id"))
     return (
         joined.withColumn("reject_reason", reason)
         .withColumn("provider_id", F.when(F.col("reject_reason").isNull(), chosen))
-        .drop("_name", "_named", "_format", "_usual", "_any")
+        .drop("_name", "_named", "_format", "_wanted_format", "_usual")
     )
 

@@ -85,19 +85,10 @@ def ratio(part: str, whole: Column) -> Column:
 
 
 def statistics(requests: DataFrame, fragments: DataFrame, spans: DataFrame, since_ms: int) -> DataFrame:
-    """All counters of the overview in one row.
-
-    Every input is a global aggregate, so the three sides of the join have one row each.
-    """
-    def one(df: DataFrame) -> DataFrame:
-        return df.withColumn("_one", F.lit(1))
-
-    joined = (
-        one(request_stats(requests, since_ms))
-        .join(one(fragment_stats(fragments, since_ms)), "_one")
-        .join(one(span_stats(spans, since_ms)), "_one")
-        .drop("_one")
-    )
+    """All counters of the overview in one row: three one-row aggregates laid over each other."""
+    sides = (request_stats(requests, since_ms), fragment_stats(fragments, since_ms), span_stats(spans, since_ms))
+    stacked = sides[0].unionByName(sides[1], allowMissingColumns=True).unionByName(sides[2], allowMissingColumns=True)
+    joined = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     return joined.select(
         "*",
         ratio("redacted_spans", F.col("spans")).alias("redacted_ratio"),

@@ -7,9 +7,11 @@ overrule overlapping spans of the other action, merge redacted ranges and put pl
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spanguard.functions.content import image_ranges
+from spanguard.functions.occurrences import literal_occurrences
 from spanguard.functions.offsets import (
     CREDENTIAL_CLASS,
     TOKEN_CLASS,
@@ -22,7 +24,19 @@ from spanguard.functions.offsets import (
     trimmed,
     valid_hit,
 )
-from spanguard.functions.sqlx import each, each_indexed, empty, islands, keep, let, lit, scan, some, struct
+from spanguard.functions.sqlx import (
+    each,
+    each_indexed,
+    empty,
+    fresh,
+    islands,
+    keep,
+    let,
+    lit,
+    prefix_max,
+    some,
+    struct,
+)
 from spanguard.operators.policy import Policy
 from spanguard.schemas import CREDENTIALS, RANGE, SPAN
 
@@ -30,8 +44,7 @@ _CREDENTIAL_LIST = ", ".join(lit(g) for g in CREDENTIALS)
 _PROPOSAL = f"struct<start:int,end:int,ord:int,span:{SPAN}>"
 _EDGE = f"struct<start:int,kind:int,end:int,ord:int,span:{SPAN}>"
 
-#: Result of :func:`outcome`.
-OUTCOME = f"struct<spans:array<{SPAN}>,ranges:array<struct<start:int,end:int,entity_group:string>>,redacted_text:string>"
+_NAMED_RANGE = "struct<start:int,end:int,entity_group:string>"
 
 
 def decided(raw: str, hits: str, images: str, policy: Policy) -> str:
@@ -78,59 +91,95 @@ def decided(raw: str, hits: str, images: str, policy: Policy) -> str:
     return f"cast(flatten({each(keep(hits, lambda h: valid_hit(raw, h)), one)}) as array<{SPAN}>)"
 
 
-def propagated(raw: str, text: str, spans: str, images: str) -> str:
-    """SQL array<SPAN> to add: every other occurrence of a redacted credential in the same text.
+def _confirmed(spans: str) -> str:
+    """SQL: redacted spans of credential categories, in order."""
+    return keep(
+        spans,
+        lambda s: f"{s}.action = 'redact' and {s}.entity_group in ({_CREDENTIAL_LIST}) and {s}.original_text <> ''",
+    )
 
-    An occurrence is completed to its whole token, and dropped if it touches an image or one redacted span holds it
-    already.  Of the rest, one that an earlier proposal holds adds nothing; being held is transitive, so comparing
-    with all earlier proposals equals adding them one after the other.
-    """
 
-    def proposals(confirmed: str) -> str:
-        def per_value(values: str, distinct: str) -> str:
-            found = each(
-                distinct,
-                lambda v: let(
-                    f"get({confirmed}, cast(array_position({values}, {v}) as int) - 1)",
-                    lambda s: each(
-                        literal_ranges(text, v),
-                        lambda o: let(
-                            completed(raw, f"{o}.start", f"{o}.end", CREDENTIAL_CLASS),
-                            lambda r: struct(start=f"{r}.start", end=f"{r}.end", span=s),
-                        ),
-                    ),
-                ),
-            )
-            return each_indexed(
-                f"flatten({found})",
-                lambda x, i: struct(start=f"{x}.start", end=f"{x}.end", ord=i, span=f"{x}.span"),
-            )
+def _firsts(confirmed: str) -> str:
+    """SQL array<struct<ord, v>>: every distinct text with the place of its first span, in that order."""
 
-        return let(
-            each(confirmed, lambda s: f"{s}.original_text"),
-            lambda values: let(f"array_distinct({values})", lambda distinct: per_value(values, distinct)),
-        )
+    def first_only(a: str) -> str:
+        x, i = fresh("x"), fresh("i")
+        firsts = f"filter({a}, ({x}, {i}) -> {i} = 0 or {x}.v <> {a}[{i} - 1].v)"
+        return f"array_sort({each(firsts, lambda f: struct(ord=f'{f}.ord', v=f'{f}.v'))})"
 
-    def uncovered(found: str) -> str:
-        """Proposals that no redacted span holds: one sorted pass with the furthest end of the spans begun so far."""
-        redacted = each(
-            keep(spans, lambda s: f"{s}.action = 'redact'"),
-            lambda s: struct(start=f"{s}.byte_start", kind="0", end=f"{s}.byte_end", ord="-1", span=s),
-        )
-        asked = each(
-            found, lambda p: struct(start=f"{p}.start", kind="1", end=f"{p}.end", ord=f"{p}.ord", span=f"{p}.span")
+    listed = each_indexed(confirmed, lambda s, i: struct(v=f"{s}.original_text", ord=i))
+    return let(f"array_sort({listed})", first_only)
+
+
+def confirmed_values(spans: str) -> str:
+    """SQL array<string>: the distinct texts that are searched for in the rest of the text, by first span."""
+    return each(_firsts(_confirmed(spans)), lambda f: f"{f}.v")
+
+
+def proposed(raw: str, text: str, spans: str, images: str, occurrences: str | None = None) -> str:
+    """SQL array<PROPOSAL>: every occurrence of a redacted credential, completed to its whole token, clear of images.
+
+    ``occurrences`` may hold the places of all values found elsewhere (array<array<RANGE>> in the order of
+    :func:`confirmed_values`, null where they are to be searched here).
+    """
+
+    def places(v: str, i: str) -> str:
+        searched = literal_ranges(text, v)
+        return searched if occurrences is None else f"if({occurrences} is null, {searched}, {occurrences}[{i}])"
+
+    def found(confirmed: str, firsts: str) -> str:
+        per_value = each_indexed(
+            firsts,
+            lambda f, i: each(
+                places(f"{f}.v", i),
+                lambda o: let(
+                    completed(raw, f"{o}.start", f"{o}.end", CREDENTIAL_CLASS),
+                    lambda r: struct(start=f"{r}.start", end=f"{r}.end", span=f"{confirmed}[{f}.ord]"),
+                ),
+            ),
         )
-        edges = f"array_sort(cast(concat({redacted}, {asked}) as array<{_EDGE}>))"
-        return scan(
-            edges,
-            {"reach": "-1"},
-            lambda a, x: {"reach": f"if({x}.kind = 0, greatest({a}.reach, {x}.end), {a}.reach)"},
-            lambda a, x: f"if({x}.kind = 1 and {a}.reach < {x}.end, array("
-            + struct(start=f"{x}.start", end=f"{x}.end", ord=f"{x}.ord", span=f"{x}.span")
-            + f"), {empty(_PROPOSAL)})",
-            _PROPOSAL,
+        clear = keep(f"flatten({per_value})", lambda p: f"not {some(images, lambda image: overlaps(p, image))}")
+        return each_indexed(
+            clear, lambda x, i: struct(start=f"{x}.start", end=f"{x}.end", ord=i, span=f"{x}.span")
         )
 
+    return let(
+        _confirmed(spans),
+        lambda c: f"if(size({c}) = 0, {empty(_PROPOSAL)}, {let(_firsts(c), lambda f: found(c, f))})",
+    )
+
+
+def uncovered(spans: str, found: str) -> str:
+    """SQL array<PROPOSAL>: proposals that no redacted span holds.
+
+    One sorted pass with the furthest end of the redacted spans that began so far.
+    """
+
+    def late(e: str) -> str:
+        def beyond(reach: str) -> str:
+            edge, index = fresh("x"), fresh("i")
+            return f"filter({e}, ({edge}, {index}) -> {edge}.kind = 1 and coalesce({reach}[{index}], -1) < {edge}.end)"
+
+        return let(prefix_max(each(e, lambda x: f"if({x}.kind = 0, {x}.end, -1)")), beyond)
+
+    redacted = each(
+        keep(spans, lambda s: f"{s}.action = 'redact'"),
+        lambda s: struct(start=f"{s}.byte_start", kind="0", end=f"{s}.byte_end", ord="-1", span=s),
+    )
+    asked = each(found, lambda p: struct(start=f"{p}.start", kind="1", end=f"{p}.end", ord=f"{p}.ord", span=f"{p}.span"))
+    edges = f"array_sort(cast(concat({redacted}, {asked}) as array<{_EDGE}>))"
+    rest = each(
+        let(edges, late), lambda x: struct(start=f"{x}.start", end=f"{x}.end", ord=f"{x}.ord", span=f"{x}.span")
+    )
+    return f"if(size({found}) = 0, {empty(_PROPOSAL)}, {rest})"
+
+
+def added(raw: str, fresh_ones: str) -> str:
+    """SQL array<SPAN>: proposals as spans, in order, without those that an earlier proposal holds.
+
+    Being held is transitive, so comparing with all earlier proposals equals adding them one after the other.
+    """
+
     def first_of_each(run: str) -> str:
         held = keep(
             run,
@@ -139,34 +188,22 @@ def propagated(raw: str, text: str, spans: str, images: str) -> str:
         )
         return f"if(size({run}) = 1, {run}, {held})"
 
-    def added(confirmed: str) -> str:
-        found = proposals(confirmed)
-        clear = let(
-            found,
-            lambda f: f"if(size({images}) = 0, {f}, {keep(f, lambda p: 'not ' + some(images, lambda i: overlaps(p, i)))})",
-        )
-        fresh = let(clear, uncovered)
-        kept = f"flatten({each(islands(fresh, _PROPOSAL), first_of_each)})"
-        ordered = f"array_sort({each(kept, lambda p: struct(ord=f'{p}.ord', p=p))})"
-        return each(
-            ordered,
-            lambda o: struct(
-                entity_group=f"{o}.p.span.entity_group",
-                score=f"{o}.p.span.score",
-                byte_start=f"{o}.p.start",
-                byte_end=f"{o}.p.end",
-                original_text=cut(raw, f"{o}.p.start", f"{o}.p.end"),
-                action=f"{o}.p.span.action",
-                matched_rule_id=f"{o}.p.span.matched_rule_id",
-                priority=f"{o}.p.span.priority",
-            ),
-        )
-
-    confirmed = keep(
-        spans,
-        lambda s: f"{s}.action = 'redact' and {s}.entity_group in ({_CREDENTIAL_LIST}) and {s}.original_text <> ''",
+    kept = f"flatten({each(islands(fresh_ones, _PROPOSAL), first_of_each)})"
+    ordered = f"array_sort({each(kept, lambda p: struct(ord=f'{p}.ord', p=p))})"
+    spans = each(
+        ordered,
+        lambda o: struct(
+            entity_group=f"{o}.p.span.entity_group",
+            score=f"{o}.p.span.score",
+            byte_start=f"{o}.p.start",
+            byte_end=f"{o}.p.end",
+            original_text=cut(raw, f"{o}.p.start", f"{o}.p.end"),
+            action=f"{o}.p.span.action",
+            matched_rule_id=f"{o}.p.span.matched_rule_id",
+            priority=f"{o}.p.span.priority",
+        ),
     )
-    return let(confirmed, lambda c: f"if(size({c}) = 0, {empty(SPAN)}, cast({added(c)} as array<{SPAN}>))")
+    return f"if(size({fresh_ones}) = 0, {empty(SPAN)}, {spans})"
 
 
 def superseded(spans: str) -> str:
@@ -194,9 +231,8 @@ def merged_ranges(spans: str) -> str:
         keep(spans, lambda s: f"{s}.action = 'redact'"),
         lambda s: struct(start=f"{s}.byte_start", end=f"{s}.byte_end", entity_group=f"{s}.entity_group"),
     )
-    item = "struct<start:int,end:int,entity_group:string>"
     return each(
-        islands(placed, item),
+        islands(placed, _NAMED_RANGE),
         lambda run: struct(
             start=f"{run}[0].start",
             end=f"array_max({each(run, lambda x: f'{x}.end')})",
@@ -209,43 +245,139 @@ def placeholder(group: str) -> str:
     return f"concat('<redacted_', {group}, '>')"
 
 
-def outcome(text: str, hits: str, policy: Policy) -> str:
-    """SQL OUTCOME of one text; a text without hits costs nothing but the test."""
+#: From this many distinct credentials in one text on, all are searched in one pass outside the JVM.
+MANY_VALUES = 200
 
-    def work(c: str) -> str:
-        raw, found, images = f"{c}.raw", f"{c}.hits", f"{c}.images"
-        return let(
-            decided(raw, found, images, policy),
-            lambda d: let(
-                superseded(f"concat({d}, {propagated(raw, f'{c}.text', d, images)})"),
-                lambda s: let(
-                    merged_ranges(s),
-                    lambda r: struct(
-                        spans=s,
-                        ranges=r,
-                        redacted_text=f"if(size({r}) = 0, {c}.text, {replaced(raw, r, lambda x: placeholder(f'{x}.entity_group'))})",
+_WORK = ("_raw", "_images", "_decided", "_values", "_places", "_proposed", "_fresh", "_added")
+
+
+class _Steps:
+    """Columns computed one after the other, for a row or for every item of an array in it.
+
+    One step per column: the analyzer resolves nested lambdas one level per pass and gives up after a hundred.  Inputs
+    are bound in front of the work, so Catalyst may merge steps but can never pull one into a loop of the next.
+    """
+
+    def __init__(self, df: DataFrame, over: str | None = None):
+        self.df, self.over = df, over
+
+    def add(self, output: str, kind: str, body, shared: dict[str, str] | None = None, **inputs: str) -> None:
+        shared = shared or {}
+        if self.over is None:
+            work = let(
+                struct(**shared, **inputs),
+                lambda c: body(**{name: f"{c}.{name}" for name in (*shared, *inputs)}),
+            )
+        else:
+            kind = f"array<{kind}>"
+            work = let(
+                struct(over_items=self.over, **shared, **inputs),
+                lambda c: each_indexed(
+                    f"{c}.over_items",
+                    lambda _, i: body(
+                        **{name: f"{c}.{name}" for name in shared}, **{name: f"{c}.{name}[{i}]" for name in inputs}
                     ),
                 ),
-            ),
-        )
+            )
+        self.df = self.df.withColumn(output, F.expr(f"cast({work} as {kind})"))
+
 
-    inputs = struct(raw=f"cast({text} as binary)", text=text, hits=hits, images=image_ranges(text))
-    nothing = struct(
-        spans=empty(SPAN), ranges=empty("struct<start:int,end:int,entity_group:string>"), redacted_text=text
+def judged(
+    df: DataFrame, policy: Policy, text: str, hits: str, per: str = "row", many: int | None = None
+) -> DataFrame:
+    """Add ``_spans``, ``_ranges`` and ``_redacted``.
+
+    ``per`` says what is judged: a ``row`` (a text with its hits), every one of the ``texts`` in an array column with its
+    own hits, or every one of the ``hits`` arrays of one text on its own.  The last two give arrays.
+    """
+    steps = _Steps(df, None if per == "row" else hits)
+    raw = each(text, lambda t: f"cast({t} as binary)") if per == "texts" else f"cast({text} as binary)"
+    own = {"raw": raw, "text": text, "images": "_images"}
+    base: dict[str, str] = {}
+    if per == "hits":
+        base, own = own, {}
+
+    def sources(*names: str) -> dict:
+        return {
+            **{n: v for n, v in own.items() if n in names},
+            "shared": {n: v for n, v in base.items() if n in names},
+        }
+
+    if per == "hits":
+        steps.df = steps.df.withColumn("_images", F.expr(image_ranges(text)))
+    else:
+        steps.add("_images", f"array<{RANGE}>", lambda text: image_ranges(text), **sources("text"))
+    steps.add(
+        "_decided",
+        f"array<{SPAN}>",
+        lambda raw, hits, images: f"if(size({hits}) = 0, {empty(SPAN)}, {decided(raw, hits, images, policy)})",
+        hits=hits,
+        **sources("raw", "images"),
+    )
+    extra = {}
+    if many is not None:
+        steps.df = _with_places(steps.df, text, many)
+        extra = {"places": "_places"}
+    steps.add(
+        "_proposed",
+        f"array<{_PROPOSAL}>",
+        lambda raw, text, spans, images, places=None: proposed(raw, text, spans, images, places),
+        spans="_decided",
+        **extra,
+        **sources("raw", "text", "images"),
+    )
+    steps.add("_fresh", f"array<{_PROPOSAL}>", uncovered, spans="_decided", found="_proposed")
+    steps.add("_added", f"array<{SPAN}>", added, fresh_ones="_fresh", **sources("raw"))
+    steps.add(
+        "_spans",
+        f"array<{SPAN}>",
+        lambda first, more: let(f"concat({first}, {more})", superseded),
+        first="_decided",
+        more="_added",
+    )
+    steps.add("_ranges", f"array<{_NAMED_RANGE}>", lambda spans: merged_ranges(spans), spans="_spans")
+    steps.add(
+        "_redacted",
+        "string",
+        lambda raw, text, ranges: f"if(size({ranges}) = 0, {text},"
+        f" {replaced(raw, ranges, lambda x: placeholder(f'{x}.entity_group'))})",
+        ranges="_ranges",
+        **sources("raw", "text"),
+    )
+    return steps.df.drop(*_WORK)
+
+
+def _with_places(df: DataFrame, text: str, many: int) -> DataFrame:
+    """Add ``_places``: where each credential of a text with more than ``many`` of them occurs; null for other texts."""
+
+    @F.pandas_udf(f"array<array<{RANGE}>>")
+    def search(texts: pd.Series, values: pd.Series) -> pd.Series:
+        rows = [None if t is None else literal_occurrences(t, list(v)) for t, v in zip(texts, values)]
+        return pd.Series(rows, index=texts.index, dtype=object)
+
+    values = let("_decided", lambda s: f"if(size({s}) > {many}, {confirmed_values(s)}, cast(array() as array<string>))")
+    crowded = F.size("_values") > many
+    return df.withColumn("_values", F.expr(values)).withColumn(
+        "_places", search(F.when(crowded, F.expr(text)), F.when(crowded, F.col("_values")))
     )
-    return f"if(size({hits}) > 0, cast({let(inputs, work)} as {OUTCOME}), cast({nothing} as {OUTCOME}))"
 
 
-def redact(df: DataFrame, policy: Policy, text: str = "text", hits: str = "hits") -> DataFrame:
-    """Add ``spans``, ``redacted_text``, ``released``, ``redacted`` and ``changed`` to rows with a hit array."""
+def redact(
+    df: DataFrame, policy: Policy, text: str = "text", hits: str = "hits", many: int | None = MANY_VALUES
+) -> DataFrame:
+    """Add ``spans``, ``redacted_text``, ``released``, ``redacted`` and ``changed`` to rows with a hit array.
+
+    ``many`` is the number of distinct credentials in one text from which on they are searched in one pass; None keeps
+    everything in the JVM.  The result is the same.
+    """
     return (
-        df.withColumn("_outcome", F.expr(outcome(f"`{text}`", f"`{hits}`", policy)))
-        .withColumn("spans", F.col("_outcome.spans"))
-        .withColumn("redact_ranges", F.col("_outcome.ranges"))
-        .withColumn("redacted_text", F.col("_outcome.redacted_text"))
+        judged(df, policy, f"`{text}`", f"`{hits}`", many=many)
+        .withColumn("spans", F.col("_spans"))
+        .withColumn("redact_ranges", F.col("_ranges"))
+        .withColumn("redacted_text", F.col("_redacted"))
         .withColumn("released", F.expr("size(filter(spans, s -> s.action = 'release'))"))
         .withColumn("redacted", F.expr("size(filter(spans, s -> s.action = 'redact'))"))
         .withColumn("changed", F.col("redacted") > 0)
-        .drop("_outcome")
+        .drop("_spans", "_ranges", "_redacted")
     )
 

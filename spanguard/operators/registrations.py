@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from spanguard.functions.frames import exploded
+from spanguard.functions.occurrences import automaton, byte_offsets
 from spanguard.functions.offsets import quoted, window_starts
 from spanguard.functions.sqlx import each, empty, keep, let, lit, struct
 from spanguard.operators.policy import Registration, decision_priority, keyword_rules
@@ -83,18 +84,6 @@ def _fold(character: str) -> str:
     return "σ" if lowered == "ς" else lowered
 
 
-def _automaton(texts: tuple[str, ...]):
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for index, text in enumerate(texts):
-        key = "".join(map(_fold, text))
-        if key:
-            machine.add_word(key, (*machine.get(key, ()), index))
-    machine.make_automaton()
-    return machine
-
-
 def _scan_registered(text: str, registrations: tuple[tuple[str, str, bool], ...], machine) -> list[tuple]:
     found = []
     for last, indexes in machine.iter("".join(map(_fold, text))):
@@ -105,12 +94,10 @@ def _scan_registered(text: str, registrations: tuple[tuple[str, str, bool], ...]
             if window == needle or (not sensitive and window.lower() == needle.lower()):
                 found.append((index, first, window, group))
     found.sort(key=lambda f: f[:2])
-    ends = sorted({f[1] for f in found})
-    offsets, position, size = {}, 0, 0
-    for end in ends:
-        size += len(text[position:end].encode())
-        offsets[end], position = size, end
-    return [(group, 1.0, offsets[first], offsets[first] + len(w.encode()), w) for _, first, w, group in found]
+    offsets = byte_offsets(text) if found else ()
+    return [
+        (group, 1.0, int(offsets[first]), int(offsets[first + len(window)]), window) for _, first, window, group in found
+    ]
 
 
 def with_registered_hits(
@@ -134,7 +121,7 @@ def with_registered_hits(
     total = sum(len(r.text) for r in registrations)
     if total > MAX_PATTERN_CHARACTERS:
         raise ValueError(f"registered texts hold {total} characters; at most {MAX_PATTERN_CHARACTERS} can be shipped")
-    if len(registrations) <= native_limit or not _has_automaton():
+    if len(registrations) <= native_limit or automaton(()) is None:
         return per_text(lambda t: native_hits(t, registrations))
 
     listed = tuple((r.text, r.group, r.case_sensitive) for r in registrations)
@@ -143,28 +130,20 @@ def with_registered_hits(
     @F.pandas_udf(f"array<{HIT}>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         patterns = shipped.value
-        machine = _automaton(tuple(p[0] for p in patterns))
+        machine = automaton(["".join(map(_fold, p[0])) for p in patterns])
         for texts in batches:
             yield texts.map(lambda t: _scan_registered(t, patterns, machine), na_action="ignore")
 
     @F.pandas_udf(f"array<array<{HIT}>>")
     def search_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         patterns = shipped.value
-        machine = _automaton(tuple(p[0] for p in patterns))
+        machine = automaton(["".join(map(_fold, p[0])) for p in patterns])
         for lists in batches:
             yield lists.map(lambda texts: [_scan_registered(t, patterns, machine) for t in texts], na_action="ignore")
 
     return df.withColumn(output, (search_all if nested else search)(F.col(text)))
 
 
-def _has_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
 def registered_hits(df: DataFrame, registrations: Sequence[Registration], text: str = "text") -> DataFrame:
     """One row per occurrence of a registered text."""
     kept = [c for c in df.columns if c != text]

@@ -590,7 +590,7 @@ def assigned_providers(spark, d):
         F.expr("o_orderkey % 5 = 0").alias("unnamed"),
     )
     wanted = requests.join(
-        F.broadcast(tables.read_table(spark, d, "nation").select("n_nationkey", "n_name")), "n_nationkey", "left"
+        tables.read_table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", "left"
     ).select(
         "request_id",
         extract.format_of().alias("api_format"),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanguard.functions.frames import exploded
-from spanguard.functions.sqlx import each, each_indexed, empty, keep, let, lit, scan, struct
+from spanguard.functions.sqlx import each, each_indexed, empty, hash_chain, keep, let, link, lit, struct
 from spanguard.operators.extract import FIELD, apply_replacements, collected_by_format, parse_requests
 from spanguard.operators.merge import arbitrated, combined
 from spanguard.operators.policy import Policy
 from spanguard.operators.recognize import Recognizers, builtin_hits
-from spanguard.operators.redact import OUTCOME, outcome
+from spanguard.operators.redact import judged
 from spanguard.operators.registrations import with_registered_hits
 from spanguard.operators.scoring import Scorer
 from spanguard.plans.pipeline import SPAN_SLOTS
@@ -41,22 +41,30 @@ def redact_requests(
         "_certain", F.expr(each("_found", arbitrated))
     )
 
-    def merged(c: str, i: str) -> str:
-        return f"concat({combined(c, f'get(_scored, {i})', closed)}, get(_registered, {i}))"
-
-    judged = certain.withColumn("_hits", F.expr(each_indexed("_certain", merged))).withColumn(
+    hits = let(
+        struct(certain="_certain", scored="_scored", registered="_registered"),
+        lambda c: each_indexed(
+            f"{c}.certain",
+            lambda h, i: f"concat({combined(h, f'{c}.scored[{i}]', closed)}, {c}.registered[{i}])",
+        ),
+    )
+    done = judged(certain.withColumn("_hits", F.expr(hits)), policy, "_texts", "_hits", per="texts").withColumn(
         "outcomes",
-        F.expr(f"cast({each_indexed('_texts', lambda t, i: outcome(t, f'_hits[{i}]', policy))} as array<{OUTCOME}>)"),
+        F.expr(
+            "transform(arrays_zip(_spans, _redacted), z -> named_struct('spans', z._spans, 'redacted_text', z._redacted))"
+        ),
     )
-    changed = keep(
-        each_indexed(
-            "fields",
-            lambda f, i: f"named_struct('pointer', {f}.pointer, 'text', outcomes[{i}].redacted_text,"
-            f" 'envelope', {f}.envelope, 'changed', outcomes[{i}].redacted_text <> {f}.text)",
+    changes = let(
+        struct(fields="fields", outcomes="outcomes"),
+        lambda c: keep(
+            each_indexed(
+                f"{c}.fields",
+                lambda f, i: f"if({c}.outcomes[{i}].redacted_text <> {f}.text, named_struct('pointer', {f}.pointer,"
+                f" 'text', {c}.outcomes[{i}].redacted_text, 'envelope', {f}.envelope), null)",
+            ),
+            lambda r: f"{r} is not null",
         ),
-        lambda r: f"{r}.changed",
     )
-    replaced = each(changed, lambda r: f"named_struct('pointer', {r}.pointer, 'text', {r}.text, 'envelope', {r}.envelope)")
 
     def count_of(action: str) -> Column:
         return F.expr(
@@ -64,10 +72,10 @@ def redact_requests(
         )
 
     counted = (
-        judged.withColumn("replacements", F.expr(f"cast({replaced} as array<{FIELD}>)"))
+        done.withColumn("replacements", F.expr(f"cast({changes} as array<{FIELD}>)"))
         .withColumn("released", count_of("release"))
         .withColumn("redacted", count_of("redact"))
-        .drop("_texts", "_scored", "_registered", "_found", "_certain", "_hits")
+        .drop("_texts", "_scored", "_registered", "_found", "_certain", "_hits", "_spans", "_ranges", "_redacted")
     )
     return apply_replacements(counted), quarantine
 
@@ -153,17 +161,21 @@ def request_turns(df: DataFrame, roots: dict[str, str]) -> DataFrame:
         return let(mine, body)
 
     root = "case api_format " + " ".join(f"when {lit(k)} then {lit(v)}" for k, v in roots.items()) + " end"
-    chained = scan(
-        each(parts, digest),
-        {"h": root},
-        lambda a, x: {"h": f"sha2(concat({a}.h, {x}.digest), 256)"},
-        lambda a, x: "array("
-        + struct(
-            path=f"{x}.path", hash=f"sha2(concat({a}.h, {x}.digest), 256)", parent_hash=f"{a}.h", fields=f"{x}.fields"
+    def linked(p: str) -> str:
+        return let(
+            f"cast({hash_chain(each(p, lambda x: f'{x}.digest'), root)} as binary)",
+            lambda c: each_indexed(
+                p,
+                lambda x, i: struct(
+                    path=f"{x}.path",
+                    hash=link(c, i),
+                    parent_hash=f"if({i} = 0, {root}, {link(c, f'({i} - 1)')})",
+                    fields=f"{x}.fields",
+                ),
+            ),
         )
-        + ")",
-        TURN,
-    )
+
+    chained = f"cast({let(each(parts, digest), linked)} as array<{TURN}>)"
     return df.withColumn("turns", F.expr(chained))
 
 
