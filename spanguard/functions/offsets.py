@@ -9,7 +9,8 @@ from __future__ import annotations
 from spanguard.functions.sqlx import each, each_indexed, empty, fresh, keep, let, lit, prefix_sums, struct
 from spanguard.schemas import RANGE
 
-CANDIDATE = "struct<start:int,end:int,word:string,before:string,after:string>"
+CANDIDATE = "struct<start:int,end:int,word:string>"
+NEIGHBOURED = "struct<start:int,end:int,word:string,before:string,after:string>"
 
 #: Separator put around matches.  A text that holds it gets a blank there instead: one byte for one byte, and a
 #: character that no recognizer accepts, so offsets and matches stay what they were.
@@ -35,8 +36,10 @@ def marked_parts(text: str, pattern: str) -> str:
     return f"split(regexp_replace({safe}, {lit(pattern)}, {lit(MARK + '$0' + MARK)}), {lit(MARK)}, -1)"
 
 
-def candidates(text: str, pattern: str, guard: str | None = None) -> str:
-    """All non-overlapping matches, left to right, with byte offsets and both neighbour characters ('' at an end).
+def candidates(text: str, pattern: str, guard: str | None = None, beside: bool = False) -> str:
+    """All non-overlapping matches, left to right, with byte offsets.
+
+    ``beside`` adds both neighbour characters, ``before`` and ``after`` ('' at an end of the text).
 
     ``guard`` is a cheaper pattern that occurs in every text with a match; most texts then stop there.
     """
@@ -58,13 +61,13 @@ def candidates(text: str, pattern: str, guard: str | None = None) -> str:
                     start=f"{starts}[{i}]",
                     end=f"{starts}[{i}] + octet_length({parts}[{i}])",
                     word=f"{parts}[{i}]",
-                    **neighbours(parts, i),
+                    **(neighbours(parts, i) if beside else {}),
                 ),
             )
 
         return let(prefix_sums(each(parts, lambda p: f"octet_length({p})")), placed)
 
-    return f"if({text} rlike {lit(guard or pattern)}, {let(marked_parts(text, pattern), located)}, {empty(CANDIDATE)})"
+    return f"if({text} rlike {lit(guard or pattern)}, {let(marked_parts(text, pattern), located)}, {empty(NEIGHBOURED if beside else CANDIDATE)})"
 
 
 def quoted(literal: str) -> str:

@@ -135,11 +135,11 @@ def run_hits(text: str, groups: Iterable[str] = tuple(_RUN_GROUPS)) -> str:
 
 
 def mac_hits(text: str) -> str:
-    return each(keep(candidates(text, MAC, MAC_GUARD), stands_alone), lambda c: hit("mac_address", c))
+    return each(keep(candidates(text, MAC, MAC_GUARD, beside=True), stands_alone), lambda c: hit("mac_address", c))
 
 
 def ip_hits(text: str) -> str:
-    return each(keep(candidates(text, IP, IP_GUARD), is_public_address), lambda c: hit("ip_address", c))
+    return each(keep(candidates(text, IP, IP_GUARD, beside=True), is_public_address), lambda c: hit("ip_address", c))
 
 
 def builtin_hits(text: str) -> str:

@@ -372,9 +372,7 @@ def redact(
     """
     return (
         judged(df, policy, f"`{text}`", f"`{hits}`", many=many)
-        .withColumn("spans", F.col("_spans"))
-        .withColumn("redact_ranges", F.col("_ranges"))
-        .withColumn("redacted_text", F.col("_redacted"))
+        .withColumns({"spans": F.col("_spans"), "redact_ranges": F.col("_ranges"), "redacted_text": F.col("_redacted")})
         .withColumn("released", F.expr("size(filter(spans, s -> s.action = 'release'))"))
         .withColumn("redacted", F.expr("size(filter(spans, s -> s.action = 'redact'))"))
         .withColumn("changed", F.col("redacted") > 0)
