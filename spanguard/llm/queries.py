@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanguard.llm import decontaminate, language, pii, sharding
+from spanguard.llm import binary, decontaminate, extract, language, packing, pii, sharding, tokens
 from spanguard.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
+#: Of the public tokenizers; a parameter of both operators that need one.
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query
+def op1_packing(spark, d):
+    pieces = packing.packed(table(spark, d, "documents"), tokens.public_path(TOKENIZER), length=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op4_main_text(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", extract.extracted(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op6_language(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
@@ -65,3 +81,9 @@ def op9_decontamination(spark, d):
         F.sha2(F.array_join(F.array_sort("__items"), ",").cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query
+def op10_token_files(spark, d):
+    docs = table(spark, d, "documents")
+    return binary.read_back(binary.written(docs, tokens.public_path(TOKENIZER)))
