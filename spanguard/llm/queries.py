@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanguard.llm import binary, decontaminate, extract, language, packing, pii, sharding, tokens
+from spanguard.llm import binary, decontaminate, extract, language, packing, pii, resampling, sharding, tokens, vectors
 from spanguard.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,12 +28,24 @@ def op1_packing(spark, d):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op3_quality(spark, d):
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))
+    return resampling.resampled(table(spark, d, "documents"), good, fraction=0.5, seed=2024)
+
+
 @query
 def op4_main_text(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", extract.extracted(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query
+def op5_near_vectors(spark, d):
+    return vectors.near_duplicates(table(spark, d, "embeddings"), least=0.9)
+
+
 @query
 def op6_language(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
