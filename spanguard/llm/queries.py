@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanguard.llm import binary, decontaminate, extract, language, packing, pii, resampling, sharding, tokens, vectors
+from spanguard.llm import binary, decontaminate, extract, jaccard, language, packing, pii, resampling, sharding, tokens, vectors
 from spanguard.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def held_out() -> Column:
+    """Rows that no language model learns from; a null id is not among them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 #: Of the public tokenizers; a parameter of both operators that need one.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +33,11 @@ def op1_packing(spark, d):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op2_ngram_join(spark, d):
+    return jaccard.joined(table(spark, d, "documents"), width=4, least=85)
+
+
 @query
 def op3_quality(spark, d):
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -49,9 +59,8 @@ def op5_near_vectors(spark, d):
 @query
 def op6_language(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    model = language.fit(docs.where(~held_out))
-    found = docs.select("doc_id", held_out.alias("held_out"), language.predicted(docs, model).alias("p"))
+    model = language.fit(docs.where(~held_out()))
+    found = docs.select("doc_id", held_out().alias("held_out"), language.predicted(docs, model).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
