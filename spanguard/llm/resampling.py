@@ -11,7 +11,8 @@ from spanguard.llm.rows import numbered
 from spanguard.llm.worker import kept
 
 BINS = 1 << 14
-SMOOTHING = 1.0
+#: The target model starts from so many n-grams drawn from the raw model.
+PRIOR = 500.0
 
 
 def bins(column) -> tuple[np.ndarray, np.ndarray]:
@@ -36,13 +37,14 @@ def _counted(batches):
 
 
 def ratios(df: DataFrame, text: str, target: Column) -> np.ndarray:
-    """Log ratio of the smoothed probabilities of each bin, target over raw; counts of all rows, summed bin by bin."""
+    """Log ratio of the probabilities of each bin, target over raw; counts of all rows, summed bin by bin."""
     rows = df.select(F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     found = rows.mapInArrow(_counted, "model long, bin long, n long").groupBy("model", "bin").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, BINS))
     counts[found.column("model").to_numpy(), found.column("bin").to_numpy()] = found.column("n").to_numpy()
-    logs = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BINS))
-    return logs[1] - logs[0]
+    raw, target = counts
+    share = (raw + 0.5) / (raw.sum() + 0.5 * BINS)
+    return np.log((target + PRIOR * share) / (target.sum() + PRIOR) / share)
 
 
 def weight(df: DataFrame, text: str, table: np.ndarray) -> Column:
