@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanguard.functions.sqlx import each, each_indexed, hash_chain, let, link, lit, struct
 from spanguard.operators.scoring import Scorer
 
-CHAIN_VERSION = "turn-chain-1"
-#: Turns of one conversation that are chained in one task.
+CHAIN_VERSION = "turn-chain-2"
+#: Turn numbers whose sums are made in one task.
 CHAIN_BLOCK = 2048
+#: Numbers of 60 bits that a digest gives.
+CHAIN_LANES = 4
 DEFAULT_ENTRIES, DEFAULT_BYTES = 4096, 16 * 1024 * 1024
 
 
@@ -100,79 +101,70 @@ def turn_chain(
 ) -> DataFrame:
     """Add ``hash`` and ``parent_hash``: a turn's hash covers everything up to it.
 
-    Every turn is reduced to a digest first.  Digests are chained in blocks of turn numbers, and the ends of the blocks
-    are chained with each other; so only digests are ever gathered, at most ``block`` of them at a time plus one per
-    block.  A turn's hash still depends on its prefix alone: equal prefixes share hashes, an edit branches off.
+    A turn is reduced to a digest, which is hashed with the turn's place in its conversation and cut into four numbers.
+    The hash of a turn is the hash of the root, its place and the running sums of those numbers.  It depends on nothing but
+    the contents up to the turn: equal prefixes share hashes whatever their turns are numbered, an edit branches off.
+    Sums are made inside blocks of turn numbers and carried on from block to block, so a long conversation is dealt to
+    many tasks; ``block`` changes nothing in the result.  Null keys are a conversation like others; turns with one
+    number follow each other in the order of their digests, every row keeps its own hash.
     """
     keys = list(keys)
     digest = F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content])), 256)
-    digests = turns.select(*keys, F.col(turn).alias("_turn"), digest.alias("_digest")).withColumn(
-        "_block", F.floor(F.col("_turn") / block)
+    # A struct is never null, so null keys join and group like values.
+    group = F.struct(*keys, F.floor(F.col(turn) / block).alias("_block"))
+    base = turns.withColumn("_digest", digest).withColumn("_group", group)
+    small = base.select("_group", turn, "_digest")
+    conversation = F.struct(*[F.col(f"_group.{k}") for k in keys])
+    earlier = (
+        Window.partitionBy(conversation)
+        .orderBy(F.col("_group._block").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-
-    def chained(array: str) -> str:
-        """SQL array<struct<at, hash, parent>> for digests sorted by turn."""
-        return let(
-            f"cast({hash_chain(each(array, lambda x: f'{x}._digest'), lit(root))} as binary)",
-            lambda c: each_indexed(
-                array,
-                lambda x, i: struct(
-                    at=f"cast({x}._turn as bigint)",
-                    hash=link(c, i),
-                    parent=f"if({i} = 0, {lit(root)}, {link(c, f'({i} - 1)')})",
-                ),
-            ),
+    inside = Window.partitionBy("_group").orderBy(F.col(turn).asc_nulls_first(), "_digest")
+    lanes = [f"_lane{i}" for i in range(CHAIN_LANES)]
+    zero = F.lit(0).cast("decimal(38,0)")
+
+    ahead = small.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = ahead.select("_group", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        numbered = rows.join(ahead, "_group").withColumn("_place", F.col("_ahead") + F.row_number().over(inside))
+        numbered = numbered.withColumn("_mixed", F.sha2(F.concat_ws(":", "_place", "_digest"), 256))
+        return numbered.withColumns(
+            {
+                lane: F.conv(F.substring("_mixed", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+                for i, lane in enumerate(lanes)
+            }
         )
 
-    blocks = (
-        digests.groupBy(*keys, "_block")
-        .agg(F.array_sort(F.collect_list(F.struct("_turn", "_digest"))).alias("_turns"))
-        .withColumn("_chain", F.expr(chained("_turns")))
-        .drop("_turns")
-    )
-    ends = blocks.select(*keys, "_block", F.expr("element_at(_chain, -1).hash").alias("_digest"))
-    prefixes = (
-        ends.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("_turn"), "_digest"))).alias("_blocks"))
-        .select(*keys, F.explode_outer(F.expr(chained("_blocks"))).alias("_p"))
-        .select(
-            *keys,
-            F.col("_p.at").alias("_block"),
-            F.when(F.col("_p.parent") != root, F.col("_p.parent")).alias("_prefix"),
-        )
+    totals = placed(small).groupBy("_group").agg(*[F.sum(lane).alias(lane) for lane in lanes])
+    before = totals.select(
+        "_group", *[F.coalesce(F.sum(lane).over(earlier).cast("decimal(38,0)"), zero).alias(f"_before{lane}") for lane in lanes]
     )
-    # Hash of the turn before a block: the last one of the block before, under that block's own prefix.
-    before = Window.partitionBy(*keys).orderBy("_block")
-    bound = (
-        prefixes.join(ends, [*keys, "_block"])
-        .withColumn("_end", F.expr("if(_prefix is null, _digest, sha2(concat(_prefix, _digest), 256))"))
-        .withColumn("_before", F.lag("_end").over(before))
-        .select(*keys, "_block", "_prefix", "_before")
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed(base).join(before, "_group")
+    summed = summed.withColumns(
+        {f"_sum{lane}": F.col(f"_before{lane}") + F.sum(lane).over(running).cast("decimal(38,0)") for lane in lanes}
     )
-    named = (
-        blocks.join(bound, [*keys, "_block"])
-        .select(*keys, "_prefix", "_before", F.posexplode_outer("_chain").alias("_pos", "_c"))
-        .select(
-            *keys,
-            F.col("_c.at").alias(turn),
-            _under_prefix("_c.hash").alias("hash"),
-            F.when(F.col("_pos") > 0, _under_prefix("_c.parent"))
-            .otherwise(F.coalesce("_before", F.lit(root)))
-            .alias("parent_hash"),
-        )
-    )
-    return turns.join(named, [*keys, turn])
 
+    def hashed(place: Column, sums: list[Column]) -> Column:
+        return F.sha2(F.concat_ws(":", F.lit(root), place, *[x.cast("decimal(38,0)") for x in sums]), 256)
 
-def _under_prefix(column: str) -> Column:
-    return F.expr(f"if(_prefix is null, {column}, sha2(concat(_prefix, {column}), 256))")
+    last = hashed(F.col("_place") - 1, [F.col(f"_sum{lane}") - F.col(lane) for lane in lanes])
+    return (
+        summed.withColumn("hash", hashed(F.col("_place"), [F.col(f"_sum{lane}") for lane in lanes]))
+        .withColumn("parent_hash", F.when(F.col("_place") == 1, F.lit(root)).otherwise(last))
+        .select(*turns.columns, "hash", "parent_hash")
+    )
 
 
 def lookup_nodes(chained: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Turns with their stored node, if any: ``stored_parent``, ``stored_hits`` and ``already_audited``."""
-    stored = nodes.select(
-        F.col("hash").alias("_h"), F.col("parent_hash").alias("stored_parent"), F.col("hits").alias("stored_hits")
-    )
+    """Turns with their stored node, if any: ``stored_parent``, ``stored_hits`` and ``already_audited``.
+
+    A node that was stored twice counts once.
+    """
+    stored = nodes.groupBy(F.col("hash").alias("_h")).agg(F.min(F.struct("parent_hash", "hits")).alias("_n"))
+    stored = stored.select("_h", F.col("_n.parent_hash").alias("stored_parent"), F.col("_n.hits").alias("stored_hits"))
     return (
         chained.join(stored, chained["hash"] == F.col("_h"), "left")
         .withColumn("already_audited", F.col("_h").isNotNull())
@@ -180,9 +172,6 @@ def lookup_nodes(chained: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-split_replay = lookup_nodes
-
-
 def node_violations(replayed: DataFrame, text: str = "text") -> DataFrame:
     """Stored results that do not fit their turn: other parent, other number of fields, or a word that is no slice."""
     wrong_word = F.expr(

@@ -70,17 +70,19 @@ def has_finite_logits(logits: str = "logits") -> Column:
 
 
 def token_violations(tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """Tokens whose range is reversed, leaves the text or runs backwards, or whose logits are not finite."""
+    """Tokens without a text, whose range is missing, reversed, leaves the text or runs backwards, or whose logits are not finite."""
     order = Window.partitionBy("doc_id").orderBy("token_idx")
     sizes = texts.select("doc_id", F.octet_length("text").alias("_size"))
     return (
         tokens.select("doc_id", "token_idx", "start", "end", has_finite_logits().alias("_finite"))
         .withColumn("_last_start", F.lag("start", 1, 0).over(order))
         .withColumn("_last_end", F.lag("end", 1, 0).over(order))
-        .join(sizes, "doc_id")
+        .join(sizes, "doc_id", "left")
         .withColumn(
             "violation",
-            F.when(~F.col("_finite"), "logits")
+            F.when(F.col("_size").isNull(), "no_text")
+            .when(~F.coalesce("_finite", F.lit(False)), "logits")
+            .when(F.col("start").isNull() | F.col("end").isNull(), "offsets")
             .when(F.col("start") > F.col("end"), "reversed")
             .when(F.col("end") > F.col("_size"), "outside")
             .when((F.col("start") < F.col("_last_start")) | (F.col("end") < F.col("_last_end")), "unordered"),
@@ -90,9 +92,32 @@ def token_violations(tokens: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def checked(tokens: DataFrame) -> DataFrame:
+    """The same tokens; one with unusable logits, or with a range that is missing, reversed or runs backwards, fails the job.
+
+    A prediction that cannot be read must not be taken for a text without private data.
+    """
+    order = Window.partitionBy("doc_id").orderBy("token_idx")
+    backwards = (F.col("start") < F.lag("start", 1, 0).over(order)) | (F.col("end") < F.lag("end", 1, 0).over(order))
+    broken = (
+        F.when(~F.coalesce(has_finite_logits(), F.lit(False)), "logits")
+        .when(F.col("start").isNull() | F.col("end").isNull(), "offsets")
+        .when(F.col("start") > F.col("end"), "reversed")
+        .when(backwards, "unordered")
+    )
+    where = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(", token "), "token_idx")
+    start = F.when(F.col("_broken").isNull(), F.col("start")).otherwise(
+        F.raise_error(F.concat(F.lit("token prediction not usable ("), "_broken", F.lit("): "), where)).cast("int")
+    )
+    return tokens.withColumn("_broken", broken).withColumn("start", start).drop("_broken")
+
+
 def labelled(tokens: DataFrame) -> DataFrame:
-    """Add ``label_id`` (highest logit) and its ``probability``; the logits are not needed any more."""
-    scored = tokens.withColumn("label_id", token_label())
+    """Add ``label_id`` (highest logit) and its ``probability``; the logits are not needed any more.
+
+    Tokens that :func:`checked` refuses fail the job.
+    """
+    scored = checked(tokens).withColumn("label_id", token_label())
     return scored.withColumn("probability", label_probability("label_id")).drop("logits")
 
 
@@ -107,7 +132,8 @@ def viterbi_labelled(tokens: DataFrame) -> DataFrame:
         probability = shifted[np.arange(len(path)), path] / shifted.sum(axis=1)
         return pdf[["doc_id", "token_idx", "start", "end"]].assign(label_id=path, probability=probability)
 
-    return tokens.select("doc_id", "token_idx", "start", "end", "logits").groupBy("doc_id").applyInPandas(
+    usable = checked(tokens.select("doc_id", "token_idx", "start", "end", "logits"))
+    return usable.groupBy("doc_id").applyInPandas(
         best, "doc_id bigint, token_idx int, start int, end int, label_id int, probability double"
     )
 
@@ -176,17 +202,21 @@ def decode_spans(labels: DataFrame) -> DataFrame:
 def with_words(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """Widen spans to character boundaries and add their word.
 
-    Spans are gathered per document, so each text is joined once however many spans it has.
+    Spans are gathered per document, so each text is joined once however many spans it has.  A span of a document without
+    text, or beyond the end of its text, fails the job.
     """
     gathered = spans.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "entity_group", "score"))).alias("_spans")
     )
+    fits = F.expr("text is not null and forall(_spans, s -> s.end <= octet_length(text))")
+    refused = F.concat(F.lit("spans outside the text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     widen = let(
         "cast(text as binary)",
         lambda raw: f"transform(_spans, s -> {let(widened(raw, 's.start', 's.end'), lambda r: _hit(raw, r))})",
     )
     return (
-        gathered.join(texts.select("doc_id", "text"), "doc_id")
+        gathered.join(texts.select("doc_id", "text"), "doc_id", "left")
+        .withColumn("text", F.when(fits, F.col("text")).otherwise(F.raise_error(refused).cast("string")))
         .select("doc_id", F.explode_outer(F.expr(widen)).alias("h"))
         .select("doc_id", "h.*")
     )

@@ -156,27 +156,34 @@ def registered_hits(df: DataFrame, registrations: Sequence[Registration], text:
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def apply_decisions(rules: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_decisions(rules: DataFrame, decisions: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Record one decision per text; returns (new rules table, outcome per decision).
 
     ``decisions`` has ``original_text``, ``action``, ``entity_group`` and ``new_id`` (used only if the text has no
-    registration yet).  The registration that counts is kept and rewritten, all other registrations of the text go.
-    A decision that repeats the only registration changes nothing.
+    registration yet).  Texts that differ in case only are one text: the last decision on it counts (by ``order``, then by
+    ``new_id``), and every decision gets the outcome of that one.  The registration that counts is kept and rewritten, all
+    other registrations of the text go.  A decision that repeats the only registration changes nothing.
     """
     columns = rules.columns
     operator = keyword_rules(rules).where(F.col("source") == "approval")
-    asked = decisions.withColumnRenamed("action", "new_action")
-    # A decision meets every registration of its text: the exact ones by text, the others by folded text.
-    exact = operator.where("case_sensitive").alias("r").join(
-        asked.alias("d"), F.col("r.keyword") == F.col("d.original_text")
-    )
-    folded = operator.where("not case_sensitive").alias("r").join(
-        asked.alias("d"), F.lower(F.col("r.keyword")) == F.lower(F.col("d.original_text"))
+    given = decisions.where(F.col("original_text").isNotNull()).withColumn("_text", F.lower("original_text"))
+    place = F.struct(*([F.col(order)] if order else []), "new_id", "original_text")
+    asked = (
+        given.groupBy("_text")
+        .agg(
+            F.max_by(F.struct("original_text", "action", "entity_group", "new_id"), place).alias("_d"),
+            F.collect_set("original_text").alias("_spellings"),
+        )
+        .select("_text", "_spellings", "_d.original_text", F.col("_d.action").alias("new_action"), "_d.entity_group", "_d.new_id")
     )
-    pairs = exact.select("r.*", "d.original_text", "d.new_action").unionByName(
-        folded.select("r.*", "d.original_text", "d.new_action")
+    # A decision meets every registration of its text: the exact ones in any spelling it was decided on.
+    pairs = (
+        operator.alias("r")
+        .join(asked.alias("d"), F.lower("r.keyword") == F.col("d._text"))
+        .where(F.expr("not r.case_sensitive or array_contains(d._spellings, r.keyword)"))
+        .select("r.*", "d._text", "d.new_action")
     )
-    per_text = Window.partitionBy("original_text")
+    per_text = Window.partitionBy("_text")
     ranked = pairs.withColumn(
         "place", F.row_number().over(per_text.orderBy(F.desc("priority"), "id"))
     ).withColumn("registered", F.count(F.lit(1)).over(per_text))
@@ -200,7 +207,8 @@ def apply_decisions(rules: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
         "category",
     )
     stale = ranked.where("place > 1").select("id").unionByName(survivors.where("changed").select("id")).distinct()
-    created = asked.join(survivors.select("original_text"), "original_text", "left_anti").select(
+    fresh = asked.join(survivors.select("_text"), "_text", "left_anti")
+    created = fresh.select(
         F.col("new_id").alias("id"),
         F.concat(F.lit("approval."), F.col("new_action")).alias("name"),
         profile(F.col("new_action")).alias("priority"),
@@ -223,11 +231,10 @@ def apply_decisions(rules: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
         F.col("entity_group").alias("category"),
     )
     kept = rules.join(stale, "id", "left_anti")
-    outcome = survivors.select("original_text", F.col("id").alias("rule_id"), "changed").unionByName(
-        asked.join(survivors.select("original_text"), "original_text", "left_anti").select(
-            "original_text", F.col("new_id").alias("rule_id"), F.lit(True).alias("changed")
-        )
+    of_text = survivors.select("_text", F.col("id").alias("rule_id"), "changed").unionByName(
+        fresh.select("_text", F.col("new_id").alias("rule_id"), F.lit(True).alias("changed"))
     )
+    outcome = given.select("original_text", "_text").join(of_text, "_text").select("original_text", "rule_id", "changed")
     new_rules = kept.select(*columns).unionByName(rewritten.select(*columns)).unionByName(created.select(*columns))
     return new_rules, outcome
 

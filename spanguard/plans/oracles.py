@@ -648,10 +648,12 @@ ORACLES["category_backfill"] = select(
 def decision_parts() -> list[str]:
     return [
         *summary_parts(),
-        """asked AS MATERIALIZED (
+        """every AS MATERIALIZED (
   SELECT s.original_text, CASE WHEN redacted = 0 THEN 'redact' ELSE 'release' END AS wish, e.entity_group,
          'operator.' || sha256(s.original_text) AS new_id
   FROM summary s JOIN evidence e ON e.original_text = s.original_text AND e.place = 0)""",
+        """asked AS MATERIALIZED (
+  SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY lower(original_text) ORDER BY new_id DESC) = 1)""",
         """met AS MATERIALIZED (
   SELECT a.*, r.id, r.action, r.enabled, r.source, r.category FROM asked a JOIN rules r ON lower(r.keyword) = lower(a.original_text))""",
     ]
@@ -675,8 +677,8 @@ ORACLES["decisions_applied"] = select(
 )
 ORACLES["decision_outcome"] = select(
     decision_parts(),
-    """SELECT original_text, id AS rule_id, action <> wish AS changed FROM met
-       UNION ALL SELECT original_text, new_id, true FROM asked WHERE original_text NOT IN (SELECT original_text FROM met)""",
+    """SELECT e.original_text, coalesce(m.id, a.new_id) AS rule_id, m.id IS NULL OR m.action <> m.wish AS changed
+       FROM every e JOIN asked a ON lower(a.original_text) = lower(e.original_text) LEFT JOIN met m ON m.original_text = a.original_text""",
 )
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -765,12 +767,15 @@ SELECT user_id, count(*) FILTER (event_type = 'click') AS completed_inputs,
 FROM events GROUP BY user_id"""
 ORACLES["new_outcomes"] = select(
     [REQUESTS],
-    """SELECT 'u' || user_id AS request_id, arg_min(started_at, seq) AS started_at, arg_min(duration_ms, seq) AS duration_ms, min(seq) AS seq
-       FROM requests WHERE user_id NOT IN (SELECT user_id FROM requests WHERE seq % 40 = 0) GROUP BY user_id""",
+    """SELECT request_id, started_at, duration_ms, seq FROM (
+         SELECT 'u' || user_id AS request_id, started_at, duration_ms, n AS seq,
+                row_number() OVER (PARTITION BY user_id ORDER BY n NULLS LAST, started_at, duration_ms) AS place
+         FROM (SELECT *, CASE WHEN seq % 3 <> 1 THEN seq END AS n FROM requests)
+         WHERE user_id NOT IN (SELECT user_id FROM requests WHERE seq % 40 = 0 AND seq % 3 <> 1)) t WHERE place = 1""",
 )
 ORACLES["attached_performance"] = select(
     [REQUESTS],
-    """SELECT request_id, CASE WHEN seq % 3 = 0 THEN 's' || seq WHEN event_type = 'click' THEN
+    """SELECT request_id, CASE WHEN seq % 3 = 0 THEN 's' || seq || '.2' WHEN event_type = 'click' THEN
          '{"tokens":' || (k * (seq % 5)) || ',"first_result_ms":' || (CASE WHEN seq % 4 = 0 THEN 'null' ELSE k::VARCHAR END)
          || ',"tokenization_ms":' || (seq % 7) || ',"validation_ms":' || (seq % 3) || ',"forward_ms":' || (k + 1)
          || ',"decoding_ms":' || (seq % 11) || '}' END AS model_performance_json FROM requests""",
@@ -800,13 +805,19 @@ ORACLES["scannable_turns"] = "SELECT conv_id, turn, role FROM conversations WHER
 
 
 def chain_cte(name: str, source: str, root: str) -> str:
-    """Chain of sha256 over JSON [role, text] digests.  Conversations here have fewer turns than one block."""
+    """Chain of sha256 over the place and the running sums of four numbers from the JSON [role, text] digests."""
+    lanes = range(4)
+    sums = ", ".join(f"s{i}" for i in lanes)
+    less = ", ".join(f"s{i} - l{i}" for i in lanes)
     return f"""{name} AS (
-  SELECT conv_id, turn, sha256({root} || sha256(to_json([role, text]))) AS hash, {root} AS parent_hash
-  FROM {source} WHERE turn = 0
-  UNION ALL
-  SELECT t.conv_id, t.turn, sha256(c.hash || sha256(to_json([t.role, t.text]))), c.hash
-  FROM {name} c JOIN {source} t ON t.conv_id = c.conv_id AND t.turn = c.turn + 1)"""
+  SELECT conv_id, turn, sha256(concat_ws(':', root, place, {sums})) AS hash,
+         CASE WHEN place = 1 THEN root ELSE sha256(concat_ws(':', root, place - 1, {less})) END AS parent_hash
+  FROM (SELECT *, {", ".join(f"sum(l{i}) OVER w AS s{i}" for i in lanes)}
+        FROM (SELECT *, {", ".join(f"('0x' || substr(mixed, {1 + 15 * i}, 15))::BIGINT AS l{i}" for i in lanes)}
+              FROM (SELECT *, sha256(place || ':' || digest) AS mixed
+                    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, digest) AS place
+                          FROM (SELECT conv_id, turn, {root} AS root, sha256(to_json([role, text])) AS digest FROM {source}))))
+        WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)))"""
 
 
 def _identity(**parameters: object) -> str:
@@ -815,8 +826,8 @@ def _identity(**parameters: object) -> str:
     return hashlib.sha256("\x1f".join(f"{k}={parameters[k]!r}" for k in sorted(parameters)).encode()).hexdigest()
 
 
-ROOT = q(_identity(version="turn-chain-1", scorer="stand-in-1", format="conversation"))
-OTHER = q(_identity(version="turn-chain-1", scorer="other", format="conversation"))
+ROOT = q(_identity(version="turn-chain-2", scorer="stand-in-1", format="conversation"))
+OTHER = q(_identity(version="turn-chain-2", scorer="other", format="conversation"))
 ORACLES["turn_chain"] = "WITH RECURSIVE " + chain_cte("ch", "conversations", ROOT) + " SELECT * FROM ch"
 ORACLES["replay_split"] = (
     "WITH RECURSIVE "
@@ -904,13 +915,14 @@ ORACLES["token_violations"] = select(
         tokens_cte("tok"),
         """broken AS (SELECT doc_id, token_idx, CASE WHEN token_idx = 7 AND doc_id % 2 = 0 THEN 1 ELSE s END AS s, e,
                              token_idx = 3 AND doc_id % 3 = 0 AS nan FROM tok)""",
-        """seen AS (SELECT *, coalesce(lag(s) OVER w, 0) AS ls, coalesce(lag(e) OVER w, 0) AS le FROM broken
+        "moved AS (SELECT CASE WHEN doc_id % 5 = 4 THEN -1 - doc_id ELSE doc_id END AS doc_id, token_idx, s, e, nan FROM broken)",
+        """seen AS (SELECT *, coalesce(lag(s) OVER w, 0) AS ls, coalesce(lag(e) OVER w, 0) AS le FROM moved
                     WINDOW w AS (PARTITION BY doc_id ORDER BY token_idx))""",
     ],
     """SELECT doc_id, token_idx, violation FROM (
-         SELECT t.doc_id, token_idx, CASE WHEN nan THEN 'logits' WHEN s > e THEN 'reversed' WHEN e > strlen(d.text) THEN 'outside'
+         SELECT t.doc_id, token_idx, CASE WHEN d.text IS NULL THEN 'no_text' WHEN nan THEN 'logits' WHEN s > e THEN 'reversed' WHEN e > strlen(d.text) THEN 'outside'
                                         WHEN s < ls OR e < le THEN 'unordered' END AS violation
-         FROM seen t JOIN documents d ON d.doc_id = t.doc_id) x WHERE violation IS NOT NULL""",
+         FROM seen t LEFT JOIN documents d ON d.doc_id = t.doc_id) x WHERE violation IS NOT NULL""",
 )
 ORACLES["prediction_compare"] = select(
     [

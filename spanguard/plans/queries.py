@@ -557,7 +557,10 @@ def inference_progress(spark, d):
 def new_outcomes(spark, d):
     """Outcomes of users as request ids: the first per id counts, and ids that are in the table already do not."""
     rows = setup.event_requests(spark, d).select(
-        F.concat(F.lit("u"), "user_id").alias("request_id"), "started_at", "duration_ms", "seq"
+        F.concat(F.lit("u"), "user_id").alias("request_id"),
+        "started_at",
+        "duration_ms",
+        F.expr("if(seq % 3 = 1, null, seq)").alias("seq"),
     )
     fresh = tables.new_outcomes(rows, rows.where("seq % 40 = 0").select("request_id"), "seq")
     return fresh
@@ -567,9 +570,10 @@ def new_outcomes(spark, d):
 def attached_performance(spark, d):
     requests = setup.event_requests(spark, d)
     samples = requests.where(F.col("seq") % 3 == 0).select(
-        "request_id", F.concat(F.lit("s"), "seq").alias("performance_json")
+        "request_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("n"), "seq"
     )
-    return tables.attach_performance(requests, samples).select("request_id", "model_performance_json")
+    samples = samples.select("request_id", "n", F.concat(F.lit("s"), "seq", F.lit("."), "n").alias("performance_json"))
+    return tables.attach_performance(requests, samples, "n").select("request_id", "model_performance_json")
 
 
 @query
@@ -707,8 +711,8 @@ def viterbi_spans(spark, d):
 
 @query
 def decoded_words(spark, d):
-    texts = setup.documents(spark, d).where(F.octet_length("text") >= 60)
-    return decode.decode(setup.embedding_tokens(spark, d), texts).withColumn("score", F.round("score", 9))
+    found = decode.decode(setup.fitted_tokens(spark, d), setup.documents(spark, d))
+    return found.withColumn("score", F.round("score", 9))
 
 
 @query
@@ -718,6 +722,8 @@ def token_violations(spark, d):
         "logits",
         F.expr("if(token_idx = 3 and doc_id % 3 = 0, transform(logits, x -> cast('NaN' as float)), logits)"),
     )
+    # Every fifth document has no text.
+    broken = broken.withColumn("doc_id", F.expr("if(doc_id % 5 = 4, -1 - doc_id, doc_id)"))
     return decode.token_violations(broken, setup.documents(spark, d))
 
 

@@ -58,7 +58,7 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
 
 def document_fragments(spark: SparkSession, directory: str) -> DataFrame:
     """Documents as judged texts: where they came from and when."""
-    table = spread(read_table(spark, directory, "documents"), "doc_id")
+    table = spread(read_table(spark, directory, "documents"))
     return table.select(
         F.concat(F.lit("f"), "doc_id").alias("id"),
         F.concat(F.lit("req-"), F.col("doc_id") % 97).alias("request_id"),
@@ -137,13 +137,20 @@ def embedding_tokens(spark: SparkSession, directory: str, shift: int = 0, scale:
     )
 
 
+def fitted_tokens(spark: SparkSession, directory: str) -> DataFrame:
+    """The same tokens with offsets that end where the text of their document does."""
+    sizes = read_table(spark, directory, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_size"))
+    tokens = embedding_tokens(spark, directory).join(sizes, "doc_id")
+    return tokens.withColumn("start", F.least("start", "_size")).withColumn("end", F.least("end", "_size")).drop("_size")
+
+
 def _json(column: str) -> str:
     """SQL: a text as JSON string."""
     return f"substring(to_json(array({column})), 2, char_length(to_json(array({column}))) - 2)"
 
 
 def _bodies(spark: SparkSession, directory: str, prefix: str, path: str, api_format: str, body: str) -> DataFrame:
-    return spread(read_table(spark, directory, "documents"), "doc_id").select(
+    return spread(read_table(spark, directory, "documents")).select(
         F.concat(F.lit(prefix), "doc_id").alias("request_id"),
         F.lit(path).alias("path"),
         F.lit(api_format).alias("api_format"),

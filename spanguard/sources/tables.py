@@ -19,22 +19,24 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work where a small input comes in fewer splits than there are cores.
+#: Splits up to which rows are dealt out anew: at most this many times the split size are ever moved.
+FEW_SPLITS = 2
 
-    Text work is CPU-bound, and a file with one row group is one task.  Large inputs have more splits than cores and
-    stay as they are: their texts are never shuffled.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work where the whole input is one or two splits, as a small file with one row group is.
+
+    Rows are dealt round robin, so no key is crowded.  Larger inputs stay as they are: their texts are never moved.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(2 * cores, key) if splits < cores else df
+    if df.rdd.getNumPartitions() > FEW_SPLITS:
+        return df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_corpus(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Keys and ``text`` of a text table."""
     keys, text = CORPORA[name]
-    return spread(read_table(spark, directory, name), keys[0]).select(*keys, F.col(text).alias("text"))
+    return spread(read_table(spark, directory, name).select(*keys, F.col(text).alias("text")))
 
 
 def read_fragments(spark: SparkSession, path: str) -> DataFrame:
@@ -98,16 +100,33 @@ def write_outcomes(outcomes: DataFrame, path: str, order: str = "started_at") ->
 
 
 def new_outcomes(outcomes: DataFrame, existing: DataFrame | None, order: str = "started_at") -> DataFrame:
-    first = outcomes.groupBy("request_id").agg(
-        F.min_by(F.struct(*[c for c in outcomes.columns if c != "request_id"]), order).alias("_o")
-    )
+    """The earliest outcome of every request that is not in ``existing``.
+
+    An outcome without ``order`` comes after those with one; equal ones are told apart by their values.  Outcomes without
+    a request id are one request.
+    """
+    rest = [c for c in outcomes.columns if c != "request_id"]
+    place = F.struct(F.col(order).isNull(), F.col(order), F.to_json(F.struct(*rest)))
+    first = outcomes.groupBy("request_id").agg(F.min_by(F.struct(*rest), place).alias("_o"))
     rows = first.select("request_id", "_o.*").select(*outcomes.columns)
-    return rows if existing is None else rows.join(existing.select("request_id"), "request_id", "left_anti")
+    if existing is None:
+        return rows
+    known = existing.select(F.col("request_id").alias("_known"))
+    return rows.join(known, rows["request_id"].eqNullSafe(known["_known"]), "left_anti")
+
 
+def attach_performance(outcomes: DataFrame, performance: DataFrame, order: str | None = None) -> DataFrame:
+    """Outcomes with the latest model sample of their request, where there is one (``request_id``, ``performance_json``).
 
-def attach_performance(outcomes: DataFrame, performance: DataFrame) -> DataFrame:
-    """Outcomes with the model sample of their request, where there is one (``request_id``, ``performance_json``)."""
-    samples = performance.select("request_id", F.col("performance_json").alias("_sample"))
+    ``order`` names the column of samples that tells which is the latest; without it, and among equals, the greatest sample
+    counts.  Every outcome is returned once.
+    """
+    place = F.struct(*([F.col(order)] if order else []), "performance_json")
+    samples = (
+        performance.where(F.col("performance_json").isNotNull())
+        .groupBy("request_id")
+        .agg(F.max_by("performance_json", place).alias("_sample"))
+    )
     joined = outcomes.join(samples, "request_id", "left")
     if "model_performance_json" in outcomes.columns:
         sample = F.coalesce("_sample", "model_performance_json")
@@ -142,9 +161,12 @@ def payloads(df: DataFrame, original: str = "text", rewritten: str = "redacted_t
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where nothing has been written; any other failure to read it is an error."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
