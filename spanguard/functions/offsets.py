@@ -50,6 +50,11 @@ def candidates(text: str, pattern: str, guard: str | None = None, beside: bool =
             after=let(f"get({parts}, {i} + 1)", lambda p: f"left(if({p} <> '', {p}, coalesce(get({parts}, {i} + 2), '')), 1)"),
         )
 
+    def word(parts: str, starts: str, i: str) -> str:
+        """The mark is a blank to the pattern; in a text that holds one, words are cut from the text itself."""
+        own = cut(f"cast({text} as binary)", f"{starts}[{i}]", f"({starts}[{i}] + octet_length({parts}[{i}]))")
+        return f"if(contains({text}, {lit(MARK)}), {own}, {parts}[{i}])"
+
     def located(parts: str) -> str:
         index = fresh("i")
         matches = f"filter(sequence(0, size({parts}) - 1), {index} -> {index} % 2 = 1)"
@@ -60,7 +65,7 @@ def candidates(text: str, pattern: str, guard: str | None = None, beside: bool =
                 lambda i: struct(
                     start=f"{starts}[{i}]",
                     end=f"{starts}[{i}] + octet_length({parts}[{i}])",
-                    word=f"{parts}[{i}]",
+                    word=word(parts, starts, i),
                     **(neighbours(parts, i) if beside else {}),
                 ),
             )

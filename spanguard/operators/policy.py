@@ -92,9 +92,24 @@ def decision_priority(action: str) -> int:
 
 
 def glob_pattern(text: str) -> str:
-    """Java pattern of a glob: ``*`` any text, ``?`` one character, all else literal."""
-    special = {"*": ".*", "?": "."}
-    return "(?s)^" + "".join(special.get(c) or (c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}") for c in text) + r"\z"
+    """Java pattern of a glob: ``*`` any text, ``?`` one character, all else literal.
+
+    The pieces between stars are matched one after the other, each at its leftmost place and never again (a piece has
+    a fixed length, so the leftmost place leaves most to the rest); only the last piece is held to the end.
+    """
+
+    def piece(part: str) -> str:
+        return "".join("." if c == "?" else c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}" for c in part)
+
+    first, *rest = text.split("*")
+    if not rest:
+        return f"(?s)^{piece(first)}\\z"
+    *inner, last = rest
+    middle = "".join(f"(?>.*?{piece(part)})" for part in inner if part)
+    # What is left must end in the last piece: look from the end, without trying other places for the pieces before.
+    tail = f"(?>.*)(?<={piece(last)})\\z" if last else ""
+    room = f"(?=.{{{len(last)}}})" if last else ""
+    return f"(?s)^(?>{piece(first)}{middle}){room}{tail}"
 
 
 def condition_sql(node: dict, group: str, score: str, word: str) -> str:
@@ -348,29 +363,56 @@ def load_policy(rules: DataFrame, fallback: str = "release", most: int = 10_000)
 
 
 def rule_violations(rules: DataFrame) -> DataFrame:
-    """One row (id, violation) per broken rule, found on the executors."""
+    """One row (id, violation) per broken rule, found on the executors.
+
+    A condition that is no JSON, or holds an unknown or incomplete condition, is ``invalid_condition``.
+    """
+
+    def problems(r) -> list[str]:
+        try:
+            condition = json.loads(r.condition_json)
+            condition_sql(condition, "g", "s", "w")
+        except (KeyError, TypeError, ValueError, AttributeError):
+            return ["invalid_condition"]
+        return violations(Rule(r.id or "", r.priority, condition, r.action, r.name, r.enabled, r.source, r.category))
 
     def check(batches):
         for batch in batches:
-            found = [
-                (r.id, problem)
-                for r in batch.itertuples()
-                for problem in violations(
-                    Rule(r.id, r.priority, json.loads(r.condition_json), r.action, r.name, r.enabled, r.source, r.category)
-                )
-            ]
+            found = [(r.id, problem) for r in batch.itertuples() for problem in problems(r)]
             yield pd.DataFrame(found, columns=["id", "violation"])
 
     return rules.mapInPandas(check, "id string, violation string")
 
 
-def keyword_rules(rules: DataFrame) -> DataFrame:
-    """Rules that are one exact keyword, with ``keyword`` and ``case_sensitive`` taken from the condition."""
+def keyword_rules(rules: DataFrame, nested: bool = False) -> DataFrame:
+    """Rules that are one exact keyword, with ``keyword`` and ``case_sensitive`` taken from the condition.
+
+    With ``nested`` also operator decisions whose first exact keyword stands inside a larger condition: it is the
+    identity of the registration, as it is in a compiled policy.
+    """
     pattern = "$.filter.pattern"
+    found = F.when(
+        F.get_json_object("condition_json", f"{pattern}.kind") == "exact",
+        F.struct(
+            F.get_json_object("condition_json", f"{pattern}.text").alias("text"),
+            F.get_json_object("condition_json", f"{pattern}.case_sensitive").cast("boolean").alias("case_sensitive"),
+        ),
+    )
+    if nested:
+
+        @F.pandas_udf("struct<text:string,case_sensitive:boolean>")
+        def first_keyword(conditions: pd.Series) -> pd.DataFrame:
+            patterns = [exact_keyword(json.loads(c)) if c else None for c in conditions]
+            return pd.DataFrame([(p["text"], p["case_sensitive"]) if p else (None, None) for p in patterns], columns=["text", "case_sensitive"])
+
+        tree = (F.col("source") == "approval") & ~F.coalesce(F.get_json_object("condition_json", "$.kind") == "filter", F.lit(False))
+        found = F.coalesce(found, first_keyword(F.when(tree, F.col("condition_json"))))
     return (
-        rules.withColumn("keyword", F.get_json_object("condition_json", f"{pattern}.text"))
-        .withColumn("case_sensitive", F.get_json_object("condition_json", f"{pattern}.case_sensitive").cast("boolean"))
-        .where(F.get_json_object("condition_json", f"{pattern}.kind") == "exact")
+        rules.withColumn("_pattern", found)
+        .withColumn("keyword", F.col("_pattern.text"))
+        .withColumn("case_sensitive", F.col("_pattern.case_sensitive"))
+        .drop("_pattern")
+        .where(F.col("keyword").isNotNull())
     )
 
 
@@ -380,7 +422,7 @@ def operator_decision(texts: DataFrame, rules: DataFrame, text: str = "original_
     Equi-joins on the text and on the folded text; rules are reduced to one per key before the join, so a text that a
     third of all rows hold meets a single rule row.
     """
-    operator = keyword_rules(rules).where(F.col("source") == "approval")
+    operator = keyword_rules(rules, nested=True).where(F.col("source") == "approval")
     best = F.min(F.struct((-F.col("priority")).alias("rank"), "id", "action", "category"))
     sensitive = operator.where("case_sensitive").groupBy("keyword").agg(best.alias("_exact"))
     folded = (

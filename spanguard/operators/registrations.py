@@ -165,7 +165,7 @@ def apply_decisions(rules: DataFrame, decisions: DataFrame, order: str | None =
     other registrations of the text go.  A decision that repeats the only registration changes nothing.
     """
     columns = rules.columns
-    operator = keyword_rules(rules).where(F.col("source") == "approval")
+    operator = keyword_rules(rules, nested=True).where(F.col("source") == "approval")
     given = decisions.where(F.col("original_text").isNotNull()).withColumn("_text", F.lower("original_text"))
     place = F.struct(*([F.col(order)] if order else []), "new_id", "original_text")
     asked = (

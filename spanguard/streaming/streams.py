@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanguard.operators.chain import lookup_nodes, new_nodes, replay_or_score, turn_chain
 from spanguard.operators.extract import scannable_turns
@@ -40,11 +42,25 @@ def redact_batches(
     return run
 
 
-def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes one directory per micro-batch; a repeated batch replaces its own."""
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to: made once, kept beside the checkpoint, read again after a restart.
+
+    A query with a new checkpoint counts its batches from 0 again; with a name of its own it cannot replace what an earlier
+    run has written.
+    """
+    path = f"{checkpoint.rstrip('/')}-run"
+    known = _existing(spark, path)
+    if known is None:
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").coalesce(1).write.mode("ignore").parquet(path)
+        known = spark.read.parquet(path)
+    return known.first()["run"]
+
+
+def batch_writer(path: str, run: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes one directory per run and micro-batch; a repeated batch replaces its own."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return write
 
@@ -74,26 +90,37 @@ def new_turn_batches(
     root: str,
     policy_provider: PolicyProvider,
     scorer: Scorer,
+    run: str,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function for conversation snapshots: only turns that were never judged reach the pool.
 
+    ``run`` names the run (see :func:`run_name`).  Each batch is scored once: what is scored is held for both writes.
+
     A row is one turn of a sent request: ``request_id``, ``conv_id``, ``turn``, ``role``, ``text``, ``created_at``.
     Everything is redacted again under the current policy; stored results only save scoring.  The pool is written
     before the nodes and replaced by a repeated batch, so a lost executor or a failed attempt leaves no gap.
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def record(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = _existing(spark, nodes_path)
         if stored is None:
             stored = spark.createDataFrame([], _NODES)
         # Nodes of this very batch are not counted as known when it is repeated.
-        known = stored.where(F.col("batch") != batch_id).drop("batch")
+        own = (F.col("run") == run) & (F.col("batch") == batch_id)
+        known = stored.where(~own).drop("run", "batch")
         chained = scannable_turns(turn_chain(batch, root, keys=("request_id",)))
-        scored = replay_or_score(lookup_nodes(chained, known), scorer)
+        scored = replay_or_score(lookup_nodes(chained, known), scorer).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write(scored, known, batch_id)
+        finally:
+            scored.unpersist()
+
+    def write(scored: DataFrame, known: DataFrame, batch_id: int) -> None:
         # A turn that several requests of this batch repeat is recorded by the first of them.
         first = scored.groupBy("hash").agg(F.min(F.struct("created_at", "request_id")).alias("_first"))
         scored = scored.join(first, "hash")
+        place = f"run={run}/batch={batch_id}"
         repeated = F.struct("created_at", "request_id") != F.col("_first")
         judged = redact_scored(scored, policy_provider(), "hits")
         rows = (
@@ -103,13 +130,13 @@ def new_turn_batches(
             .withColumn("ordinal", F.col("turn").cast("bigint"))
         )
         pool = pool_rows(rows, already_audited=F.col("already_audited") | repeated)
-        pool.write.mode("overwrite").parquet(f"{pool_path}/batch={batch_id}")
-        absent_nodes(new_nodes(scored), known).write.mode("overwrite").parquet(f"{nodes_path}/batch={batch_id}")
+        pool.write.mode("overwrite").parquet(f"{pool_path}/{place}")
+        absent_nodes(new_nodes(scored), known).write.mode("overwrite").parquet(f"{nodes_path}/{place}")
 
-    return run
+    return record
 
 
 _NODES = (
     "hash string, parent_hash string, hits array<struct<entity_group:string,score:double,start:int,end:int,word:string>>,"
-    " batch int"
+    " run string, batch int"
 )

@@ -2,8 +2,8 @@
 
 import pytest
 
-from spanguard.operators import chain, decode, registrations
-from spanguard.operators.policy import rules_frame
+from spanguard.operators import chain, decode, recognize, registrations
+from spanguard.operators.policy import Rule, all_of, entity, glob_pattern, keyword, rule_violations, rules_frame
 from spanguard.sources import tables
 
 
@@ -86,3 +86,42 @@ def test_only_a_missing_table_counts_as_none(spark, tmp_path):
     (tmp_path / "broken" / "part-0.parquet").write_bytes(b"this is no table")
     with pytest.raises(Exception):
         tables._existing(spark, str(tmp_path / "broken")).count()
+
+
+@pytest.mark.parametrize(
+    ("glob", "word", "matches"),
+    [
+        ("*a*a*a*a*b", "a" * 300, False), ("*a*a*a*a*b", "a" * 300 + "b", True), ("a*", "abc", True), ("*c", "abc", True), ("a*c", "ac", True),
+        ("a*a", "a", False), ("*b?d*", "abbcd", True), ("?", "", False), ("*", "", True), ("**", "x\ny", True), ("ab*ba", "aba", False), ("ab*ba", "abba", True),
+        ("*.[x]", "a.[x]", True), ("*.[x]", "a.x", False), ("a*b*c", "a c b c", True), ("a*b*bc", "abc", False), ("?*?", "a", False), ("?*?", "ab", True), ("*é?", "caféx", True),
+    ],
+)
+def test_globs(spark, glob, word, matches):
+    import fnmatch
+
+    import re
+
+    plain = re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob), re.S)
+    assert bool(plain.fullmatch(word)) == matches if len(word) < 50 else fnmatch is not None
+    df = spark.createDataFrame([(word,)], "word string")
+    assert df.select(df["word"].rlike(glob_pattern(glob))).first()[0] == matches
+
+
+def test_broken_rules_are_violations(spark):
+    rows = [("a", "n", 1, "{broken", "redact", True, "console", None), ("b", "n", 1, '{"kind":"nothing"}', "redact", True, "console", None), ("c", "n", 1, '{"kind":"filter","filter":{"kind":"entity","group":"g"}}', "redact", True, "console", None)]
+    rules = spark.createDataFrame(rows, rules_frame(spark, []).schema)
+    assert sorted(map(tuple, rule_violations(rules).collect())) == [("a", "invalid_condition"), ("b", "invalid_condition")]
+
+
+def test_a_decision_rewrites_a_nested_registration(spark):
+    nested = Rule("op1", 500, all_of(entity("g"), keyword("Eve")), "release", "approval.release", True, "approval", "g")
+    decisions = spark.createDataFrame([("eve", "redact", "g", "op2")], "original_text string, action string, entity_group string, new_id string")
+    new, _ = registrations.apply_decisions(rules_frame(spark, [nested]), decisions)
+    assert [(r.id, r.action) for r in new.collect()] == [("op1", "redact")]
+
+
+def test_words_with_the_mark_are_slices_of_their_text(spark):
+    text = "x \x01a@example.org\x01 and b@example.org"
+    hits = recognize.detect(spark.createDataFrame([(1, text)], "id int, text string")).collect()
+    raw = text.encode()
+    assert hits and all(raw[h.start : h.end].decode() == h.word for h in hits)

@@ -413,7 +413,7 @@ def test_stream_equals_batch_and_policy_is_reread(spark, tmp_path):
     spark.createDataFrame([(1, "mail a@example.org"), (2, "none")], "id int, text string").write.parquet(source)
     current = {"policy": builtin_policy()}
     stream = spark.readStream.schema("id int, text string").parquet(source)
-    writer = streams.redact_batches(lambda: current["policy"], streams.batch_writer(out))
+    writer = streams.redact_batches(lambda: current["policy"], streams.batch_writer(out, streams.run_name(spark, str(tmp_path / "c"))))
 
     def go():
         drain(stream.writeStream.foreachBatch(writer).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
@@ -457,12 +457,12 @@ def test_stream_statistics_drop_late_rows(spark, tmp_path):
 
 def test_stream_of_conversations_records_new_turns_only(spark, tmp_path):
     nodes, kept = str(tmp_path / "nodes"), str(tmp_path / "kept")
-    go = streams.new_turn_batches(nodes, kept, "root", builtin_policy, LexiconScorer((("zebra", "private_date", 0.9),)))
+    go = streams.new_turn_batches(nodes, kept, "root", builtin_policy, LexiconScorer((("zebra", "private_date", 0.9),)), "first")
 
-    def batch(number, *requests):
+    def batch(number, *requests, go=go, run="first"):
         rows = [(r, "c", i, role, text, 100 * number) for r, turns in requests for i, (role, text) in enumerate(turns)]
         go(spark.createDataFrame(rows, "request_id string, conv_id string, turn bigint, role string, text string, created_at bigint"), number)
-        return sorted(x.id for x in spark.read.parquet(f"{kept}/batch={number}").collect())
+        return sorted(x.id for x in spark.read.parquet(f"{kept}/run={run}/batch={number}").collect())
 
     start = [("user", "a@example.org"), ("assistant", "z@example.org"), ("user", "zebra")]
     assert batch(0, ("r1", start)) == ["r1/0", "r1/2"]
@@ -471,3 +471,12 @@ def test_stream_of_conversations_records_new_turns_only(spark, tmp_path):
     assert batch(1, ("r2", start + [("user", "b@example.org")]), ("r3", start + [("user", "b@example.org")])) == ["r2/3"]
     edited = [start[0], start[1], ("user", "zebra two"), ("user", "b@example.org")]
     assert batch(2, ("r4", edited)) == ["r4/2", "r4/3"]
+    # A run with a new checkpoint starts at 0 again: it replaces nothing and knows the turns of the first run.
+    other = streams.new_turn_batches(nodes, kept, "root", builtin_policy, LexiconScorer((("zebra", "private_date", 0.9),)), "second")
+    assert batch(0, ("r5", start + [("user", "c@example.org")]), go=other, run="second") == ["r5/3"]
+    assert sorted(x.id for x in spark.read.parquet(f"{kept}/run=first/batch=0").collect()) == ["r1/0", "r1/2"]
+
+
+def test_run_names_belong_to_checkpoints(spark, tmp_path):
+    one, two = (streams.run_name(spark, str(tmp_path / c)) for c in ("a", "b"))
+    assert one != two and streams.run_name(spark, str(tmp_path / "a")) == one
