@@ -227,14 +227,41 @@ _COLLECTORS = {
 }
 
 
+def rewritten_json(text: Column) -> Column:
+    """A text that is exactly one JSON value, written anew: of repeated keys the last one counts.  Null for anything else."""
+
+    def plain(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(json.loads(value, parse_constant=_no_number), allow_nan=False)
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def rewritten(values: pd.Series) -> pd.Series:
+        return values.map(plain, na_action="ignore")
+
+    return rewritten(text)
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
 def parse_requests(requests: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(good requests with a ``parsed`` VARIANT, quarantine): a body must be a JSON object."""
-    parsed = requests.withColumn("parsed", F.expr(strict_json(f"`{body}`")))
+    """(good requests with a ``parsed`` VARIANT, quarantine): a body must be a JSON object.
+
+    The built-in parser refuses repeated keys; what it refuses is looked at again, and of repeated keys the last one counts.
+    A body that is JSON but larger than a VARIANT can be is set aside as ``too_large``.
+    """
+    first = requests.withColumn("_first", F.expr(strict_json(f"`{body}`")))
+    again = first.withColumn("_again", rewritten_json(F.when(F.col("_first").isNull(), F.col(body))))
+    parsed = again.withColumn("parsed", F.expr(f"coalesce(_first, {strict_json('_again')})"))
+    large = F.col("_again").isNotNull() & F.col("parsed").isNull()
     # A JSON text is an object if it parses and its first character after blanks is a brace.
     is_object = F.coalesce(F.col("parsed").isNotNull() & F.col(body).rlike(r"^[ \t\r\n]*\{"), F.lit(False))
-    reason = F.when(F.col("parsed").isNull(), "not_json").otherwise("not_an_object")
-    good = with_rows_where(parsed, is_object)
-    return good, with_rows_where(parsed.withColumn("reject_reason", reason), ~is_object).drop("parsed")
+    reason = F.when(large, "too_large").when(F.col("parsed").isNull(), "not_json").otherwise("not_an_object")
+    good = with_rows_where(parsed, is_object).drop("_first", "_again")
+    return good, with_rows_where(parsed.withColumn("reject_reason", reason), ~is_object).drop("parsed", "_first", "_again")
 
 
 def collected(df: DataFrame, api_format: str, parsed: str = "parsed", output: str = "fields") -> DataFrame:

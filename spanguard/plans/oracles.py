@@ -986,8 +986,9 @@ ORACLES["collect_responses"] = fields_sql(
     ],
 )
 ORACLES["rejected_requests"] = """
-SELECT 'e' || event_id AS request_id,
-       CASE event_id % 3 WHEN 0 THEN 'not_an_object' WHEN 1 THEN 'accepted' ELSE 'not_json' END AS reject_reason FROM events"""
+SELECT 'e' || event_id AS request_id, CASE event_id % 4 WHEN 0 THEN 'not_an_object' WHEN 2 THEN 'not_json' ELSE 'accepted' END AS reject_reason FROM events
+UNION ALL
+SELECT 'p' || page_id, CASE page_id % 2 WHEN 0 THEN 'not_json' ELSE 'accepted' END FROM pages"""
 ORACLES["redacted_requests"] = select(
     range_parts(),
     """SELECT 'o' || r.k AS request_id, CAST(coalesce(rel, 0) AS INTEGER) AS released, CAST(coalesce(red, 0) AS INTEGER) AS redacted,

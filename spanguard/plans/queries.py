@@ -776,9 +776,16 @@ def rejected_requests(spark, d):
     """Event properties and page texts as bodies: what is no JSON object is set aside."""
     events = tables.read_table(spark, d, "events").select(
         F.concat(F.lit("e"), "event_id").alias("request_id"),
-        F.expr("if(event_id % 3 = 0, concat('[', props, ']'), if(event_id % 3 = 1, props, concat(props, '}')))").alias("body"),
+        F.expr(
+            "case event_id % 4 when 0 then concat('[', props, ']') when 1 then props when 2 then concat(props, '}')"
+            " else concat('{\"k\": 0, ', substring(props, 2)) end"
+        ).alias("body"),
+    )
+    pages = tables.read_table(spark, d, "pages").select(
+        F.concat(F.lit("p"), "page_id").alias("request_id"),
+        F.expr("if(page_id % 2 = 0, html, concat('{\"a\": 1, \"a\": ', to_json(named_struct('html', html)), '}'))").alias("body"),
     )
-    good, bad = extract.parse_requests(events)
+    good, bad = extract.parse_requests(events.unionByName(pages))
     accepted = good.select("request_id", F.lit("accepted").alias("reject_reason"))
     return accepted.unionByName(bad.select("request_id", "reject_reason"))
 
