@@ -135,8 +135,7 @@ def occurrences(spans: DataFrame, fragments: DataFrame, text: str) -> DataFrame:
 
 def occurrences_of_span(spans: DataFrame, fragments: DataFrame, span_id: str) -> DataFrame:
     """Where the text of this span occurred, latest first."""
-    # One span has one text, so the side that is broadcast has one row.
-    anchor = F.broadcast(find_span(spans, span_id).select("original_text"))
+    anchor = find_span(spans, span_id).select("original_text").distinct()
     return _with_provenance(spans.join(anchor, "original_text", "left_semi"), fragments)
 
 
@@ -172,7 +171,7 @@ def spans_of(spans: DataFrame, fragment_id: str) -> DataFrame:
 
 def fragment_of_span(fragments: DataFrame, spans: DataFrame, span_id: str) -> DataFrame:
     """The fragment of a span with all its spans by position; one fragment is one text, which bounds the array."""
-    owner = F.broadcast(find_span(spans, span_id).select("fragment_id"))
+    owner = find_span(spans, span_id).select("fragment_id").distinct()
     nested = (
         spans.join(owner, "fragment_id", "left_semi")
         .groupBy("fragment_id")
@@ -187,7 +186,7 @@ def fragment_of_span(fragments: DataFrame, spans: DataFrame, span_id: str) -> Da
             ).alias("spans")
         )
     )
-    return fragments.join(F.broadcast(nested), fragments["id"] == nested["fragment_id"]).drop("fragment_id")
+    return fragments.join(nested, fragments["id"] == nested["fragment_id"]).drop("fragment_id")
 
 
 def with_registered_action(texts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -600,7 +600,11 @@ ORACLES["review_counts"] = select(
        UNION ALL SELECT count(*), 'all' FROM summary""",
 )
 ORACLES["unstable_texts"] = select(
-    summary_parts(), "SELECT original_text, released, redacted FROM summary WHERE released > 0 AND redacted > 0"
+    pool_parts(),
+    """SELECT * FROM (
+         SELECT original_text, count(*) FILTER ((action = 'release') <> (seq % 2 = 0)) AS released,
+                count(*) FILTER ((action = 'redact') <> (seq % 2 = 0)) AS redacted
+         FROM spans GROUP BY original_text) t WHERE released > 0 AND redacted > 0""",
 )
 ORACLES["registered_action"] = select(
     summary_parts(), f"SELECT original_text, {_action_of} AS registered_action FROM summary s"

@@ -386,7 +386,10 @@ def review_counts(spark, d):
 
 @query
 def unstable_texts(spark, d):
-    summary = pool.content_summary(setup.pool_spans(spark, d))
+    # Every other span as if an earlier policy had decided the other way.
+    other = F.when(F.col("action") == "redact", "release").otherwise("redact")
+    spans = setup.pool_spans(spark, d).withColumn("action", F.when(F.col("seq") % 2 == 0, other).otherwise(F.col("action")))
+    summary = pool.content_summary(spans)
     return summary.where(pool.is_unstable()).select("original_text", "released", "redacted")
 
 
@@ -422,7 +425,7 @@ def spans_of_fragment(spark, d):
 
 @query
 def fragment_detail(spark, d):
-    found, rows = setup.fragments_and_spans(spark, d)
+    found, rows = setup.fragments_and_spans(spark, d, "redacted_text")
     detail = pool.fragment_of_span(found, rows, "f22:1")
     return detail.select(
         "id", "request_id", "api_format", "path", "redacted_text", "created_at",
@@ -813,7 +816,7 @@ def request_turn_hashes(spark, d):
 
 
 def _replayed(spark, d):
-    found, rows = setup.fragments_and_spans(spark, d)
+    found, rows = setup.fragments_and_spans(spark, d, "original_text")
     return backtest.replay(found, rows, policy.builtin_policy().with_fallback("redact"))
 
 

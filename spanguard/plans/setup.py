@@ -79,10 +79,14 @@ def pool_spans(spark: SparkSession, directory: str) -> DataFrame:
     return span_rows(document_pool(spark, directory))
 
 
-def fragments_and_spans(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables of a written pool, for queries that read it more than once."""
+def fragments_and_spans(spark: SparkSession, directory: str, *texts: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables of a written pool, for queries that read it more than once.
+
+    Of the texts of fragments only the named ones are written: a rewritten text that nobody reads is not made.
+    """
     path = scratch(spark, "pool")
-    document_pool(spark, directory).write.parquet(path)
+    unread = [c for c in ("original_text", "redacted_text") if c not in texts]
+    document_pool(spark, directory).drop(*unread).write.parquet(path)
     return read_fragments(spark, path), read_spans(spark, path)
 
 
