@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from spanguard.functions.content import scoring_text
 from spanguard.functions.frames import exploded
+from spanguard.functions.occurrences import byte_offsets
 from spanguard.functions.offsets import candidates, cut, literal_ranges
-from spanguard.functions.sqlx import each, empty, fold, islands, let, lit, struct
+from spanguard.functions.sqlx import each, empty, fold, islands, let, lit, prefix_sums, struct
 from spanguard.operators.recognize import hit
 from spanguard.schemas import HIT
 
@@ -92,42 +93,69 @@ class ModelScorer:
 
     ``load`` returns the batch function.  Every text is scored with images blanked; a batch whose result has another
     length than its input, or a hit that is not a slice of its text, fails the task instead of shifting results.
+
+    With ``limit`` a text that costs more is scored in overlapping windows that cost no more each; their hits are moved
+    to the whole text, and overlapping ones of one category become one with the best score.  ``cost`` prices a text (its
+    number of characters if not given).
     """
 
     load: Callable[[], BatchModel]
     identity: str
+    limit: int | None = None
+    cost: Callable[[str], int] = len
 
     def with_hits(self, df: DataFrame, text: str, output: str) -> DataFrame:
-        load = self.load
+        load, limit, cost = self.load, self.limit, self.cost
 
         @F.pandas_udf(f"array<{HIT}>")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
-                yield pd.Series(_scored(model, texts.tolist()), index=texts.index, dtype=object)
+                yield pd.Series(_scored(model, texts.tolist(), limit, cost), index=texts.index, dtype=object)
 
         ready = df.withColumn(f"{output}__text", F.expr(scoring_text(f"`{text}`")))
         return ready.withColumn(output, score(F.col(f"{output}__text"))).drop(f"{output}__text")
 
     def with_nested_hits(self, df: DataFrame, texts: str, output: str) -> DataFrame:
-        load = self.load
+        load, limit, cost = self.load, self.limit, self.cost
 
         @F.pandas_udf(f"array<array<{HIT}>>")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for lists in batches:
-                flat = iter(_scored(model, [t for texts in lists for t in texts]))
+                flat = iter(_scored(model, [t for texts in lists for t in texts], limit, cost))
                 yield pd.Series([[next(flat) for _ in texts] for texts in lists], index=lists.index, dtype=object)
 
         ready = df.withColumn(f"{output}__text", F.expr(each(f"`{texts}`", scoring_text)))
         return ready.withColumn(output, score(F.col(f"{output}__text"))).drop(f"{output}__text")
 
 
-def _scored(model: BatchModel, texts: list[str]) -> list[list[tuple]]:
-    results = model(texts) if texts else []
-    if len(results) != len(texts):
-        raise ValueError(f"scorer returned {len(results)} results for {len(texts)} texts")
-    return [_checked(t, r) for t, r in zip(texts, results)]
+def _scored(model: BatchModel, texts: list[str], limit: int | None, cost: Callable[[str], int]) -> list[list[tuple]]:
+    cuts = [[(0, t, 0)] if limit is None or not t else list(window_cuts(t, limit, cost)) for t in texts]
+    chunks = [chunk for windows_of in cuts for _, chunk, _ in windows_of]
+    results = model(chunks) if chunks else []
+    if len(results) != len(chunks):
+        raise ValueError(f"scorer returned {len(results)} results for {len(chunks)} texts")
+    checked = iter([_checked(t, r) for t, r in zip(chunks, results)])
+    out = []
+    for text, windows_of in zip(texts, cuts):
+        local = [(next(checked), offset) for _, _, offset in windows_of]
+        if len(local) == 1:
+            out.append(local[0][0])
+        else:
+            out.append(_joined(text, [(g, v, s + offset, e + offset) for hits, offset in local for g, v, s, e, _ in hits]))
+    return out
+
+
+def _joined(text: str, hits: list[tuple[str, float, int, int]]) -> list[tuple]:
+    """Overlapping hits of one category as one with the best score; touching hits stay apart."""
+    raw, runs = text.encode(), []
+    for group, value, start, end in sorted(hits, key=lambda h: (h[0], h[2], h[3])):
+        if runs and runs[-1][0] == group and start < runs[-1][3]:
+            runs[-1][1], runs[-1][3] = max(runs[-1][1], value), max(runs[-1][3], end)
+        else:
+            runs.append([group, value, start, end])
+    return [(g, v, s, e, raw[s:e].decode()) for g, v, s, e in sorted(runs, key=lambda r: (r[2], r[3], r[0]))]
 
 
 def _checked(text: str, hits: Sequence[tuple[str, float, int, int]]) -> list[tuple]:
@@ -159,15 +187,26 @@ def windows(df: DataFrame, limit: int, text: str = "text", cost: Callable[[str],
     price = (cost or (lambda t: f"char_length({t})"))(f"`{text}`")
 
     def starts(c: str) -> str:
+        """The text is cut once into pieces of one step; a window is two or three neighbouring pieces."""
         step = f"greatest({c}.budget div 2, 1)"
         last = f"if({c}.characters <= {c}.budget, 0, cast(ceil(({c}.characters - {c}.budget) / {step}) as int))"
-        return each(
-            f"sequence(0, {last})",
-            lambda k: struct(
-                window=k,
-                char_start=f"{k} * {step}",
-                chunk=f"substring({c}.text, {k} * {step} + 1, {c}.budget)",
-                byte_start=f"octet_length(substring({c}.text, 1, {k} * {step}))",
+
+        def listed(pieces: str, offsets: str) -> str:
+            near = ", ".join(f"coalesce(get({pieces}, {{k}} + {i}), '')" for i in range(3))
+            return each(
+                f"sequence(0, {last})",
+                lambda k: struct(
+                    window=k,
+                    char_start=f"{k} * {step}",
+                    chunk=f"if({last} = 0, {c}.text, substring(concat({near.format(k=k)}), 1, {c}.budget))",
+                    byte_start=f"coalesce(get({offsets}, {k}), 0)",
+                ),
+            )
+
+        return let(
+            f"regexp_extract_all({c}.text, concat('(?s).{{1,', {step}, '}}'), 0)",
+            lambda pieces: let(
+                prefix_sums(each(pieces, lambda p: f"octet_length({p})")), lambda offsets: listed(pieces, offsets)
             ),
         )
 
@@ -179,14 +218,14 @@ def windows(df: DataFrame, limit: int, text: str = "text", cost: Callable[[str],
 
 
 def adaptive_windows(df: DataFrame, limit: int, cost: Callable[[str], int], text: str = "text") -> DataFrame:
-    """Windows for uneven cost: a window that is still too dear is narrowed where it is, and only there."""
+    """Windows for uneven cost: even ones first; one that is still too dear is split where it is, and only there."""
 
     def cut_texts(batches: Iterable):
         for batch in batches:
             rows = [
                 (*row[:-1], k, first, chunk, offset)
                 for row in batch.itertuples(index=False, name=None)
-                for k, (first, chunk, offset) in enumerate(_adaptive(row[-1], limit, cost))
+                for k, (first, chunk, offset) in enumerate(window_cuts(row[-1], limit, cost))
             ]
             yield pd.DataFrame(rows, columns=[*batch.columns[:-1], "window", "char_start", "chunk", "byte_start"])
 
@@ -196,28 +235,31 @@ def adaptive_windows(df: DataFrame, limit: int, cost: Callable[[str], int], text
     return df.select(*kept, text).mapInPandas(cut_texts, schema)
 
 
-def _adaptive(text: str, limit: int, cost: Callable[[str], int]) -> Iterator[tuple[int, str, int]]:
-    whole = cost(text)
-    if whole <= limit:
+def window_cuts(text: str, limit: int, cost: Callable[[str], int]) -> Iterator[tuple[int, str, int]]:
+    """Windows of a text as (first character, window, first byte), none of which costs more than ``limit``.
+
+    Even, half-overlapping windows of the size that fits an even cost; each that is too dear is split into two that share
+    a third of it, and so on.  A text shorter than half of every window it meets lies whole in one of them.
+    """
+    price = cost(text)
+    if price <= limit:
         yield 0, text, 0
         return
-    size = len(text)
-    usual = min(max(int(size * limit / max(whole, 1) * 0.9), 1), max(size, 1))
-    first, offset = 0, 0
-    while first < size:
-        budget = usual
-        chunk = text[first : first + budget]
-        while (price := cost(chunk)) > limit:
-            if budget == 1:
-                raise ValueError(f"one character costs {price}, more than the limit of {limit}")
-            budget = min(max(int(budget * limit / max(price, 1) * 0.9), 1), max(len(chunk) - 1, 1))
-            chunk = text[first : first + budget]
-        yield first, chunk, offset
-        if first + len(chunk) >= size:
-            return
-        step = max(budget // 2, 1)
-        offset += len(text[first : first + step].encode())
-        first += step
+    offsets = byte_offsets(text)
+    size = max(1, 9 * limit * len(text) // (10 * price))
+    step = max(1, size // 2)
+    count = 1 + max(0, -(-(len(text) - size) // step))
+    pending = [(k * step, min(len(text), k * step + size)) for k in reversed(range(count))]
+    while pending:
+        low, high = pending.pop()
+        chunk = text[low:high]
+        if (price := cost(chunk)) <= limit:
+            yield low, chunk, int(offsets[low])
+        elif high - low == 1:
+            raise ValueError(f"one character costs {price}, more than the limit of {limit}")
+        else:
+            third = max(1, (high - low) // 3)
+            pending += [(low + third, high), (low, high - third)]
 
 
 def rebase(hits: DataFrame, chunk: str = "chunk", offset: str = "byte_start") -> DataFrame:

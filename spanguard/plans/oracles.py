@@ -463,6 +463,7 @@ ORACLES["lexicon_hits"] = select(
         for n, (_, g, s) in enumerate(LEXICON)
     ),
 )
+ORACLES["long_text_hits"] = ORACLES["lexicon_hits"]
 ORACLES["combined_spans"] = select(combined_parts(), _hits.format(t="combined"))
 ORACLES["registered_hits"] = select(registered_parts(), _hits.format(t="registered"))
 ORACLES["registered_hits_automaton"] = ORACLES["registered_hits"]

@@ -2,7 +2,9 @@
 
 import pytest
 
-from spanguard.operators import chain, decode, recognize, registrations
+from pyspark.sql import functions as F
+
+from spanguard.operators import chain, decode, recognize, registrations, scoring
 from spanguard.operators.policy import Rule, all_of, entity, glob_pattern, keyword, rule_violations, rules_frame
 from spanguard.sources import tables
 
@@ -125,3 +127,37 @@ def test_words_with_the_mark_are_slices_of_their_text(spark):
     hits = recognize.detect(spark.createDataFrame([(1, text)], "id int, text string")).collect()
     raw = text.encode()
     assert hits and all(raw[h.start : h.end].decode() == h.word for h in hits)
+
+
+def test_window_cuts_hold_every_short_text():
+    import random
+
+    rng = random.Random(6)
+    cost = lambda t: sum(1 if c.isascii() else 5 for c in t)
+    for _ in range(200):
+        text = "".join(rng.choice("ab") if rng.random() < 0.7 else "中" for _ in range(rng.randrange(0, 300)))
+        cuts = list(scoring.window_cuts(text, 60, cost))
+        assert all(cost(chunk) <= 60 and text.encode()[offset:].decode().startswith(chunk) and text[first:].startswith(chunk) for first, chunk, offset in cuts)
+        for at in range(len(text) - 3):
+            assert any(first <= at and at + 3 <= first + len(chunk) for first, chunk, _ in cuts)
+    with pytest.raises(ValueError, match="one character"):
+        list(scoring.window_cuts("a中", 4, cost))
+    assert sum(len(c) for _, c, _ in scoring.window_cuts("a" * 400_000, 100, len)) < 1_200_000
+
+
+def test_a_model_gets_long_texts_in_windows(spark):
+    import re
+
+    def load():
+        def model(texts):
+            assert all(len(t) <= 50 for t in texts)
+            return [[("secret", 0.9, len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer("zebra", t)] for t in texts]
+
+        return model
+
+    texts = ["é zebra " * 40, "zebra", "", "x" * 49 + "zebra" + "y" * 49]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("texts", F.array("text", F.lit("zebra")))
+    scorer = scoring.ModelScorer(load, "m", 50)
+    want = {i: [(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in re.finditer("zebra", t)] for i, t in enumerate(texts)}
+    assert {r.id: [(h.start, h.end) for h in r.hits] for r in scorer.with_hits(df, "text", "hits").collect()} == want
+    assert {r.id: [(h.start, h.end) for h in r.hits[0]] for r in scorer.with_nested_hits(df, "texts", "hits").collect()} == want
