@@ -8,9 +8,13 @@ into more than k ranges, so in some range both have the same elements; a node se
 (with spare ranges; a node with more empty ranges than spares sends keys for these too). Nodes that share a key are joined
 into candidate groups by their names alone. A shared passage does not make a group, as whole ranges have to agree.
 
-Search. A group's sets meet in tiles of bounded size (large groups are dealt into blocks, each two of which share a tile). In
-a tile an inverted list for each shingle holds the nodes in order of size. For each node its longest lists are set aside,
-the short ones are merged with a heap that skips (MergeSkip), and nodes that occur often enough there are probed in the long
+Refinement. Each node has a bitmap in which every element flips one bit: two bitmaps differ in at most as many bits as their
+sets differ in elements. Pairs of a group whose bitmaps differ in more bits than a link allows cannot link; the groups that
+the other pairs form are the ones searched.
+
+Search. A group meets in tiles of bounded size (large groups are dealt into blocks, each two of which share a tile). In a
+tile an inverted list for each shingle holds the nodes in order of size. For each node its longest lists are set aside, the
+short ones are merged with a heap that skips (MergeSkip), and nodes that occur often enough there are probed in the long
 lists by binary search. Links are decided by whole numbers: (100 + least) · overlap ≥ least · (s + t).
 """
 
@@ -27,10 +31,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from spanguard.llm.bytetext import NOT_SPACE, Hasher, mixed, slices, words
 from spanguard.llm.graph import components
 from spanguard.llm.rows import stored
+from spanguard.llm.vectors import least_labels
 from spanguard.llm.worker import kept
 
-#: Nodes of a tile's block at least, and elements of its sets at most (about).
-LEAST_BLOCK, MOST_BLOCK, MOST_ELEMENTS = 64, 1024, 1 << 20
+#: A group is cut into blocks of so many nodes, but not into more than so many blocks, until a block holds so many nodes or
+#: elements (about); then blocks become more.
+LEAST_BLOCK, FEW_BLOCKS, MOST_BLOCK, MOST_ELEMENTS = 64, 28, 2048, 1 << 20
+BITMAP_BITS = 1024
 #: Bits of the filter of candidate names: 16 for each name, this many at most (beyond it lets more pass, which a join drops).
 MOST_FILTER_BITS = 1 << 27
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -63,6 +70,12 @@ def set_name(elements: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0])
 
 
+def bitmap(elements: np.ndarray) -> bytes:
+    """One bit for each value of ten bits of the elements: set if an odd number of elements has it."""
+    odd = np.bincount((mixed(elements + _ODD[3]) & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def size_classes(most: int, least: int) -> list[int]:
     """First sizes of classes: a set and any linked larger set lie in one class or in neighbouring ones."""
     firsts = [1]
@@ -105,7 +118,8 @@ def _named(key: str, text: str, width: int):
         for batch in slices(batches, text):
             sets = shingle_sets(batch.column(batch.schema.get_field_index(text)), width)
             names = pa.array([set_name(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array([len(s) for s in sets], pa.int64()), names], names=[key, "n_shingles", "node"])
+            columns = [batch.column(batch.schema.get_field_index(key)), pa.array([len(s) for s in sets], pa.int64()), names, pa.array(map(bitmap, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n_shingles", "node", "bitmap"])
 
     return run
 
@@ -169,7 +183,7 @@ def _fetched(text: str, width: int, shared):
                     take.append(row)
             for low in range(0, len(take), 256):
                 part = take[low : low + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array([sets[r].tobytes() for r in part], pa.binary())], names=["node", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array([sets[r].tobytes() for r in part], pa.binary())], names=["node", "payload"])
 
     return run
 
@@ -262,32 +276,97 @@ def divide_skip(sets: list[np.ndarray], sides: list[int] | None, least: int) ->
     return links
 
 
-def _searched(least: int):
-    def close(nodes: dict, first: int, second: int):
-        names = sorted(nodes, key=lambda name: (len(nodes[name][1]), name))
-        if len(names) > 1:
-            links = divide_skip([nodes[x][1] for x in names], None if first == second else [nodes[x][0] for x in names], least)
-            if links:
-                return pa.RecordBatch.from_pydict({"a": pa.array([names[x] for x, _ in links]), "b": pa.array([names[y] for _, y in links])})
-        return None
+def possible_pairs(maps: np.ndarray, sizes: np.ndarray, other_maps: np.ndarray, other_sizes: np.ndarray, least: int):
+    """Index pairs whose bitmaps (rows of 64-bit words) differ in no more bits than a link of such sizes allows."""
+    for low in range(0, len(maps), 64):
+        part, own = maps[low : low + 64], sizes[low : low + 64, None]
+        both = own + other_sizes[None, :]
+        differ = np.zeros(both.shape, np.int64)
+        for word in range(maps.shape[1]):
+            differ += np.bitwise_count(part[:, word, None] ^ other_maps[None, :, word])
+        x, y = np.nonzero(differ * (100 + least) <= both * (100 - least))
+        yield x + low, y
+
+
+def _blocks(rows):
+    """The nodes of a tile: names, sizes, payloads and the block of each."""
+    names, sizes, payloads, blocks = [], [], [], []
+    for block, members in rows:
+        for member in members:
+            names.append(member["node"])
+            sizes.append(member["n"])
+            payloads.append(member["payload"])
+            blocks.append(block)
+    return names, sizes, payloads, blocks
+
+
+def _refined_tile(rows, first: int, second: int, least: int):
+    """Node and least node of its group of possible links, for nodes with one."""
+    names, sizes, payloads, blocks = _blocks(rows)
+    names, sizes, blocks = np.array(names, np.int64), np.array(sizes, np.int64), np.array(blocks)
+    maps = np.frombuffer(b"".join(payloads), np.uint64).reshape(len(names), -1)
+    a, b = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
+    ranks = np.argsort(np.argsort(names))
+    found = [(a[x], b[y]) for x, y in possible_pairs(maps[a], sizes[a], maps[b], sizes[b], least)]
+    x, y = (np.concatenate(z) if found else np.zeros(0, np.int64) for z in (list(zip(*found)) or [[], []]))
+    keep = x != y
+    labels = least_labels(ranks.copy(), x[keep], y[keep])
+    moved = np.flatnonzero(labels != ranks)
+    return names[moved], np.sort(names)[labels[moved]]
+
+
+def _searched_tile(rows, first: int, second: int, least: int):
+    """Links that join all nodes of a tile connected by links."""
+    names, sizes, payloads, blocks = _blocks(rows)
+    order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
+    sets = [np.frombuffer(payloads[i], np.uint64) for i in order]
+    links = divide_skip(sets, None if first == second else [blocks[i] for i in order], least) if len(sets) > 1 else []
+    return [names[order[x]] for x, _ in links], [names[order[y]] for _, y in links]
+
+
+def _tiles(work, least: int):
+    """Runs ``work`` on each tile; the rows of a tile (one for each of its blocks) come after each other."""
 
     def run(batches):
-        tile, nodes = None, {}
+        tile, rows = None, []
+
+        def done():
+            a, b = work(rows, *tile[1:], least)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("component", "i", "j", "block", "node", "elements")]
-            for component, i, j, block, node, elements in zip(*columns):
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("component", "i", "j", "block", "members")]
+            for row in range(batch.num_rows):
+                component, i, j, block, members = (c[row].as_py() for c in columns)
                 if (component, i, j) != tile:
-                    if tile and (found := close(nodes, *tile[1:])) is not None:
-                        yield found
-                    tile, nodes = (component, i, j), {}
-                if node not in nodes:  # copies come from several tasks
-                    nodes[node] = (block, np.frombuffer(elements, np.uint64))
-        if tile and (found := close(nodes, *tile[1:])) is not None:
-            yield found
+                    if tile:
+                        yield done()
+                    tile, rows = (component, i, j), []
+                rows.append((block, members))
+        if tile:
+            yield done()
 
     return run
 
 
+def _met(members: DataFrame, work, least: int) -> DataFrame:
+    """Edges ``a, b`` that ``work`` finds in the tiles of each group; members: node, component, n, blocks, payload."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    packed = members.withColumn("block", block).groupBy("component", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "payload")).alias("members"))
+    dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "members")
+    return tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_tiles(work, least), "a long, b long")
+
+
+def _grouped(edges: DataFrame, names: DataFrame, by_elements: bool) -> DataFrame:
+    """Nodes of edges with their component, size, and the number of blocks the component is cut into."""
+    sized = stored(components(edges, "a", "b").join(names, "node"), "groups")
+    totals = sized.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("n").alias("elements"))
+    few = F.least(F.ceil(F.col("nodes") / LEAST_BLOCK), F.lit(FEW_BLOCKS))
+    bounds = [F.ceil(F.col("nodes") / MOST_BLOCK)] + ([F.ceil(F.col("elements") / MOST_ELEMENTS)] if by_elements else [])
+    return sized.join(totals.select("component", F.greatest(few, *bounds).cast("int").alias("blocks")), "component")
+
+
 def joined(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: int = 80) -> DataFrame:
     """``key, n_shingles, component_id`` for every row: sets link whose Jaccard similarity is ``least`` hundredths or more.
 
@@ -296,24 +375,18 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     are copies like others. Equal and similar texts are never expanded into all pairs.
     """
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    docs = stored(source.mapInArrow(_named("key", "text", width), f"key {dict(df.dtypes)[key]}, n_shingles long, node long"), "sets")
+    docs = stored(source.mapInArrow(_named("key", "text", width), f"key {dict(df.dtypes)[key]}, n_shingles long, node long, bitmap binary"), "sets")
     keys = source.select("text").mapInArrow(_keyed("text", width, least), "key long, node long")
     first = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    pairs = keys.withColumn("head", first).where(F.col("head") != F.col("node")).select("head", "node").distinct()
-    candidates = components(pairs, "head", "node")
-    names = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least_key"), F.first("n_shingles").alias("n"))
+    pairs = keys.withColumn("a", first).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    names = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least_key"), F.min("n_shingles").alias("n"), F.min("bitmap").alias("bitmap"))
     names = stored(names, "names")
-    sized = stored(candidates.join(names.select("node", "n"), "node"), "candidates")
-    totals = sized.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("n").alias("elements"))
-    block = F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt("nodes"))), F.lit(MOST_BLOCK))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("nodes") / block), F.ceil(F.col("elements") / MOST_ELEMENTS)).cast("int")
-    members = stored(sized.join(totals.select("component", blocks.alias("blocks")), "component").select("node", "component", "blocks"), "members")
+    candidates = _grouped(pairs, names.select("node", "n", F.col("bitmap").alias("payload")), False)
+    possible = _met(candidates, _refined_tile, least)
+    members = stored(_grouped(possible, names.select("node", "n"), True), "members")
     shared = df.sparkSession.sparkContext.broadcast(name_filter(members))
-    sets = source.select("text").mapInArrow(_fetched("text", width, shared), "node long, elements binary")
-    met = sets.join(members, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "elements")
-    links = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_searched(least), "a long, b long")
+    sets = source.select("text").mapInArrow(_fetched("text", width, shared), "node long, payload binary")
+    links = _met(sets.join(members, "node").dropDuplicates(["node"]), _searched_tile, least)
     groups = components(links, "a", "b")
     labelled = names.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labels = labelled.groupBy("component").agg(F.min("least_key").alias("component_id"))
