@@ -26,6 +26,13 @@ def _step(edges: DataFrame) -> DataFrame:
     return stored(small.union(mins.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, which has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of an edge between two nodes.
 
@@ -34,12 +41,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     repeated edges change nothing.
     """
     now = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == state or not mark[0]:
-            break
-        state = mark
+    while not _are_stars(now):
         now = _step(now)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
