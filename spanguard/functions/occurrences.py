@@ -1,7 +1,6 @@
 """Occurrences of many literals in one text, in one pass: a helper for Arrow batch functions.
 
-Searching values one by one multiplies the text by their number.  That is the better plan for a handful of values and
-stays in the JVM; a mailing list with a hundred thousand addresses needs all of them at once.
+Searching values one by one multiplies the text by their number; here a text is read once for all of them.
 """
 
 from __future__ import annotations
@@ -12,11 +11,9 @@ import numpy as np
 
 
 def automaton(values: Sequence[str]):
-    """An automaton over non-empty values, each with the tuple of its indexes; None if the library is missing."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return None
+    """An automaton over non-empty values, each with the tuple of its indexes."""
+    import ahocorasick
+
     machine = ahocorasick.Automaton()
     for index, value in enumerate(values):
         if value:
@@ -44,15 +41,8 @@ def literal_occurrences(text: str, values: Sequence[str]) -> list[list[tuple[int
             found[index].append((int(offsets[first]), int(offsets[reached[index]])))
 
     machine = automaton(values)
-    if machine is not None:
-        if len(machine):
-            for last, indexes in machine.iter(text):
-                for index in indexes:
-                    add(index, last + 1 - len(values[index]))
-        return found
-    for index, value in enumerate(values):
-        first = text.find(value) if value else -1
-        while first >= 0:
-            add(index, first)
-            first = text.find(value, first + len(value))
+    if len(machine):
+        for last, indexes in machine.iter(text):
+            for index in indexes:
+                add(index, last + 1 - len(values[index]))
     return found

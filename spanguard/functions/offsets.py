@@ -98,20 +98,6 @@ def literal_ranges(text: str, needle: str) -> str:
     return f"if(contains({text}, {needle}), {let(f'split({text}, {quoted(needle)}, -1)', located)}, {empty(RANGE)})"
 
 
-def window_starts(text: str, pattern: str) -> str:
-    """Byte position of every place, also overlapping ones, at which ``pattern`` matches; SQL array<int>."""
-
-    def located(parts: str) -> str:
-        # A zero-width split never cuts at the very start, so the first place is tested on its own.
-        place, index = fresh("x"), fresh("i")
-        first = f"{text} rlike concat({lit(chr(92) + 'A')}, {pattern})"
-        starts = prefix_sums(each(parts, lambda p: f"octet_length({p})"))
-        return f"filter({starts}, ({place}, {index}) -> {index} > 0 or {first})"
-
-    parts = f"split({text}, concat('(?=', {pattern}, ')'), -1)"
-    return f"if({text} rlike {pattern}, {let(parts, located)}, {empty('int')})"
-
-
 def is_boundary(raw: str, position: str) -> str:
     """The byte at this position does not continue a character."""
     return f"not (hex(substring({raw}, {position} + 1, 1)) rlike '^[89AB]')"

@@ -245,9 +245,6 @@ def placeholder(group: str) -> str:
     return f"concat('<redacted_', {group}, '>')"
 
 
-#: From this many distinct credentials in one text on, all are searched in one pass outside the JVM.
-MANY_VALUES = 200
-
 _WORK = ("_raw", "_images", "_decided", "_values", "_places", "_proposed", "_fresh", "_added")
 
 
@@ -282,9 +279,7 @@ class _Steps:
         self.df = self.df.withColumn(output, F.expr(f"cast({work} as {kind})"))
 
 
-def judged(
-    df: DataFrame, policy: Policy, text: str, hits: str, per: str = "row", many: int | None = None
-) -> DataFrame:
+def judged(df: DataFrame, policy: Policy, text: str, hits: str, per: str = "row") -> DataFrame:
     """Add ``_spans``, ``_ranges`` and ``_redacted``.
 
     ``per`` says what is judged: a ``row`` (a text with its hits), every one of the ``texts`` in an array column with its
@@ -315,8 +310,8 @@ def judged(
         **sources("raw", "images"),
     )
     extra = {}
-    if many is not None:
-        steps.df = _with_places(steps.df, text, many)
+    if per == "row":
+        steps.df = _with_places(steps.df, text)
         extra = {"places": "_places"}
     steps.add(
         "_proposed",
@@ -347,31 +342,27 @@ def judged(
     return steps.df.drop(*_WORK)
 
 
-def _with_places(df: DataFrame, text: str, many: int) -> DataFrame:
-    """Add ``_places``: where each credential of a text with more than ``many`` of them occurs; null for other texts."""
+def _with_places(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_places``: where each confirmed credential occurs in its text, all found in one pass; null where there is none.
+
+    Texts without a confirmed credential are not handed to Python.
+    """
 
     @F.pandas_udf(f"array<array<{RANGE}>>")
     def search(texts: pd.Series, values: pd.Series) -> pd.Series:
         rows = [None if t is None else literal_occurrences(t, list(v)) for t, v in zip(texts, values)]
         return pd.Series(rows, index=texts.index, dtype=object)
 
-    values = let("_decided", lambda s: f"if(size({s}) > {many}, {confirmed_values(s)}, cast(array() as array<string>))")
-    crowded = F.size("_values") > many
-    return df.withColumn("_values", F.expr(values)).withColumn(
-        "_places", search(F.when(crowded, F.expr(text)), F.when(crowded, F.col("_values")))
+    wanted = F.size("_values") > 0
+    return df.withColumn("_values", F.expr(let("_decided", confirmed_values))).withColumn(
+        "_places", search(F.when(wanted, F.expr(text)), F.when(wanted, F.col("_values")))
     )
 
 
-def redact(
-    df: DataFrame, policy: Policy, text: str = "text", hits: str = "hits", many: int | None = MANY_VALUES
-) -> DataFrame:
-    """Add ``spans``, ``redacted_text``, ``released``, ``redacted`` and ``changed`` to rows with a hit array.
-
-    ``many`` is the number of distinct credentials in one text from which on they are searched in one pass; None keeps
-    everything in the JVM.  The result is the same.
-    """
+def redact(df: DataFrame, policy: Policy, text: str = "text", hits: str = "hits") -> DataFrame:
+    """Add ``spans``, ``redacted_text``, ``released``, ``redacted`` and ``changed`` to rows with a hit array."""
     return (
-        judged(df, policy, f"`{text}`", f"`{hits}`", many=many)
+        judged(df, policy, f"`{text}`", f"`{hits}`")
         .withColumns({"spans": F.col("_spans"), "redact_ranges": F.col("_ranges"), "redacted_text": F.col("_redacted")})
         .withColumn("released", F.expr("size(filter(spans, s -> s.action = 'release'))"))
         .withColumn("redacted", F.expr("size(filter(spans, s -> s.action = 'redact'))"))

@@ -1,7 +1,7 @@
 """Registered texts: every occurrence is a hit, also overlapping ones and inside words.
 
-A few registrations are searched with built-in expressions.  Longer lists are searched in one pass over each text by
-an automaton in an Arrow batch function, because one pass per registration would multiply the work by their number.
+All of them are searched in one pass over each text by an automaton in an Arrow batch function; one pass per
+registration would multiply the work by their number.  Case is folded in one way, whatever their number.
 """
 
 from __future__ import annotations
@@ -13,69 +13,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from spanguard.functions.frames import exploded
 from spanguard.functions.occurrences import automaton, byte_offsets
-from spanguard.functions.offsets import quoted, window_starts
-from spanguard.functions.sqlx import each, empty, keep, let, lit, struct
+from spanguard.functions.sqlx import each, empty
 from spanguard.operators.policy import Registration, decision_priority, keyword_rules
 from spanguard.schemas import HIT
 
-#: Up to this many registrations are searched with built-in expressions.
-NATIVE_LIMIT = 24
 #: The pattern list is shipped to every task; more characters than this are refused instead of broadcast.
 MAX_PATTERN_CHARACTERS = 64_000_000
 
 
-def native_hits(text: str, registrations: Sequence[Registration]) -> str:
-    """SQL array<HIT> of a few registrations; the text is lower-cased once for all of them."""
-
-    def listed(lowered: str) -> str:
-        return f"concat({', '.join(registration_hits(text, lowered, r) for r in registrations)})"
-
-    return let(f"lower({text})", listed)
-
-
-def registration_hits(text: str, lowered: str, registration: Registration) -> str:
-    """SQL array<HIT> of one registration.
-
-    Windows have as many characters as the registered text; case is folded on the whole window, as lower-casing may
-    depend on the neighbours.  The pattern only proposes windows, and runs only where a byte search found the text
-    (for a non-ASCII text without regard to case, where the pattern itself did).
-    """
-    if not registration.text:
-        return empty(HIT)
-    needle, width = lit(registration.text), len(registration.text)
-    if registration.case_sensitive:
-        present = f"contains({text}, {needle})"
-    elif registration.text.isascii():
-        present = f"contains({lowered}, {lit(registration.text.lower())})"
-    else:
-        present = "true"
-    pattern = quoted(needle)
-    if not registration.case_sensitive:
-        pattern = f"concat('(?iu)', {pattern})"
-    same = "{w} = " + needle if registration.case_sensitive else "lower({w}) = lower(" + needle + ")"
-
-    def hits(raw: str) -> str:
-        windows = each(
-            window_starts(text, pattern),
-            lambda at: struct(
-                at=at,
-                w=f"substring(cast(substring({raw}, {at} + 1, {4 * width}) as string), 1, {width})",
-            ),
-        )
-        return each(
-            keep(windows, lambda x: same.format(w=f"{x}.w")),
-            lambda x: struct(
-                entity_group=lit(registration.group),
-                score=lit(1.0),
-                start=f"{x}.at",
-                end=f"{x}.at + octet_length({x}.w)",
-                word=f"{x}.w",
-            ),
-        )
-
-    return f"if({present}, {let(f'cast({text} as binary)', hits)}, {empty(HIT)})"
-
-
 def _fold(character: str) -> str:
     """One character for one character; equal lower-cased texts of equal length fold to equal texts."""
     lowered = character.lower()
@@ -105,7 +50,6 @@ def with_registered_hits(
     text: str,
     output: str,
     registrations: Sequence[Registration],
-    native_limit: int = NATIVE_LIMIT,
     nested: bool = False,
 ) -> DataFrame:
     """Add ``output``: the hits of all registrations, in their order and then by position.
@@ -113,16 +57,12 @@ def with_registered_hits(
     With ``nested`` the input column is an array of texts and the output has one hit array for each.
     """
 
-    def per_text(hits_sql) -> DataFrame:
-        return df.withColumn(output, F.expr(each(f"`{text}`", hits_sql) if nested else hits_sql(f"`{text}`")))
-
     if not registrations:
-        return per_text(lambda t: empty(HIT))
+        nothing = each(f"`{text}`", lambda t: empty(HIT)) if nested else empty(HIT)
+        return df.withColumn(output, F.expr(nothing))
     total = sum(len(r.text) for r in registrations)
     if total > MAX_PATTERN_CHARACTERS:
         raise ValueError(f"registered texts hold {total} characters; at most {MAX_PATTERN_CHARACTERS} can be shipped")
-    if len(registrations) <= native_limit or automaton(()) is None:
-        return per_text(lambda t: native_hits(t, registrations))
 
     listed = tuple((r.text, r.group, r.case_sensitive) for r in registrations)
     shipped = df.sparkSession.sparkContext.broadcast(listed)

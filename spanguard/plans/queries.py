@@ -186,7 +186,7 @@ def registered_hits(spark, d):
 @query
 def registered_hits_automaton(spark, d):
     found = registrations.with_registered_hits(
-        setup.documents(spark, d), "text", "hits", setup.POLICY.registrations(), native_limit=0
+        setup.documents(spark, d), "text", "hits", setup.POLICY.registrations()
     )
     return exploded(found, ["doc_id"], "hits", "h").select("doc_id", "h.*")
 
