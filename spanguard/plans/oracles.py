@@ -8,6 +8,7 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+# The patterns of the recognizers, the alphabet and weights of check digits, card issuers, special networks.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 MOBILE = r"1[3-9][0-9]{9}"
 ID_CARD = r"[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanguard.operators.policy import Policy, Rule, all_of, any_of, builtin_policy, entity, keyword, operator_rule
+from spanguard.operators.policy import Rule, all_of, any_of, builtin_policy, entity, keyword, operator_rule
 from spanguard.operators.scoring import LexiconScorer, PatternScorer
 from spanguard.plans.pipeline import pool_rows, run_pipeline, spans as span_rows
 from spanguard.schemas import FORMATS
