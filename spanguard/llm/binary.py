@@ -139,7 +139,7 @@ class Reader:
         return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
-def _written(folder: str, key: str, text: str, tokenizer: str, kind: pa.DataType | None = None):
+def _written(folder: str, key: str, text: str, tokenizer: str):
     """Writes the file of a task and returns its chunks: where each starts in the file's documents, and their keys."""
 
     def run(batches):
@@ -175,8 +175,12 @@ def written(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     order = [F.col(key).asc_nulls_first(), F.xxhash64(text)]
     ordered = df.select(key, text).repartitionByRange(*order).sortWithinPartitions(*order)
     chunks = stored(ordered.mapInArrow(_written(folder, key, text, tokenizer), f"part int, path string, first long, ids long, keys array<{dict(df.dtypes)[key]}>"), "manifest")
-    ahead = Window.orderBy("part", "first").rowsBetween(Window.unboundedPreceding, -1)  # one small row for some MB of text
-    places = chunks.select("part", "first", F.coalesce(F.sum("ids").over(ahead), F.lit(0).cast("long")).alias("before"))
+    zero = F.lit(0).cast("long")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one sum for each written file
+    files = chunks.groupBy("part").agg(F.sum("ids").alias("__ids")).select("part", F.coalesce(F.sum("__ids").over(ahead), zero).alias("__ahead"))
+    inside = Window.partitionBy("part").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    places = chunks.select("part", "first", F.coalesce(F.sum("ids").over(inside), zero).alias("__inside"))
+    places = places.join(F.broadcast(files), "part").select("part", "first", (F.col("__ahead") + F.col("__inside")).alias("before"))
     return chunks.join(places, ["part", "first"])
 
 

@@ -123,7 +123,7 @@ def words(column, inside: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.nd
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), bounds)
 
 
-def slices(batches, column: str, size: int = 16 << 20):
+def slices(batches, column: str, size: int = 4 << 20):
     """Batches cut into slices of rows with at most ``size`` bytes of text each, one row at least."""
     for batch in batches:
         if not batch.num_rows:

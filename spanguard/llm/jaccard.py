@@ -12,8 +12,10 @@ Refinement. Each node has a bitmap in which every element flips one bit: two bit
 sets differ in elements. Pairs of a group whose bitmaps differ in more bits than a link allows cannot link; the groups that
 the other pairs form are the ones searched.
 
-Search. A group meets in tiles of bounded size (large groups are dealt into blocks, each two of which share a tile). In a
-tile an inverted list for each shingle holds the nodes in order of size. For each node its longest lists are set aside, the
+Tiles. Only sets of like size can link, so a group is cut into bands of two neighbouring classes of sizes, and a large band
+into blocks, each two of which share a tile of bounded size.
+
+Search. In a tile an inverted list for each shingle holds the nodes in order of size. For each node its longest lists are set aside, the
 short ones are merged with a heap that skips (MergeSkip), and nodes that occur often enough there are probed in the long
 lists by binary search. Links are decided by whole numbers: (100 + least) · overlap ≥ least · (s + t).
 """
@@ -36,7 +38,8 @@ from spanguard.llm.worker import kept
 
 #: A group is cut into blocks of so many nodes, but not into more than so many blocks, until a block holds so many nodes or
 #: elements (about); then blocks become more.
-LEAST_BLOCK, FEW_BLOCKS, MOST_BLOCK, MOST_ELEMENTS = 64, 28, 2048, 1 << 20
+LEAST_BLOCK, FEW_BLOCKS, MOST_BLOCK, MOST_ELEMENTS = 64, 6, 2048, 1 << 18
+#: Bits of a bitmap at least; larger sets have two for each element.
 BITMAP_BITS = 1024
 #: Bits of the filter of candidate names: 16 for each name, this many at most (beyond it lets more pass, which a join drops).
 MOST_FILTER_BITS = 1 << 27
@@ -71,9 +74,17 @@ def set_name(elements: np.ndarray) -> int:
 
 
 def bitmap(elements: np.ndarray) -> bytes:
-    """One bit for each value of ten bits of the elements: set if an odd number of elements has it."""
-    odd = np.bincount((mixed(elements + _ODD[3]) & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    """A bit for each value of some bits of the elements' hashes: set if an odd number of elements has it."""
+    bits = max(BITMAP_BITS, 1 << (2 * len(elements) - 1).bit_length())
+    odd = np.bincount((mixed(elements + _ODD[3]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all of the length of the shortest: the parity of fewer hash bits."""
+    words_of = [np.frombuffer(m, np.uint64) for m in maps]
+    width = min(map(len, words_of))
+    return np.stack([np.bitwise_xor.reduce(w.reshape(-1, width), axis=0) for w in words_of])
 
 
 def size_classes(most: int, least: int) -> list[int]:
@@ -85,12 +96,17 @@ def size_classes(most: int, least: int) -> list[int]:
 
 
 def class_parts(first: int, after: int, least: int) -> tuple[int, int]:
-    """For pairs whose smaller set lies in a class: ranges, and how many of them may be empty in both. (0, 0): no differing pair links."""
+    """For pairs whose smaller set lies in a class: ranges, and how many of them may be empty in both. (0, 0): no differing pair links.
+
+    Spare ranges are a fiftieth, or three deviations more than a set of the class has empty on average, where that does not
+    make ranges much smaller (they hold the fewer elements, the less they tell apart).
+    """
     s = after - 1
     differ = (s + 100 * s // least) * (100 - least) // (100 + least)
     if not differ:
         return 0, 0
-    spare = differ // 50 + 1
+    empty = (differ + 1) * math.exp(-first / (differ + 1))
+    spare = max(differ // 50 + 1, min(differ // 8 + 1, math.ceil(empty + 3 * math.sqrt(empty))))
     return differ + 1 + spare, spare
 
 
@@ -102,7 +118,7 @@ def keys_of(elements: np.ndarray, firsts: list[int], least: int) -> np.ndarray:
     for number in (own - 1, own):
         if number < 0:
             continue
-        parts, spare = class_parts(firsts[number], firsts[number + 1], least)
+        parts, spare = kept(("parts", number, least), lambda: class_parts(firsts[number], firsts[number + 1], least))
         if not parts:
             continue
         edges = kept(("ranges", parts), lambda: np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64))
@@ -304,7 +320,7 @@ def _refined_tile(rows, first: int, second: int, least: int):
     """Node and least node of its group of possible links, for nodes with one."""
     names, sizes, payloads, blocks = _blocks(rows)
     names, sizes, blocks = np.array(names, np.int64), np.array(sizes, np.int64), np.array(blocks)
-    maps = np.frombuffer(b"".join(payloads), np.uint64).reshape(len(names), -1)
+    maps = folded(payloads)
     a, b = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
     ranks = np.argsort(np.argsort(names))
     found = [(a[x], b[y]) for x, y in possible_pairs(maps[a], sizes[a], maps[b], sizes[b], least)]
@@ -331,17 +347,17 @@ def _tiles(work, least: int):
         tile, rows = None, []
 
         def done():
-            a, b = work(rows, *tile[1:], least)
+            a, b = work(rows, *tile[2:], least)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("component", "i", "j", "block", "members")]
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("component", "band", "i", "j", "block", "members")]
             for row in range(batch.num_rows):
-                component, i, j, block, members = (c[row].as_py() for c in columns)
-                if (component, i, j) != tile:
+                component, band, i, j, block, members = (c[row].as_py() for c in columns)
+                if (component, band, i, j) != tile:
                     if tile:
                         yield done()
-                    tile, rows = (component, i, j), []
+                    tile, rows = (component, band, i, j), []
                 rows.append((block, members))
         if tile:
             yield done()
@@ -350,21 +366,34 @@ def _tiles(work, least: int):
 
 
 def _met(members: DataFrame, work, least: int) -> DataFrame:
-    """Edges ``a, b`` that ``work`` finds in the tiles of each group; members: node, component, n, blocks, payload."""
+    """Edges ``a, b`` that ``work`` finds in the tiles of each band; members: node, component, band, n, blocks, payload."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    packed = members.withColumn("block", block).groupBy("component", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "payload")).alias("members"))
-    dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "members")
-    return tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_tiles(work, least), "a long, b long")
+    dealt = members.withColumn("block", block).repartition("component", "band", "block")  # or a large component would be packed by one task
+    packed = dealt.groupBy("component", "band", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "payload")).alias("members"))
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = met.select("component", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "members")
+    place = ["component", "band", "i", "j"]
+    return tiles.repartition(*place).sortWithinPartitions(*place).mapInArrow(_tiles(work, least), "a long, b long")
+
 
+def _grouped(edges: DataFrame, names: DataFrame, least: int, by_elements: bool) -> DataFrame:
+    """Nodes of edges with their component, the two bands of sizes they belong to, and the number of blocks of each band.
 
-def _grouped(edges: DataFrame, names: DataFrame, by_elements: bool) -> DataFrame:
-    """Nodes of edges with their component, size, and the number of blocks the component is cut into."""
+    A component of one block's nodes is one band.  Classes are a little wider than the ratio of linked sizes, so rounding cannot part two linked sets by two classes.
+    """
     sized = stored(components(edges, "a", "b").join(names, "node"), "groups")
-    totals = sized.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("n").alias("elements"))
+    counts = sized.groupBy("component").agg((F.count("*") <= LEAST_BLOCK).alias("small"))
+    size_class = F.floor(F.log(F.col("n")) / (math.log(100 / least) * 1.0001)).cast("int")
+    of_class = F.when(F.col("small"), F.array(F.lit(0))).otherwise(F.array(F.col("class") - 1, F.col("class")))
+    banded = sized.join(counts, "component").withColumn("class", size_class).withColumn("band", F.explode(of_class))
+    low = F.min(F.when(F.col("small"), F.col("band")).otherwise(F.col("class")))
+    totals = banded.groupBy("component", "band").agg(F.count("*").alias("nodes"), F.sum("n").alias("elements"), low.alias("low"))
+    # A band with sets of its upper class only has nothing to find that the next band does not find.
+    totals = totals.where((F.col("nodes") > 1) & (F.col("low") == F.col("band")))
     few = F.least(F.ceil(F.col("nodes") / LEAST_BLOCK), F.lit(FEW_BLOCKS))
     bounds = [F.ceil(F.col("nodes") / MOST_BLOCK)] + ([F.ceil(F.col("elements") / MOST_ELEMENTS)] if by_elements else [])
-    return sized.join(totals.select("component", F.greatest(few, *bounds).cast("int").alias("blocks")), "component")
+    blocks = totals.select("component", "band", F.greatest(few, *bounds).cast("int").alias("blocks"))
+    return banded.drop("class", "small").join(blocks, ["component", "band"])
 
 
 def joined(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: int = 80) -> DataFrame:
@@ -381,12 +410,12 @@ def joined(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     pairs = keys.withColumn("a", first).where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
     names = docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("least_key"), F.min("n_shingles").alias("n"), F.min("bitmap").alias("bitmap"))
     names = stored(names, "names")
-    candidates = _grouped(pairs, names.select("node", "n", F.col("bitmap").alias("payload")), False)
+    candidates = _grouped(pairs, names.select("node", "n", F.col("bitmap").alias("payload")), least, False)
     possible = _met(candidates, _refined_tile, least)
-    members = stored(_grouped(possible, names.select("node", "n"), True), "members")
-    shared = df.sparkSession.sparkContext.broadcast(name_filter(members))
+    members = stored(_grouped(possible, names.select("node", "n"), least, True), "members")
+    shared = df.sparkSession.sparkContext.broadcast(name_filter(members.select("node").distinct()))
     sets = source.select("text").mapInArrow(_fetched("text", width, shared), "node long, payload binary")
-    links = _met(sets.join(members, "node").dropDuplicates(["node"]), _searched_tile, least)
+    links = _met(sets.join(members, "node").dropDuplicates(["node", "band"]), _searched_tile, least)
     groups = components(links, "a", "b")
     labelled = names.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labels = labelled.groupBy("component").agg(F.min("least_key").alias("component_id"))

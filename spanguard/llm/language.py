@@ -21,6 +21,8 @@ ORDERS = (1, 2, 3)
 MOST_LANGUAGES = 512
 SMOOTHING = 0.5
 PIECE = 1 << 17
+#: Bytes of text worked on at a time; some forty times that are held.
+SLICE = 2 << 20
 UNKNOWN = "und"
 
 
@@ -127,7 +129,7 @@ def _counts(text: str, lang: str):
     def run(batches):
         held: dict[str, np.ndarray] = {}
         texts: dict[str, int] = {}
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             codes, bounds = squeezed(*characters(batch.column(batch.schema.get_field_index(text))))
             names, own = np.unique(np.array(batch.column(batch.schema.get_field_index(lang)).to_pylist(), object).astype(str), return_inverse=True)
             for name in names.tolist():
@@ -182,7 +184,7 @@ def predicted(df: DataFrame, model: Model, text: str = "text") -> Column:
     def prediction(texts: pa.Array) -> pa.Array:
         names, scores = [], []
         table = pa.RecordBatch.from_arrays([texts], names=["text"])
-        for part in slices([table], "text"):
+        for part in slices([table], "text", SLICE):
             a, b = shared.value.predict(part.column(0))
             names += a
             scores.append(b)

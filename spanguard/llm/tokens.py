@@ -15,7 +15,7 @@ import numpy as np
 from spanguard.llm.bytetext import FOLD, NOT_SPACE, Hasher, admits, cuts, text_bytes
 from spanguard.llm.worker import kept
 
-MOST_PIECES = 1 << 21
+MOST_PIECES = 1 << 19
 END = 1
 _KIND = np.full(256, 3, np.uint8)
 _KIND[admits((0x41, 0x5A), (0x61, 0x7A))] = 1

@@ -231,3 +231,25 @@ def test_run_is_the_stages_in_order(spark):
     out = corpus_pipeline.run(spark, d)
     sizes = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert sorted(r.n for r in sizes)[1:] == [2048] * (len(sizes) - 1)
+
+
+def test_bitmaps_never_differ_more_than_their_sets():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 3000)), dtype=np.uint64)
+        a = np.unique(base)
+        b = np.unique(np.concatenate([base[int(rng.integers(0, len(base))) :], rng.integers(0, 1 << 63, int(rng.integers(1, 900)), dtype=np.uint64)]))
+        x, y = jaccard.folded([jaccard.bitmap(a), jaccard.bitmap(b)])
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        pairs = [z for c, d in jaccard.possible_pairs(x[None], np.array([len(a)]), y[None], np.array([len(b)]), 80) for z in zip(c, d)]
+        if linked(set(a.tolist()), set(b.tolist()), 80):
+            assert pairs == [(0, 0)]
+
+
+@pytest.mark.parametrize("least", [60, 80, 85, 95])
+def test_linked_sizes_lie_in_neighbouring_bands(least):
+    import math
+
+    step = math.log(100 / least) * 1.0001
+    for s in range(1, 20_000):
+        assert math.floor(math.log(100 * s // least) / step) - math.floor(math.log(s) / step) <= 1
