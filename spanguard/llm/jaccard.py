@@ -379,7 +379,8 @@ def _met(members: DataFrame, work, least: int) -> DataFrame:
 def _grouped(edges: DataFrame, names: DataFrame, least: int, by_elements: bool) -> DataFrame:
     """Nodes of edges with their component, the two bands of sizes they belong to, and the number of blocks of each band.
 
-    A component of one block's nodes is one band.  Classes are a little wider than the ratio of linked sizes, so rounding cannot part two linked sets by two classes.
+    A component of no more nodes than a block is one band. Classes are a little wider than the ratio of linked sizes, so
+    rounding cannot part two linked sets by two classes.
     """
     sized = stored(components(edges, "a", "b").join(names, "node"), "groups")
     counts = sized.groupBy("component").agg((F.count("*") <= LEAST_BLOCK).alias("small"))
