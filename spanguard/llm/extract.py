@@ -34,6 +34,26 @@ COMMENTS = ("comment", "comments", "respond", "disqus", "commentlist", "replies"
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
+# Fixed values of HTML: elements whose start ends an open p or one of their own group, and those that shut such ends in.
+ENDS_P = (
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dd", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
+    "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul",
+)
+GROUP = {"p": "p", "li": "li", "dd": "dd", "dt": "dd", "td": "td", "th": "td", "tr": "tr", "tbody": "tbody", "thead": "tbody", "tfoot": "tbody", "caption": "caption", "option": "option", "optgroup": "optgroup"}
+ENDS_GROUP = {
+    "li": ("li",), "dd": ("dd",), "dt": ("dd",), "option": ("option",), "optgroup": ("option", "optgroup"), "td": ("td", "caption"), "th": ("td", "caption"),
+    "tr": ("tr", "caption"), "tbody": ("tbody", "caption"), "thead": ("tbody", "caption"), "tfoot": ("tbody", "caption"),
+}
+SCOPES = ("html", "table", "td", "th", "caption", "button", "object", "template", "select")
+_ALL = tuple(dict.fromkeys(GROUP.values()))
+SHUTS = {
+    **{n: ("p", "li", "dd") for n in ("td", "th", "caption", "button", "object")}, "table": _ALL, "select": ("option", "optgroup"),
+    "ul": ("li",), "ol": ("li",), "menu": ("li",), "dir": ("li",), "dl": ("dd",), **{n: ("li", "dd") for n in ("article", "section", "main", "aside", "blockquote", "form", "nav", "footer", "header", "fieldset", "figure", "details")},
+}
+TABLED = ("tr", "tbody", "thead", "tfoot")
+HEADED = ("base", "link", "meta", "title", "style", "script", "noscript", "template")
+FOREIGN = ("svg", "math")
+
 
 def _compiled() -> dict:
     return {
@@ -45,7 +65,7 @@ def _compiled() -> dict:
         "word": re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])"),
         "ends": {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW},
         "plates": frozenset(BOILERPLATE), "comments": frozenset(COMMENTS), "roles": frozenset(ROLES), "dropped": frozenset(DROPPED), "blocks": frozenset(BLOCKS) | frozenset(DROPPED),
-        "raw": frozenset(RAW), "void": frozenset(VOID),
+        "raw": frozenset(RAW), "void": frozenset(VOID), "ends_p": frozenset(ENDS_P), "ends_group": ENDS_GROUP, "scopes": frozenset(SCOPES),
     }
 
 
@@ -66,33 +86,96 @@ def _reason(name: str, attributes: str, rx: dict, in_article: bool) -> str:
     return "plate" if name in rx["dropped"] else ""
 
 
+class _State:
+    """What holds inside an open element; places in the stack of the nearest elements that later tags may close (-1: none)."""
+
+    __slots__ = ("skip", "reopens", "inside", "linked", "near", "block", "scope", "foreign")
+
+    def __init__(self):
+        self.skip = self.inside = self.linked = False
+        self.reopens = True
+        self.near: dict[str, int] = {}
+        self.block = self.scope = self.foreign = -1
+
+    def inner(self) -> _State:
+        new = object.__new__(_State)
+        new.skip, new.reopens, new.inside, new.linked, new.near = self.skip, self.reopens, self.inside, self.linked, self.near
+        new.block, new.scope, new.foreign = self.block, self.scope, self.foreign
+        return new
+
+
 def lines(page: str) -> list[tuple[str, bool, float]]:
-    """Lines in page order: text, whether inside a marked article, share of its characters in links. Reads the page once."""
+    """Lines in page order: text, whether inside a marked article, share of its characters in links. Reads the page once.
+
+    Open elements are kept in a stack. End tags that HTML lets authors omit are supplied; what is skipped ends with its parent.
+    """
     rx = kept("html", _compiled)
     out: list[tuple[str, bool, float]] = []
     parts: list[str] = []
     linked = total = 0
-    articles = anchors = 0
-    skip, depth, reason = "", 0, ""
+    stack: list[tuple[str, _State]] = []  # names of open elements with the state around each
+    places: dict[str, list[int]] = {}
+    state = _State()
     at, size = 0, len(page)
 
     def put(text: str) -> None:
         nonlocal linked, total
-        if text and not skip:
+        if text and not state.skip:
             text = html.unescape(text)
             parts.append(text)
             total += len(text)
-            linked += len(text) * bool(anchors)
+            linked += len(text) * state.linked
 
     def flush() -> None:
         nonlocal linked, total
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, articles > 0, linked / max(1, total)))
+                out.append((text, state.inside, linked / max(1, total)))
             parts.clear()
             linked = total = 0
 
+    def close(place: int) -> None:
+        nonlocal state
+        while len(stack) > place:
+            name, around = stack.pop()
+            places[name].pop()
+            if around.skip != state.skip or around.inside != state.inside:
+                flush()
+            state = around
+
+    def supply(name: str) -> None:
+        """Ends that the start of an element implies."""
+        if state.foreign >= 0 and name in rx["blocks"]:
+            close(state.foreign)
+        if stack and stack[-1][0] == "head" and name not in HEADED:
+            close(len(stack) - 1)
+        if name in rx["ends_p"] and state.near.get("p", -1) >= 0:
+            close(state.near["p"])
+        for group in rx["ends_group"].get(name, ()):
+            if state.near.get(group, -1) >= 0:
+                close(state.near[group])
+
+    def push(name: str, inner: _State) -> None:
+        nonlocal state
+        place = len(stack)
+        stack.append((name, state))
+        places.setdefault(name, []).append(place)
+        state = inner
+        if name in rx["blocks"]:
+            state.block = place
+        if name in rx["scopes"]:
+            state.scope = place
+        shut, group = SHUTS.get(name, ()), GROUP.get(name)
+        if shut or group:
+            state.near = {k: v for k, v in state.near.items() if k not in shut}
+            if group:
+                state.near[group] = place
+        if name in FOREIGN:
+            state.foreign = place
+        elif name in ("foreignobject", "desc"):
+            state.foreign = -1
+
     gone: set[str] = set()  # ends that no longer occur, looked for once
     while at < size:
         begin = page.find("<", at)
@@ -124,6 +207,8 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
             if end < 0:
                 break
             at, closing, name, attributes = end + 1, hit[1], hit[2].lower(), page[hit.end() : end][:2000]
+        if not closing and attributes.endswith("/") and (name in FOREIGN or state.foreign >= 0 and name not in rx["blocks"]):
+            continue
         if not closing and name in rx["raw"]:
             end = rx["ends"][name].search(page, at) if name not in gone else None
             if not end:
@@ -136,31 +221,26 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
             continue
         if name in rx["blocks"]:
             flush()
-        if skip:
-            if not closing and name in ("article", "main") and reason != "comments" and not _reason(name, attributes, rx, False):
-                skip = ""
-            elif name == skip:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    skip = ""
-                continue
-            else:
-                continue
         if closing:
-            if name in ("article", "main"):
-                articles = max(0, articles - 1)
+            place = places[name][-1] if places.get(name) else -1
+            if place >= 0 and (place >= state.scope or name in rx["scopes"] or name in TABLED) and (name in rx["blocks"] or place > state.block):
+                close(place)
             elif name == "a":
-                anchors = 0
+                state.linked = False
             continue
+        supply(name)
         if name in rx["void"]:
             continue
-        if why := _reason(name, attributes, rx, articles > 0):
+        inner = state.inner()
+        why = _reason(name, attributes, rx, state.inside)
+        if name in ("article", "main") and not why and state.reopens:
+            inner.skip, inner.inside = False, True
+        elif why:
             flush()
-            skip, depth, reason = name, 1, why
-        elif name in ("article", "main"):
-            articles += 1
+            inner.skip, inner.reopens = True, why != "comments" and state.reopens
         elif name == "a":
-            anchors = 1
+            inner.linked = True
+        push(name, inner)
     flush()
     return out
 

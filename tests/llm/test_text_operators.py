@@ -191,6 +191,29 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1>T</h1><p>a<p class='ad'>buy<p>b<p>c</article>", "T\na\nb\nc"),
+        ("<article><div><p class='ad'>buy</div><p>b</article>", "b"),
+        ("<article><ul><li class='ad'>buy<li>b<li>c</ul><p>d</article>", "b\nc\nd"),
+        ("<article><dl><dt class='ad'>buy<dd>b<dt>c</dl></article>", "b\nc"),
+        ("<article><table><tr class='ad'><td>buy<tr><td>b<td class='ad'>buy<td>c</table></article>", "b\nc"),
+        ("<article><ul><li class='ad'>buy<ul><li>buy<li>buy</ul>buy<li>b</ul></article>", "b"),
+        ("<head><meta charset=utf-8><body><article><p>a</article>", "a"),
+        ("<article><svg class='icon'/><p>a</p><svg/><p>b</p><svg><path/><g><title/></g></svg><p>c</article>", "a\nb\nc"),
+        ("<article><svg><p>a</p></article>", "a"),
+    ],
+)
+def test_omitted_end_tags_end_what_is_skipped(page, text):
+    assert extract.main_text(page) == text
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<div>" * 50_000, "<p><table><td>" + "<div>" * 50_000, "<li><b>" * 50_000, "<div><p class=ad>" * 50_000, "<article>" * 50_000 + "</b>" * 50_000, "<b>" * 50_000 + "</div>" * 50_000):
+        extract.main_text(page)
+
+
 def test_long_pages_take_linear_time():
     for page in ("<p " * 100_000, "<a b='" * 100_000, "<!--" * 100_000, "<script>" * 100_000, "&amp;" * 200_000, "<div class=ad>" * 50_000, "<p>x" * 100_000):
         extract.main_text(page)
