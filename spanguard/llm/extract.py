@@ -1,7 +1,7 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one for each block element). Lines of menus, adverts, forms and the like weigh nothing, so do
-lines that are mostly links; where a page marks its article, its lines weigh enough for themselves and others nothing. The
+Markup is stripped into lines (one for each block element). Menus, forms and the like are left out, names of boilerplate (class,
+id) lower the weight of lines, lines that are mostly links weigh nothing; where a page marks its article, its lines weigh enough for themselves and others nothing. The
 weights are summed over sliding windows of lines: text begins where the sum surges and ends where it dives to nothing.
 """
 
@@ -31,6 +31,13 @@ BOILERPLATE = (
     "recommendations", "widget", "toolbar", "pagination", "pager", "login", "signup", "copyright", "disclaimer", "paywall", "teaser", "outbrain", "taboola",
 )
 COMMENTS = ("comment", "comments", "respond", "disqus", "commentlist", "replies", "discussion")
+#: Words beside those above in names such as ``comment-list``; with any other word (``has-sidebar``) a name says nothing.
+NEUTRAL = (
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "global", "group", "icons", "inner", "item", "items", "left", "link", "links", "list",
+    "main", "outer", "panel", "posts", "articles", "primary", "right", "secondary", "section", "site", "slot", "text", "top", "unit", "widgets", "wrap", "wrapper",
+)
+#: Characters that a name takes from the weight of each line in its element.
+LESS = {"plate": 200, "comments": 1000}
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
@@ -62,55 +69,80 @@ def _compiled() -> dict:
         "named": re.compile(r"(?:^|[\s\"'])(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE),
         "role": re.compile(r"(?:^|[\s\"'])role\s*=\s*[\"']?([a-z]+)", re.IGNORECASE),
         "hidden": re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE),
+        "number": re.compile(r"[0-9]+(?:x[0-9]+)?"),
         "word": re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])"),
         "ends": {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW},
-        "plates": frozenset(BOILERPLATE), "comments": frozenset(COMMENTS), "roles": frozenset(ROLES), "dropped": frozenset(DROPPED), "blocks": frozenset(BLOCKS) | frozenset(DROPPED),
+        "plates": frozenset(BOILERPLATE), "comments": frozenset(COMMENTS), "neutral": frozenset(NEUTRAL), "roles": frozenset(ROLES), "dropped": frozenset(DROPPED), "blocks": frozenset(BLOCKS) | frozenset(DROPPED),
         "raw": frozenset(RAW), "void": frozenset(VOID), "ends_p": frozenset(ENDS_P), "ends_group": ENDS_GROUP, "scopes": frozenset(SCOPES),
     }
 
 
-def _reason(name: str, attributes: str, rx: dict, in_article: bool) -> str:
-    """Why an element holds no main text: 'comments', 'plate' or nothing."""
-    words = set()
-    if attributes:
-        if attributes.strip(" /"):
-            for hit in rx["named"].finditer(attributes):
-                words.update(w.lower() for w in rx["word"].split(hit[1] or hit[2] or hit[3] or "") if w)
-            if words & rx["comments"]:
-                return "comments"
-            role = rx["role"].search(attributes)
-            if (words & rx["plates"] or role and role[1].lower() in rx["roles"] or rx["hidden"].search(attributes)) and name not in ("body", "html", "main"):
-                return "plate"
-    if name == "header" and in_article:
+def _named(name: str, attributes: str, rx: dict, in_article: bool) -> str:
+    """What the class and id of an element call it: 'comments', 'plate' or nothing. A name counts whole, not by one of its words."""
+    if not attributes.strip(" /") or name in ("body", "html", "main"):
         return ""
-    return "plate" if name in rx["dropped"] else ""
+    found = ""
+    for hit in rx["named"].finditer(attributes):
+        for token in (hit[1] or hit[2] or hit[3] or "").split():
+            words = [w.lower() for w in rx["word"].split(token) if w]
+            if len(words) > 1 and (joined := "".join(words)) in rx["plates"] | rx["comments"]:
+                words = [joined]
+            own = [w for w in words if w in rx["plates"] or w in rx["comments"]]
+            if own and all(w in rx["plates"] or w in rx["comments"] or w in rx["neutral"] or rx["number"].fullmatch(w) for w in words):
+                if not rx["comments"].isdisjoint(own):
+                    return "comments"
+                found = "plate"
+    return "" if name == "article" or name == "header" and in_article else found
+
+
+def _skipped(name: str, attributes: str, rx: dict, in_article: bool) -> bool:
+    """Whether an element is left out by its kind, its role or because it is hidden."""
+    if attributes.strip(" /") and name not in ("body", "html", "main"):
+        role = rx["role"].search(attributes)
+        if role and role[1].lower() in rx["roles"] or rx["hidden"].search(attributes):
+            return True
+    return name in rx["dropped"] and not (name == "header" and in_article)
+
+
+class _Mark:
+    """An element with a name of boilerplate: what the name says, the named element around it, and what it encloses."""
+
+    __slots__ = ("reason", "around", "article", "main", "chars", "less")
+
+    def __init__(self, reason: str, around: _Mark | None):
+        self.reason, self.around = reason, around
+        self.article = self.main = False
+        self.chars = self.less = 0
 
 
 class _State:
     """What holds inside an open element; places in the stack of the nearest elements that later tags may close (-1: none)."""
 
-    __slots__ = ("skip", "reopens", "inside", "linked", "near", "block", "scope", "foreign")
+    __slots__ = ("skip", "mark", "inside", "linked", "near", "block", "scope", "foreign")
 
     def __init__(self):
         self.skip = self.inside = self.linked = False
-        self.reopens = True
+        self.mark: _Mark | None = None
         self.near: dict[str, int] = {}
         self.block = self.scope = self.foreign = -1
 
     def inner(self) -> _State:
         new = object.__new__(_State)
-        new.skip, new.reopens, new.inside, new.linked, new.near = self.skip, self.reopens, self.inside, self.linked, self.near
+        new.skip, new.mark, new.inside, new.linked, new.near = self.skip, self.mark, self.inside, self.linked, self.near
         new.block, new.scope, new.foreign = self.block, self.scope, self.foreign
         return new
 
 
-def lines(page: str) -> list[tuple[str, bool, float]]:
-    """Lines in page order: text, whether inside a marked article, share of its characters in links. Reads the page once.
+def lines(page: str) -> tuple[list[tuple[str, bool, float, _Mark | None]], list[_Mark]]:
+    """Lines in page order: text, whether inside a marked article, share of its characters in links, innermost named element.
+
+    Also all named elements, in page order. Reads the page once.
 
     Open elements are kept in a stack. End tags that HTML lets authors omit are supplied; what is skipped ends with its parent.
     """
     rx = kept("html", _compiled)
-    out: list[tuple[str, bool, float]] = []
+    out: list[tuple[str, bool, float, _Mark | None]] = []
+    marks: list[_Mark] = []
     parts: list[str] = []
     linked = total = 0
     stack: list[tuple[str, _State]] = []  # names of open elements with the state around each
@@ -131,7 +163,7 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, state.inside, linked / max(1, total)))
+                out.append((text, state.inside, linked / max(1, total), state.mark))
             parts.clear()
             linked = total = 0
 
@@ -140,7 +172,7 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
         while len(stack) > place:
             name, around = stack.pop()
             places[name].pop()
-            if around.skip != state.skip or around.inside != state.inside:
+            if around.skip != state.skip or around.inside != state.inside or around.mark is not state.mark:
                 flush()
             state = around
 
@@ -232,26 +264,57 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
         if name in rx["void"]:
             continue
         inner = state.inner()
-        why = _reason(name, attributes, rx, state.inside)
-        if name in ("article", "main") and not why and state.reopens:
-            inner.skip, inner.inside = False, True
-        elif why:
+        if why := _named(name, attributes, rx, state.inside):
+            flush()
+            marks.append(_Mark(why, state.mark))
+            inner.mark = marks[-1]
+        if _skipped(name, attributes, rx, state.inside):
             flush()
-            inner.skip, inner.reopens = True, why != "comments" and state.reopens
+            inner.skip = True
+        elif name in ("article", "main"):
+            inner.skip, inner.inside = False, True
+            if state.mark:
+                state.mark.article, state.mark.main = True, state.mark.main or name == "main"
         elif name == "a":
             inner.linked = True
         push(name, inner)
     flush()
-    return out
+    return out, marks
+
+
+def _believe(found: list, marks: list[_Mark], plain: list[int]) -> list[int]:
+    """What names take from the weight of each line.
+
+    A name is not believed where its element encloses the main text: ``main``, an article (comments may hold articles of their
+    own), or nearly all text of the page.
+    """
+    for (_, _, _, mark), chars in zip(found, plain):
+        if mark:
+            mark.chars += chars
+    for mark in reversed(marks):
+        if around := mark.around:
+            around.chars += mark.chars
+            around.article, around.main = around.article or mark.article, around.main or mark.main
+    total = sum(plain)
+    for mark in marks:
+        rest = total - mark.chars
+        if mark.reason == "comments":
+            doubtful = mark.main or rest < min(SURGE, mark.chars)
+        else:
+            doubtful = mark.main or mark.article or mark.chars >= SURGE and 4 * rest < mark.chars
+        mark.less = max(0 if doubtful else LESS[mark.reason], mark.around.less if mark.around else 0)
+    return [mark.less if mark else 0 for _, _, _, mark in found]
 
 
 def main_text(page: str | None) -> str:
     """The kept lines joined by line ends; empty for null, empty and textless pages."""
-    found = lines(page) if page else []
+    found, marks = lines(page) if page else ([], [])
     if not found:
         return ""
-    marked = any(inside for _, inside, _ in found)
-    weights = [(max(SURGE, len(t)) if inside else 0) if marked else (0 if share > LINKED else len(t)) for t, inside, share in found]
+    plain = [0 if share > LINKED else len(t) for t, _, share, _ in found]
+    less = _believe(found, marks, plain)
+    marked = any(inside for _, inside, _, _ in found)
+    weights = [max(0, ((max(SURGE, len(line[0])) if line[1] else 0) if marked else chars) - low) for line, chars, low in zip(found, plain, less)]
     sums, total = [], sum(weights[:WINDOW])
     for place in range(len(weights)):
         sums.append(total)
@@ -266,7 +329,7 @@ def main_text(page: str | None) -> str:
             kept_lines.append(found[place][0])
     if not kept_lines and (best := max(sums)):
         place = sums.index(best)
-        kept_lines = [t for (t, _, _), w in zip(found[place : place + WINDOW], weights[place : place + WINDOW]) if w]
+        kept_lines = [t for (t, *_), w in zip(found[place : place + WINDOW], weights[place : place + WINDOW]) if w]
     return "\n".join(kept_lines)
 
 

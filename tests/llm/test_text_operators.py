@@ -209,6 +209,33 @@ def test_omitted_end_tags_end_what_is_skipped(page, text):
     assert extract.main_text(page) == text
 
 
+LONG = "A sentence of the story that goes on for some time, as sentences of stories do. " * 2
+
+
+@pytest.mark.parametrize("wrapped", [
+    "<body class='single comments-open'>{}</body>",
+    "<body class='comments'>{}</body>",
+    "<main class='has-comments'>{}</main>",
+    "<main class='comments'>{}</main>",
+    "<article class='post category-social'>{}</article>",
+    "<article class='post tag-header ad'>{}</article>",
+    "<article><header class='entry-header'>{}</header></article>",
+    "<article><header class='header'>{}</header></article>",
+    "<div class='layout has-sidebar'>{}</div>",
+    "<div class='sidebar'><article>{}</article></div>",
+    "<div id='discussion'><main>{}</main></div>",
+    "<div class='widget'>{}</div><p>rest</p>",
+])
+def test_names_do_not_erase_the_main_text(wrapped):
+    assert f"Title\n{LONG.strip()}" in extract.main_text(wrapped.format(f"<h1>Title</h1><p>{LONG}</p>"))
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "commentlist", "sidebar left", "ad-300x250", "site-footer", "cookie-notice", "side-bar"])
+def test_names_lower_weights(name):
+    assert extract.main_text(f"<p>{LONG}<div class='{name}'><p>short</div><p>{LONG}") == f"{LONG.strip()}\n{LONG.strip()}"
+    assert extract.main_text(f"<article><p>{LONG}<span id='{name}'>short</span><p>{LONG}</article>") == f"{LONG.strip()}\n{LONG.strip()}"
+
+
 def test_deep_pages_take_linear_time():
     for page in ("<div>" * 50_000, "<p><table><td>" + "<div>" * 50_000, "<li><b>" * 50_000, "<div><p class=ad>" * 50_000, "<article>" * 50_000 + "</b>" * 50_000, "<b>" * 50_000 + "</div>" * 50_000):
         extract.main_text(page)
