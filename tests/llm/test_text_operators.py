@@ -236,6 +236,17 @@ def test_names_lower_weights(name):
     assert extract.main_text(f"<article><p>{LONG}<span id='{name}'>short</span><p>{LONG}</article>") == f"{LONG.strip()}\n{LONG.strip()}"
 
 
+def test_text_lengths_decide_on_pages_with_articles():
+    body = [f"{i} {LONG}".strip() for i in range(5)]
+    page = "<div><h1>The title of the page</h1>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+    for teaser in ("<article><h3>Latest</h3><p>Short teaser.</p></article>", "<main><p>Short teaser.</p></main>"):
+        for whole in (teaser + page, page + teaser):
+            got = extract.main_text(whole).split("\n")
+            assert [x for x in got if "Latest" not in x and "teaser" not in x] == ["The title of the page", *body]
+    links = "<ul>" + "<li><a href=x>A link to another story of the day</a>" * 4 + "</ul>"
+    assert extract.main_text(f"<div>Weather 12</div><article><h1>T</h1><p>{LONG}{links}</article><div>All rights</div>") == f"T\n{LONG.strip()}"
+
+
 def test_deep_pages_take_linear_time():
     for page in ("<div>" * 50_000, "<p><table><td>" + "<div>" * 50_000, "<li><b>" * 50_000, "<div><p class=ad>" * 50_000, "<article>" * 50_000 + "</b>" * 50_000, "<b>" * 50_000 + "</div>" * 50_000):
         extract.main_text(page)
