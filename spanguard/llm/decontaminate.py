@@ -247,8 +247,8 @@ def covered_words() -> Column:
     return F.aggregate("__runs", F.lit(0).cast("long"), lambda total, run: total + run["after"] - run["first"])
 
 
-def decontaminated(df: DataFrame, items: DataFrame, text: str = "text", length: int = 10, most_words: int = 200, most_share: float = 0.5, **names) -> DataFrame:
-    """Cuts covered stretches out of the texts; drops a text with more than ``most_words`` covered words or a greater share.
+def decontaminated(df: DataFrame, items: DataFrame, text: str = "text", length: int = 10, most_share: float = 0.5, **names) -> DataFrame:
+    """Cuts covered stretches of any length and number out of the texts; drops a text only if more than ``most_share`` of its words are covered.
 
     Texts without a hit (null and empty ones too) stay as they are.
     """
@@ -260,4 +260,4 @@ def decontaminated(df: DataFrame, items: DataFrame, text: str = "text", length:
     ends = F.concat(F.transform("__runs", lambda run: run["start"]), F.array(size))
     pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.substring(raw, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")).cast("string"))
     clean = F.when(F.size("__runs") > 0, F.array_join(pieces, "")).otherwise(F.col(text))
-    return found.where((hit <= most_words) & (hit <= total * most_share)).withColumn(text, clean).select(*df.columns)
+    return found.where(hit <= total * most_share).withColumn(text, clean).select(*df.columns)

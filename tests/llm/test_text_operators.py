@@ -124,6 +124,17 @@ def test_covered_passages_are_cut_out(spark):
     assert decontaminate.decontaminated(frame(spark, texts), empty, length=5).count() == 5
 
 
+def test_long_documents_keep_their_clean_words(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [" ".join(f"item{i}word{k}" for k in range(60)) for i in range(5)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [" ".join(f"w{(i * 7919 + k) % 9973}" for k in range(4000)) for i in range(5)]
+    texts = [(1, " ".join(x for pair in zip(clean, items) for x in pair)), (2, items[0] + " and few words"), (3, clean[0])]
+    out = {r.doc_id: r.text for r in corpus_pipeline.without_benchmarks(spark, frame(spark, texts), str(tmp_path)).collect()}
+    assert sorted(out) == [1, 3] and out[1].split() == " ".join(clean).split() and out[3] == clean[0]
+
+
 # --- language -----------------------------------------------------------------------------------------------------
 
 
