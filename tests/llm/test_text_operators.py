@@ -67,6 +67,20 @@ def test_checks_and_context_add_spans():
     assert near > far
 
 
+def test_accounts_next_to_each_other_and_of_all_countries():
+    accounts = lambda text: [text[s:e] for s, e, k, _ in pii.find(text) if k == "iban"]
+    german, british = "DE89370400440532013000", "GB82WEST12345698765432"
+    assert accounts(f"{german} {british}") == [german, british]
+    assert accounts(f"{british} {german} {british}") == [british, german, british]
+    assert pii.redact(f"{german} {british}.", pii.find(f"{german} {british}.")) == "<IBAN> <IBAN>."
+    for code in ("AB12 CDEF GHIJ ", "DE12 ", "DE89 3704 0044 ", "XX00 1 2 3 "):
+        assert accounts(code + german) == [german]
+    assert accounts(german + "0") == accounts(german[:-1]) == accounts("X" + german) == []
+    for country in ("SA03 8000 0000 6080 1016 7519", "AE07 0331 2345 6789 0123 456", "TR33 0006 1005 1978 6457 8413 26", "UA213223130000026007233566001",
+                    "BR1800360305000010009795493C1", "LC55HEMM000100010012001200023015", "IL620108000000099999999"):
+        assert accounts(f"to {country}, today") == [country]
+
+
 def test_redaction_and_long_texts():
     assert pii.redact("mail a@b.cd or 10.0.0.1.", pii.find("mail a@b.cd or 10.0.0.1.")) == "mail <EMAIL> or <IP>."
     assert pii.redact(None, []) is None and pii.find(None) == [] and pii.find("") == []
