@@ -7,8 +7,10 @@ write-back of a request need no shuffle.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanguard.functions.frames import exploded, with_rows_where
@@ -251,33 +253,130 @@ def parse_requests(requests: DataFrame, body: str = "body") -> tuple[DataFrame,
     """(good requests with a ``parsed`` VARIANT, quarantine): a body must be a JSON object.
 
     The built-in parser refuses repeated keys; what it refuses is looked at again, and of repeated keys the last one counts.
-    A body that is JSON but larger than a VARIANT can be is set aside as ``too_large``.
+    A JSON object larger than a VARIANT can be stays among the good ones with a null ``parsed``; :func:`collected_by_format`
+    reads its fields from the body.
     """
     first = requests.withColumn("_first", F.expr(strict_json(f"`{body}`")))
     again = first.withColumn("_again", rewritten_json(F.when(F.col("_first").isNull(), F.col(body))))
     parsed = again.withColumn("parsed", F.expr(f"coalesce(_first, {strict_json('_again')})"))
-    large = F.col("_again").isNotNull() & F.col("parsed").isNull()
+    is_json = F.col("parsed").isNotNull() | F.col("_again").isNotNull()
     # A JSON text is an object if it parses and its first character after blanks is a brace.
-    is_object = F.coalesce(F.col("parsed").isNotNull() & F.col(body).rlike(r"^[ \t\r\n]*\{"), F.lit(False))
-    reason = F.when(large, "too_large").when(F.col("parsed").isNull(), "not_json").otherwise("not_an_object")
+    is_object = F.coalesce(is_json & F.col(body).rlike(r"^[ \t\r\n]*\{"), F.lit(False))
+    reason = F.when(~is_json, "not_json").otherwise("not_an_object")
     good = with_rows_where(parsed, is_object).drop("_first", "_again")
     return good, with_rows_where(parsed.withColumn("reject_reason", reason), ~is_object).drop("parsed", "_first", "_again")
 
 
-def collected(df: DataFrame, api_format: str, parsed: str = "parsed", output: str = "fields") -> DataFrame:
+# ---------------------------------------------------------------------------------------------------------------
+# The same fields from bodies that no VARIANT can hold
+# ---------------------------------------------------------------------------------------------------------------
+
+
+def _plain_text_or_blocks(value, pointer: str) -> list[tuple]:
+    if isinstance(value, str):
+        return [(pointer, value, None)]
+    blocks = enumerate(value if isinstance(value, list) else ())
+    return [(f"{pointer}/{i}/text", b["text"], None) for i, b in blocks if isinstance(b, dict) and isinstance(b.get("text"), str)]
+
+
+def _unrepeated(pairs: list[tuple]) -> dict:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("repeated key")
+    return found
+
+
+def _plain_unpacked(fields: list[tuple]) -> list[tuple]:
+    out = []
+    for pointer, text, envelope in fields:
+        try:
+            v = json.loads(text, parse_constant=_no_number, object_pairs_hook=_unrepeated)
+        except (ValueError, RecursionError):
+            v = None
+        if isinstance(v, dict) and isinstance(v.get("chunk_id"), str) and isinstance(v.get("output"), str):
+            number = v.get("wall_time_seconds")
+            if isinstance(number, (int, float)) and not isinstance(number, bool):
+                text, envelope = v["output"], text
+        if text and not (envelope is None and re.search(STATUS_BLOCK.replace(r"\z", r"\Z"), text)):
+            out.append((pointer, text, envelope))
+    return out
+
+
+def _plain_scanned(items):
+    for i, item in enumerate(items if isinstance(items, list) else ()):
+        own = item if isinstance(item, dict) else {}
+        role, kind = own.get("role"), own.get("type")
+        if role == "assistant" if isinstance(role, str) else isinstance(kind, str) and (kind.endswith("_call") or kind == "reasoning"):
+            continue
+        yield i, item, own
+
+
+def plain_fields(body: str, api_format: str | None) -> list[tuple]:
+    """(pointer, text, envelope) of a body that is a JSON object: what :data:`_COLLECTORS` find in its VARIANT."""
+    if api_format not in _COLLECTORS:
+        return []
+    document, out = json.loads(body), []
+    if api_format == "openai_responses":
+        given = document.get("input")
+        out += _plain_text_or_blocks(document.get("instructions"), "/instructions") + _plain_text_or_blocks(given, "/input")
+        listed = [x for x in (given if isinstance(given, list) else ()) if isinstance(x, dict)]
+        calls = {x["call_id"] for x in listed if x.get("type") == "custom_tool_call" and x.get("name") == "exec" and isinstance(x.get("call_id"), str)}
+        for i, item, own in _plain_scanned(given):
+            out += [(f"/input/{i}", item, None)] if isinstance(item, str) else []
+            out += _plain_text_or_blocks(own.get("content"), f"/input/{i}/content")
+            output, call = _plain_text_or_blocks(own.get("output"), f"/input/{i}/output"), own.get("call_id")
+            scripted = own.get("type") == "custom_tool_call_output" and isinstance(call, str) and call in calls
+            out += _plain_unpacked(output) if scripted else output
+        return out
+    nested = api_format == "anthropic_messages"
+    if nested:
+        out += _plain_text_or_blocks(document.get("system"), "/system")
+    for i, _, own in _plain_scanned(document.get("messages")):
+        content, base = own.get("content"), f"/messages/{i}/content"
+        out += _plain_text_or_blocks(content, base)
+        for j, block in enumerate(content if nested and isinstance(content, list) else ()):
+            out += _plain_text_or_blocks(block.get("content") if isinstance(block, dict) else None, f"{base}/{j}/content")
+    return out
+
+
+_FIELDS = pa.list_(pa.struct([(n, pa.string()) for n in ("pointer", "text", "envelope")]))
+
+
+def _large_fields(body: Column, api_format: Column) -> Column:
+    """``array<FIELD>`` of each body; null bodies have none."""
+
+    @F.arrow_udf(f"array<{FIELD}>")
+    def fields(bodies: pa.Array, formats: pa.Array) -> pa.Array:
+        def clean(text):
+            return text and text.encode("utf-8", "replace").decode()
+
+        rows = (plain_fields(b.as_py(), f.as_py()) if b.is_valid else [] for b, f in zip(bodies, formats))
+        return pa.array([[{"pointer": p, "text": clean(t), "envelope": clean(e)} for p, t, e in row] for row in rows], _FIELDS)
+
+    return fields(body, api_format)
+
+
+def _with_large(df: DataFrame, sql: str, api_format: Column, parsed: str, output: str, body: str) -> DataFrame:
+    if body not in df.columns:
+        return df.withColumn(output, F.expr(sql))
+    large = _large_fields(F.when(F.col(parsed).isNull(), F.col(body)), api_format)
+    return df.withColumn("_large", large).withColumn(output, F.when(F.col(parsed).isNull(), F.col("_large")).otherwise(F.expr(sql))).drop("_large")
+
+
+def collected(df: DataFrame, api_format: str, parsed: str = "parsed", output: str = "fields", body: str = "body") -> DataFrame:
     """Add the fields of bodies of one format as ``array<FIELD>``, in write-back order."""
-    return df.withColumn(output, F.expr(f"cast({_COLLECTORS[api_format](f'`{parsed}`')} as array<{FIELD}>)"))
+    sql = f"cast({_COLLECTORS[api_format](f'`{parsed}`')} as array<{FIELD}>)"
+    return _with_large(df, sql, F.lit(api_format), parsed, output, body)
 
 
 def collected_by_format(
-    df: DataFrame, api_format: str = "api_format", parsed: str = "parsed", output: str = "fields"
+    df: DataFrame, api_format: str = "api_format", parsed: str = "parsed", output: str = "fields", body: str = "body"
 ) -> DataFrame:
     """Add the fields of every body by the format in its row; other formats have none."""
     branches = " ".join(
         f"when `{api_format}` = {lit(name)} then cast({collect(f'`{parsed}`')} as array<{FIELD}>)"
         for name, collect in _COLLECTORS.items()
     )
-    return df.withColumn(output, F.expr(f"case {branches} else {empty(FIELD)} end"))
+    return _with_large(df, f"case {branches} else {empty(FIELD)} end", F.col(api_format), parsed, output, body)
 
 
 def field_rows(df: DataFrame, kept: list[str], fields: str = "fields") -> DataFrame:

@@ -329,6 +329,24 @@ def test_requests_end_to_end(spark, tmp_path):
     assert request_pool(done, F.lit(5), F.expr("transform(fields, f -> true)")).count() == 0
 
 
+def test_fields_of_large_bodies(spark, tmp_path):
+    good, _ = extract.parse_requests(request_frame(spark))
+    for r in extract.collected_by_format(good).select("api_format", "body", "fields").collect():
+        assert [tuple(f) for f in r.fields] == extract.plain_fields(r.body, r.api_format)
+    given = request_frame(spark).where("request_id in ('openai_responses', 'anthropic_messages', 'bad1')")
+    filler = F.concat(F.lit('"filler": "'), F.repeat(F.lit("x"), 21_000_000), F.lit('"'))
+    body = F.when(F.col("body") == "[]", F.concat(F.lit("[{"), filler, F.lit("}]"))).otherwise(F.concat(F.lit("{"), filler, F.lit(", "), F.expr("substring(body, 2)")))
+    given.withColumn("body", body).repartition(3, "request_id").write.parquet(str(tmp_path / "large"))
+    done, quarantine = redact_requests(spark.read.parquet(str(tmp_path / "large")), builtin_policy())
+    assert [(r.request_id, r.reject_reason) for r in quarantine.select("request_id", "reject_reason").collect()] == [("bad1", "not_an_object")]
+    small = {r.request_id: r for r in redact_requests(request_frame(spark), builtin_policy())[0].collect()}
+    found = done.select("request_id", "fields", "outcomes", "rewrite_error", F.expr("replace(payload, repeat('x', 21000000), '')").alias("payload")).collect()
+    assert len(found) == 2
+    for r in found:
+        assert (r.fields, r.outcomes, r.rewrite_error) == (small[r.request_id].fields, small[r.request_id].outcomes, None)
+        assert json.loads(r.payload) == {"filler": "", **json.loads(small[r.request_id].payload)}
+
+
 def test_vanished_pointer_is_an_error(spark, tmp_path):
     df = spark.createDataFrame(
         [("r", "f", '{"a":[{"text":5}],"b":"x"}', [(p, "new", None)]) for p in ("/a/0/text", "/a/7/text", "/nope", "", "/a/-", "/b")],
