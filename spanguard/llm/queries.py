@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanguard.llm import binary, decontaminate, extract, jaccard, language, packing, pii, resampling, sharding, tokens, vectors
+from spanguard.llm import binary, decontaminate, exact, extract, jaccard, language, negatives, packing, periodic, pii, resampling, sharding, tokens, vectors
 from spanguard.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,43 @@ def op9_decontamination(spark, d):
 def op10_token_files(spark, d):
     docs = table(spark, d, "documents")
     return binary.read_back(binary.written(docs, tokens.public_path(TOKENIZER)))
+
+
+@query
+def op11_hard_negatives(spark, d):
+    rows = table(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The text of one document in ten with its words from one on repeated with a period, both named by its id."""
+    planted = r"""transform(array(regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0)), w -> transform(array(named_struct('w', w,
+        'a', g % size(w), 'p', 1 + (size(w) - g % size(w)) div (3 + g % 8))), s -> array_join(transform(s.w, (x, i) ->
+        if(i < s.a, x, s.w[cast(s.a + (i - s.a) % s.p as int)])), ' '))[0])[0]"""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    some = (F.col("h") % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    named = docs.select("doc_id", "text", h.alias("h")).withColumn("g", F.expr("h div 10"))
+    return named.select("doc_id", F.when(some, F.expr(planted)).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, d):
+    found = periodic.with_runs(with_planted_runs(table(spark, d, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", periodic.strongest("runs"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_exact_dedup(spark, d):
+    return exact.marked(table(spark, d, "documents"))
