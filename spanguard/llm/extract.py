@@ -1,15 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one for each block element). Menus, forms and the like are left out, names of boilerplate (class,
-id) lower the weight of lines, lines that are mostly links weigh nothing, others as many characters as they have outside links;
-a marked article adds a bounded bonus to its lines. The weights are summed over sliding windows of lines: text begins where the
-sum surges and ends where it dives to nothing.
+Markup is stripped into lines (one for each block element). Menus, forms and the like are left out, and so are elements that
+class or id call boilerplate, whatever their length, unless they enclose the main text. Lines that are mostly links weigh
+nothing, others as many characters as they have outside links; a marked article adds a bounded bonus to its lines. The weights
+are summed over sliding windows of lines: text surges where the sum does and dives where it falls to nothing.
+
+A stretch found so is completed inside its parent block, where no dive counts: an article is kept from its first line to
+its last, other blocks from the first heading, or line, to the last line, linked paragraphs between them included. Lists
+of links end a stretch outside articles.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -32,6 +38,7 @@ BOILERPLATE = (
     "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "gdpr", "notice",
     "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "share", "sharing", "social", "related", "recommended",
     "recommendations", "widget", "toolbar", "pagination", "pager", "login", "signup", "copyright", "disclaimer", "paywall", "teaser", "outbrain", "taboola",
+    "colophon", "siteinfo", "topbar", "skiplink",
 )
 COMMENTS = ("comment", "comments", "respond", "disqus", "commentlist", "replies", "discussion")
 #: Words beside those above in names such as ``comment-list``; with any other word (``has-sidebar``) a name says nothing.
@@ -39,8 +46,8 @@ NEUTRAL = (
     "area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "global", "group", "icons", "inner", "item", "items", "left", "link", "links", "list",
     "main", "outer", "panel", "posts", "articles", "primary", "right", "secondary", "section", "site", "slot", "text", "top", "unit", "widgets", "wrap", "wrapper",
 )
-#: Characters that a name takes from the weight of each line in its element.
-LESS = {"plate": 200, "comments": 1000}
+# Elements that are the parent block of lines.
+HOLDERS = ("article", "body", "center", "div", "fieldset", "html", "main", "section", "table", "td", "th")
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu", "menubar", "toolbar")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
@@ -73,10 +80,12 @@ def _compiled() -> dict:
         "role": re.compile(r"(?:^|[\s\"'])role\s*=\s*[\"']?([a-z]+)", re.IGNORECASE),
         "hidden": re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE),
         "number": re.compile(r"[0-9]+(?:x[0-9]+)?"),
+        "rights": re.compile(r"(?:copyright\s*)?(?:©|\(c\))|copyright\s+(?:19|20)[0-9]{2}|all rights reserved[.]?$", re.IGNORECASE),
         "word": re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])"),
         "ends": {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW},
         "plates": frozenset(BOILERPLATE), "comments": frozenset(COMMENTS), "neutral": frozenset(NEUTRAL), "roles": frozenset(ROLES), "dropped": frozenset(DROPPED), "blocks": frozenset(BLOCKS) | frozenset(DROPPED),
         "raw": frozenset(RAW), "void": frozenset(VOID), "ends_p": frozenset(ENDS_P), "ends_group": ENDS_GROUP, "scopes": frozenset(SCOPES),
+        "holders": frozenset(HOLDERS),
     }
 
 
@@ -110,48 +119,63 @@ def _skipped(name: str, attributes: str, rx: dict, in_article: bool) -> bool:
 class _Mark:
     """An element with a name of boilerplate: what the name says, the named element around it, and what it encloses."""
 
-    __slots__ = ("reason", "around", "article", "main", "chars", "less")
+    __slots__ = ("reason", "around", "within", "main", "title", "chars", "held", "gone")
 
-    def __init__(self, reason: str, around: _Mark | None):
-        self.reason, self.around = reason, around
-        self.article = self.main = False
-        self.chars = self.less = 0
+    def __init__(self, reason: str, around: _Mark | None, within: bool):
+        self.reason, self.around, self.within = reason, around, within  # within: a marked article encloses it
+        self.main = self.title = self.gone = False
+        self.chars = self.held = 0
+
+
+class Line(NamedTuple):
+    """A line and where it stands: its characters outside links (none if it is mostly links), and the elements around it."""
+
+    text: str
+    plain: int
+    inside: bool  # in a marked article
+    mark: _Mark | None  # innermost element with a name of boilerplate
+    article: int  # number of the innermost article, 0 if none
+    box: int  # number of the parent block, and of the one around it
+    around: int
+    title: bool  # in a heading of the first rank
+    listed: bool  # in no paragraph
 
 
 class _State:
     """What holds inside an open element; places in the stack of the nearest elements that later tags may close (-1: none)."""
 
-    __slots__ = ("skip", "mark", "inside", "linked", "near", "block", "scope", "foreign")
+    __slots__ = ("skip", "mark", "inside", "linked", "near", "block", "scope", "foreign", "article", "box", "around", "title")
 
     def __init__(self):
         self.skip = self.inside = self.linked = False
         self.mark: _Mark | None = None
         self.near: dict[str, int] = {}
         self.block = self.scope = self.foreign = -1
+        self.article = self.box = self.around = 0
+        self.title = False
 
     def inner(self) -> _State:
         new = object.__new__(_State)
         new.skip, new.mark, new.inside, new.linked, new.near = self.skip, self.mark, self.inside, self.linked, self.near
         new.block, new.scope, new.foreign = self.block, self.scope, self.foreign
+        new.article, new.box, new.around, new.title = self.article, self.box, self.around, self.title
         return new
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool, float, _Mark | None]], list[_Mark]]:
-    """Lines in page order: text, whether inside a marked article, share of its characters in links, innermost named element.
-
-    Also all named elements, in page order. Reads the page once.
+def lines(page: str) -> tuple[list[Line], list[_Mark]]:
+    """Lines and named elements in page order. Reads the page once.
 
     Open elements are kept in a stack. End tags that HTML lets authors omit are supplied; what is skipped ends with its parent.
     """
     rx = kept("html", _compiled)
-    out: list[tuple[str, bool, float, _Mark | None]] = []
+    out: list[Line] = []
     marks: list[_Mark] = []
     parts: list[str] = []
     linked = total = 0
     stack: list[tuple[str, _State]] = []  # names of open elements with the state around each
     places: dict[str, list[int]] = {}
     state = _State()
-    at, size = 0, len(page)
+    at, size, boxes = 0, len(page), 0
 
     def put(text: str) -> None:
         nonlocal linked, total
@@ -166,7 +190,9 @@ def lines(page: str) -> tuple[list[tuple[str, bool, float, _Mark | None]], list[
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, state.inside, linked / max(1, total), state.mark))
+                share = linked / max(1, total)
+                plain = 0 if share > LINKED else max(1, round(len(text) * (1 - share)))
+                out.append(Line(text, plain, state.inside, state.mark, state.article, state.box, state.around, state.title, state.near.get("p", -1) < 0))
             parts.clear()
             linked = total = 0
 
@@ -192,7 +218,7 @@ def lines(page: str) -> tuple[list[tuple[str, bool, float, _Mark | None]], list[
                 close(state.near[group])
 
     def push(name: str, inner: _State) -> None:
-        nonlocal state
+        nonlocal state, boxes
         place = len(stack)
         stack.append((name, state))
         places.setdefault(name, []).append(place)
@@ -201,6 +227,11 @@ def lines(page: str) -> tuple[list[tuple[str, bool, float, _Mark | None]], list[
             state.block = place
         if name in rx["scopes"]:
             state.scope = place
+        if name in rx["holders"]:
+            boxes += 1
+            state.around, state.box = state.box, boxes
+            if name == "article":
+                state.article = boxes
         shut, group = SHUTS.get(name, ()), GROUP.get(name)
         if shut or group:
             state.near = {k: v for k, v in state.near.items() if k not in shut}
@@ -241,7 +272,7 @@ def lines(page: str) -> tuple[list[tuple[str, bool, float, _Mark | None]], list[
             end = page.find(">", hit.end())
             if end < 0:
                 break
-            at, closing, name, attributes = end + 1, hit[1], hit[2].lower(), page[hit.end() : end][:2000]
+            at, closing, name, attributes = end + 1, hit[1], hit[2].lower(), page[hit.end() : end]
         if not closing and attributes.endswith("/") and (name in FOREIGN or state.foreign >= 0 and name not in rx["blocks"]):
             continue
         if not closing and name in rx["raw"]:
@@ -269,15 +300,19 @@ def lines(page: str) -> tuple[list[tuple[str, bool, float, _Mark | None]], list[
         inner = state.inner()
         if why := _named(name, attributes, rx, state.inside):
             flush()
-            marks.append(_Mark(why, state.mark))
+            marks.append(_Mark(why, state.mark, state.inside))
             inner.mark = marks[-1]
         if _skipped(name, attributes, rx, state.inside):
             flush()
             inner.skip = True
         elif name in ("article", "main"):
             inner.skip, inner.inside = False, True
+            if state.mark and name == "main":
+                state.mark.main = True
+        elif name == "h1":
+            inner.title = True
             if state.mark:
-                state.mark.article, state.mark.main = True, state.mark.main or name == "main"
+                state.mark.title = True
         elif name == "a":
             inner.linked = True
         push(name, inner)
@@ -285,72 +320,116 @@ def lines(page: str) -> tuple[list[tuple[str, bool, float, _Mark | None]], list[
     return out, marks
 
 
-def _believe(found: list, marks: list[_Mark], plain: list[int]) -> list[int]:
-    """What names take from the weight of each line.
+def _left_out(found: list[Line], marks: list[_Mark]) -> None:
+    """Marks the named elements whose lines go, whatever their length.
 
-    A name is not believed where its element encloses the main text: ``main``, an article (comments may hold articles of their
-    own), or nearly all text of the page.
+    A name is not believed where its element encloses the main text: ``main``, most text of articles (comments may hold articles
+    of their own), the title and most text, or all but a few characters of the page.
     """
-    for (_, _, _, mark), chars in zip(found, plain):
-        if mark:
-            mark.chars += chars
+    for line in found:
+        if line.mark:
+            line.mark.chars += line.plain
+            line.mark.held += line.plain * line.inside
     for mark in reversed(marks):
         if around := mark.around:
             around.chars += mark.chars
-            around.article, around.main = around.article or mark.article, around.main or mark.main
-    total = sum(plain)
+            around.held += mark.held
+            around.main, around.title = around.main or mark.main, around.title or mark.title
+    total, held = sum(line.plain for line in found), sum(line.plain for line in found if line.inside)
     for mark in marks:
         rest = total - mark.chars
-        if mark.reason == "comments":
-            doubtful = mark.main or rest < min(SURGE, mark.chars)
-        else:
-            doubtful = mark.main or mark.article or mark.chars >= SURGE and 4 * rest < mark.chars
-        mark.less = max(0 if doubtful else LESS[mark.reason], mark.around.less if mark.around else 0)
-    return [mark.less if mark else 0 for _, _, _, mark in found]
+        elsewhere = held and 2 * mark.held <= held  # most text of articles
+        encloses = mark.main or not elsewhere and rest < (1 if mark.within else SURGE) and 4 * rest < mark.chars
+        if mark.reason == "plate":
+            encloses = encloses or not mark.within and 2 * mark.held > held or mark.title and 4 * rest < mark.chars
+        mark.gone = not encloses or bool(mark.around and mark.around.gone)
 
 
-def _weights(found: list, plain: list[int], less: list[int]) -> list[int]:
-    """Characters outside links, less what names take, and more in a marked article.
+def _weights(found: list[Line]) -> list[int]:
+    """Characters outside links, and more in a marked article.
 
     Where most text is in marked articles, lines outside weigh up to ``SURGE`` characters less; where little is, nothing changes.
     """
-    lowered = [max(0, chars - low) for chars, low in zip(plain, less)]
-    marked = sum(w for w, line in zip(lowered, found) if line[1])
-    malus = round(SURGE * max(0, 2 * marked - sum(lowered)) / max(1, sum(lowered)))
-    return [(w and w + (0 if low else BONUS)) if line[1] else max(0, w - malus) for w, low, line in zip(lowered, less, found)]
+    total, marked = sum(line.plain for line in found), sum(line.plain for line in found if line.inside)
+    malus = round(SURGE * max(0, 2 * marked - total) / max(1, total))
+    return [(line.plain and line.plain + BONUS) if line.inside else max(0, line.plain - malus) for line in found]
 
 
-def main_text(page: str | None) -> str:
-    """The kept lines joined by line ends; empty for null, empty and textless pages."""
-    found, marks = lines(page) if page else ([], [])
-    if not found:
-        return ""
-    plain = [0 if share > LINKED else max(1, round(len(t) * (1 - share))) for t, _, share, _ in found]
-    less = _believe(found, marks, plain)
-    stays = [place for place, low in enumerate(less) if plain[place] > low or not low]  # an advert between paragraphs parts no windows
-    found, plain, less = ([of[place] for place in stays] for of in (found, plain, less))
-    if not found:
-        return ""
-    weights = _weights(found, plain, less)
+def stretches(weights: list[int]) -> list[bool]:
+    """Which lines weigh and stand between a surge of the sliding sum and its dive; the heaviest window if it surges nowhere."""
     sums, total = [], sum(weights[:WINDOW])
     for place in range(len(weights)):
         sums.append(total)
         total += (weights[place + WINDOW] if place + WINDOW < len(weights) else 0) - weights[place]
-    kept_lines, inside = [], False
-    for place, weight in enumerate(weights):
-        if not inside and weight and sums[place] >= SURGE:
+    core, inside = [], False
+    for weight, ahead in zip(weights, sums):
+        if not inside and weight and ahead >= SURGE:
             inside = True
-        elif inside and not sums[place]:
+        elif inside and not ahead:
             inside = False
-        if inside and weight:
-            kept_lines.append(found[place][0])
-    if not kept_lines and (best := max(sums)):
+        core.append(bool(inside and weight))
+    if not any(core) and (best := max(sums, default=0)):
         place = sums.index(best)
-        kept_lines = [t for (t, *_), w in zip(found[place : place + WINDOW], weights[place : place + WINDOW]) if w]
-    return "\n".join(kept_lines)
+        core = [place <= i < place + WINDOW and weight > 0 for i, weight in enumerate(weights)]
+    return core
+
+
+def _completed(found: list[Line], core: list[bool]) -> list[bool]:
+    """The stretches with what belongs to them in their parent blocks."""
+    keep, size = list(core), len(found)
+    articles: dict[int, list[int]] = {}
+    lined = Counter(line.box for line in found)
+    parents = []
+    for place, line in enumerate(found):
+        if line.article:
+            articles.setdefault(line.article, []).append(place)
+        parents.append(-line.article if line.article else line.box if lined[line.box] > 1 else line.around)
+    for places in articles.values():
+        if any(core[i] for i in places):
+            worded = [i for i in places if found[i].plain]
+            for i in places:
+                keep[i] = keep[i] or worded[0] <= i <= worded[-1]
+    first = 0
+    while first < size:  # outside articles: neighbouring lines of one parent block, parted where three links or more stand in a list
+        last, links = first, 0
+        while last < size and parents[last] == parents[first]:
+            links = links + 1 if not found[last].plain and found[last].listed else 0
+            last += 1
+            if links == WINDOW:
+                break
+        own = range(first, last)
+        inner = [i for i in own if core[i]]
+        if inner and parents[first] >= 0:
+            worded = [i for i in own if found[i].plain]
+            titles = [i for i in worded if found[i].title and i <= inner[0]]
+            for i in range((titles or worded)[0], worded[-1] + 1):
+                keep[i] = True
+        first = last
+    # Linked paragraphs between two kept lines of one stretch whose blocks differ.
+    before = -1
+    for i in range(size):
+        if keep[i]:
+            if before >= 0 and 0 < i - before - 1 < WINDOW and not any(found[j].plain for j in range(before + 1, i)):
+                keep[before + 1 : i] = [True] * (i - before - 1)
+            before = i
+    return keep
+
+
+def main_text(page: str | None) -> str:
+    """The kept lines joined by line ends; empty for null, empty and textless pages."""
+    found, marks = lines(page) if page else ([], [])
+    _left_out(found, marks)
+    found = [line for line in found if not (line.mark and line.mark.gone)]  # an advert between paragraphs parts no windows
+    kept_lines = [line for line, keep in zip(found, _completed(found, stretches(_weights(found)))) if keep]
+    rights = kept("html", _compiled)["rights"]
+    while kept_lines and not kept_lines[-1].inside and len(kept_lines) > 1 and rights.match(kept_lines[-1].text):
+        kept_lines.pop()
+    return "\n".join(line.text for line in kept_lines)
 
 
 def extracted(page: Column) -> Column:
+    """The main text of each page; empty for null, empty and textless pages, whole pages of any length, each row alone."""
+
     @F.arrow_udf("string")
     def text(pages: pa.Array) -> pa.Array:
         return pa.array([main_text(p.as_py()) for p in pages], pa.string())
