@@ -17,6 +17,12 @@ from spanguard.llm.rows import numbered, stored
 MOST_BLOCK, LEAST_BLOCK, STRIPE, SLACK = 4096, 256, 512, 1e-5
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one. The largest component comes to one first, so no square runs over or under."""
+    vectors = vectors / np.abs(vectors).max(1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 def quantised(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whole numbers, scale and error norm of unit vectors (rows)."""
     scale = np.maximum(np.abs(units).max(1), 1e-300) / 127
@@ -65,7 +71,9 @@ def _prepared(batches):
         whole, scales, errors = [], [], []
         for row in range(batch.num_rows):
             v = vectors[row].values.to_numpy(zero_copy_only=False).astype(np.float64)
-            q, s, e = quantised((v / np.linalg.norm(v))[None, :])
+            q, s, e = quantised(unit(v[None, :]))
+            if not np.isfinite(e).all():
+                raise ValueError("a vector without a finite error bound would hide links")
             whole.append(q.tobytes())
             scales.append(s[0])
             errors.append(e[0])
@@ -83,7 +91,7 @@ def _tile(rows: dict, first: int, second: int, least: float):
         for block in {first: 1, second: 1}:
             at = np.flatnonzero((sizes == size) & (blocks == block))
             vectors = np.array([rows["vector"][i] for i in at], np.float64).reshape(len(at), size)
-            units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) if len(at) else vectors
+            units = unit(vectors) if len(at) else vectors
             whole = np.array([np.frombuffer(rows["whole"][i], np.int8) for i in at]).reshape(len(at), size)
             sides.append((at, (units, whole, np.array(rows["scale"])[at], np.array(rows["error"])[at])))
         (ia, a), (ib, b) = sides[0], sides[-1]
