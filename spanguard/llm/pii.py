@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -116,10 +118,12 @@ def find(text: str | None) -> list[tuple[int, int, str, float]]:
                 put("phone", *hit.span(), True, True)
         for start, end in _accounts(text, rx):
             put("iban", start, end, True, False)
-        taken = [(s, e) for s, e, _, _ in found]
+        taken = sorted((s, e) for s, e, _, _ in found)
+        reach = list(accumulate((e for _, e in taken), max))  # furthest end of the spans up to each
         for kind in ("ssn", "tel"):
             for hit in rx[kind].finditer(text):
-                if not any(s < hit.end() and hit.start() < e for s, e in taken):
+                before = bisect_left(taken, (hit.end(),))  # spans that begin before the candidate ends
+                if not before or reach[before - 1] <= hit.start():
                     put(kind, *hit.span(), False, False)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -150,6 +154,8 @@ def spans_of(text: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
+    """The text with its spans replaced by their kinds; null stays null, empty stays empty, whole texts of any length."""
+
     @F.arrow_udf("string")
     def replaced(texts: pa.Array) -> pa.Array:
         return pa.array([redact(t, find(t)) for t in (x.as_py() for x in texts)], pa.string())

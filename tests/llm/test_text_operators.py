@@ -88,6 +88,13 @@ def test_redaction_and_long_texts():
         pii.find(text)  # each takes time linear in the text
 
 
+def test_numbers_beside_many_spans():
+    """Candidates are held against earlier spans in order, not against each of them."""
+    lines = [f"a{i}@b.cd tel 415-555-{i % 10_000:04d} +1 (555) 010-{i % 10_000:04d} ssn 078-05-{i % 10_000:04d}" for i in range(20_000)]
+    found = pii.find("\n".join(lines))
+    assert Counter(k for _, _, k, _ in found) == {"email": 20_000, "tel": 20_000, "phone": 20_000, "ssn": 20_000}
+
+
 def test_spans_keep_rows_and_columns(spark):
     out = pii.with_spans(frame(spark, [(1, "a@b.cd"), (1, "a@b.cd"), (2, None), (None, "")]), spans="found").collect()
     assert sorted(len(r.found) for r in out) == [0, 0, 1, 1] and all(r.pii == "x" for r in out)
@@ -256,7 +263,7 @@ def test_names_do_not_erase_the_main_text(wrapped):
 
 
 @pytest.mark.parametrize("name", ["comments", "comment-list", "commentlist", "sidebar left", "ad-300x250", "site-footer", "cookie-notice", "side-bar"])
-def test_names_lower_weights(name):
+def test_named_elements_go(name):
     assert extract.main_text(f"<p>{LONG}<div class='{name}'><p>short</div><p>{LONG}") == f"{LONG.strip()}\n{LONG.strip()}"
     assert extract.main_text(f"<article><p>{LONG}<span id='{name}'>short</span><p>{LONG}</article>") == f"{LONG.strip()}\n{LONG.strip()}"
 
@@ -272,6 +279,46 @@ def test_text_lengths_decide_on_pages_with_articles():
     assert extract.main_text(f"<div>Weather 12</div><article><h1>T</h1><p>{LONG}{links}</article><div>All rights</div>") == f"T\n{LONG.strip()}"
 
 
+NOTICE = "<div class='cookie-notice'><p>" + "We use cookies on this site. " * 14 + "</p></div>"  # 410 characters
+ASIDE = "<div class='sidebar'><p>" + "About the author and so on " * 19 + "</p></div>"  # 500
+READERS = "<div id='comments'><p>" + "A reader says this " * 82 + "</p></div>"  # 1,560
+
+
+@pytest.mark.parametrize("block", ["<article>{}</article>", "<div>{}</div>", "<main>{}</main>", "<div><section>{}</section></div>", "{}"])
+def test_whole_article_and_nothing_beside_it(block):
+    linked = "<p><a href=x>Read the whole of the original report here</a></p>"
+    parts = ["<h1>Title</h1>", "<p>One.</p>", "<p>Two.</p>", "<p>Three.</p>", f"<p>{LONG}</p>", linked, f"<p>{LONG}</p>", linked * 3, "<p>End.</p>"]
+    text = "\n".join(x.strip() for x in re.split(r"<[^>]*>", "".join(parts)) if x.strip())
+    menu = "<div><ul>" + "<li><a href=x>menu</a></li>" * 5 + "</ul></div>"
+    tail = "<div class='site-info'>Some site</div><div class='x'>© 2024 Some site</div>"
+    assert extract.main_text(f"<html><body>{NOTICE}{menu}{block.format(''.join(parts))}{ASIDE}{READERS}{menu}{tail}</body></html>") == text
+    inner = "".join(parts[:5]) + NOTICE + ASIDE + READERS + "".join(parts[5:])
+    assert extract.main_text(f"<body>{menu}{block.format(inner)}{menu}</body>") == text
+
+
+@pytest.mark.parametrize("filler", [100, 2_100, 100_000])
+def test_attributes_are_read_whole(filler):
+    odd = f"<div title='x\" {'a=b ' * (filler // 4)} class=\"sidebar\">side</div>"
+    for page in ("<article><p>{0}</p>{1}<p>b</p></article>", "<div><p>{0}</p>{1}<p>b</p></div>"):
+        assert extract.main_text(page.format(LONG, odd)) == f"{LONG.strip()}\nb"
+
+
+def test_stretches_are_those_of_all_windows():
+    """Line-block distribution written plainly: a line is text if some window began to surge at or before it, without a dive since."""
+    rng = random.Random(9)
+    for _ in range(400):
+        weights = [rng.choice([0, 0, 3, 10, 25, 70, 200]) for _ in range(rng.randrange(0, 25))]
+        sums = [sum(weights[i : i + extract.WINDOW]) for i in range(len(weights))]
+        want = []
+        for i, weight in enumerate(weights):
+            surges = [j for j in range(i + 1) if weights[j] and sums[j] >= extract.SURGE]
+            want.append(bool(weight and any(all(sums[k] for k in range(j, i + 1)) for j in surges)))
+        if not any(want) and any(sums):
+            best = sums.index(max(sums))
+            want = [best <= i < best + extract.WINDOW and w > 0 for i, w in enumerate(weights)]
+        assert extract.stretches(weights) == want
+
+
 def test_deep_pages_take_linear_time():
     for page in ("<div>" * 50_000, "<p><table><td>" + "<div>" * 50_000, "<li><b>" * 50_000, "<div><p class=ad>" * 50_000, "<article>" * 50_000 + "</b>" * 50_000, "<b>" * 50_000 + "</div>" * 50_000):
         extract.main_text(page)
