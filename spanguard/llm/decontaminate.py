@@ -7,6 +7,9 @@ the words they cover and the items they belong to.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,23 +18,26 @@ from spanguard.llm.bytetext import ALPHANUMERIC, Hasher, cuts, run_bounds, slice
 from spanguard.llm.worker import kept
 
 #: Bytes of item texts in one automaton, which is broadcast; more items make more automata, applied one after the other.
-SHARD_BYTES = 16 << 20
+#: Random words of six letters, 4 MB: 0.31 GB at most while it was built on the driver, then 0.09 GB, 32 MB of it broadcast.
+SHARD_BYTES = 4 << 20
 _RUN = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 class Automaton:
-    """Suffix automaton of many sequences of word numbers, with the items below each state."""
+    """Suffix automaton of distinct sequences of word numbers, with the numbers of those below each state.
+
+    Built with a dictionary for each state, then kept as flat arrays: 8 bytes a state and 16 a transition.
+    """
 
-    def __init__(self, items: list[tuple[str, list[int]]], length: int):
+    def __init__(self, sequences: list[tuple[int, ...]], length: int):
         self.length, self.next, self.link, self.size = length, [{}], [-1], [0]
-        for _, sequence in items:
+        self.words = 1 + max((max(s) for s in sequences if s), default=0)
+        for sequence in sequences:
             last = 0
             for word in sequence:
                 last = self._extended(last, word)
-        self.anchor: list[int] = []
-        self.long_items: dict[int, tuple[str, ...]] = {}
-        self.short: dict[int, tuple] = {}
-        self._label(items)
+        self._freeze()
+        self._label(sequences)
 
     def _clone(self, state: int, size: int) -> int:
         self.next.append(dict(self.next[state]))
@@ -71,62 +77,79 @@ class Automaton:
                 self.link[new] = copy
         return new
 
-    def _label(self, items) -> None:
-        """Items of each window state; short items by the state of their whole sequence, passed down the links."""
-        order = sorted(range(len(self.size)), key=self.size.__getitem__)
-        self.anchor = [-1] * len(order)
+    def _freeze(self) -> None:
+        """Transitions as sorted keys (state, word) with their targets."""
+        self.link, self.size = array("i", self.link), array("i", self.size)
+        keys = np.fromiter((state * self.words + word for state, there in enumerate(self.next) for word in there), np.int64)
+        targets = np.fromiter((target for there in self.next for target in there.values()), np.int32, len(keys))
+        order = np.argsort(keys)
+        self.keys, self.targets = array("q", keys[order].tobytes()), array("i", targets[order].tobytes())
+        self.next = None
+
+    def _there(self, state: int, word: int) -> int:
+        key = state * self.words + word
+        place = bisect_left(self.keys, key)
+        return self.targets[place] if place < len(self.keys) and self.keys[place] == key else -1
+
+    def _label(self, sequences) -> None:
+        """Sequences of each window state; short ones at the state of their whole, with links to the next such state below."""
+        sizes = np.asarray(self.size)
+        order = np.argsort(sizes, kind="stable").tolist()
+        self.anchor = array("i", [-1]) * len(order)
+        below: dict[int, set] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for state in order[1:]:
             up = self.link[state]
             if self.size[state] >= self.length:
                 self.anchor[state] = state if self.size[up] < self.length else self.anchor[up]
-        below: dict[int, set] = {}
-        ends: dict[int, list] = {}
-        for name, sequence in items:
+        for number, sequence in enumerate(sequences):
             if 0 < len(sequence) < self.length:
                 state = 0
                 for word in sequence:
-                    state = self.next[state][word]
-                ends.setdefault(state, []).append((len(sequence), name))
-            elif sequence:
+                    state = self._there(state, word)
+                self.short.setdefault(state, []).append((len(sequence), number))
+            else:
                 for state, size, _ in self.walk(sequence):
                     if size >= self.length:
-                        below.setdefault(self.anchor[state], set()).add(name)
-        self.long_items = {state: tuple(sorted(names)) for state, names in below.items()}
-        if ends:
+                        below.setdefault(self.anchor[state], set()).add(number)
+        self.long = {state: tuple(numbers) for state, numbers in below.items()}
+        self.output = array("i", [-1]) * len(order)  # nearest state on the way down the links, itself included, with short ones
+        if self.short:
             for state in order[1:]:
-                own = (*self.short.get(self.link[state], ()), *ends.get(state, ()))
-                if own:
-                    self.short[state] = own
+                self.output[state] = state if state in self.short else self.output[self.link[state]]
 
     def walk(self, sequence):
         """State and length of the longest match that ends at each word."""
         state = size = 0
         for place, word in enumerate(sequence):
-            while state and word not in self.next[state]:
+            while (there := self._there(state, word)) < 0 and state:
                 state = self.link[state]
                 size = self.size[state]
-            if (there := self.next[state].get(word)) is not None:
+            if there >= 0:
                 state, size = there, size + 1
             yield state, size, place
 
-    def hits(self, sequence) -> tuple[list[tuple[int, int]], set]:
-        """Covered stretches of words, and the items whose windows occur."""
-        covered, names = [], set()
+    def hits(self, sequence) -> tuple[list[tuple[int, int]], set[int]]:
+        """Covered stretches of words, and the numbers of the sequences whose windows occur."""
+        covered, numbers = [], set()
         for state, size, place in self.walk(sequence):
             reach = 0
             if size >= self.length:
                 reach = self.length
-                names.update(self.long_items.get(self.anchor[state], ()))
-            for short, name in self.short.get(state, ()):
-                if short <= size:
-                    reach = max(reach, short)
-                    names.add(name)
+                numbers.update(self.long.get(self.anchor[state], ()))
+            end = self.output[state]
+            while end > 0:
+                for short, number in self.short[end]:
+                    if short <= size:
+                        reach = max(reach, short)
+                        numbers.add(number)
+                end = self.output[self.link[end]]
             if reach:
                 start = place + 1 - reach
                 while covered and covered[-1][1] >= start:
                     start = min(start, covered.pop()[0])
                 covered.append((start, place + 1))
-        return covered, names
+        return covered, numbers
 
 
 class Index:
@@ -140,7 +163,12 @@ class Index:
         self.shortest = min([length, *(len(s) for s in sequences if s)])
         pairs = {a * len(self.vocabulary) + b for s in sequences for a, b in zip(s, s[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
-        self.automaton = Automaton([(name, s) for (name, _), s in zip(items, sequences)], length)
+        named: dict[tuple[int, ...], set[str]] = {}
+        for (name, _), sequence in zip(items, sequences):
+            if sequence:
+                named.setdefault(tuple(sequence), set()).add(name)
+        self.names = [tuple(sorted(names)) for names in named.values()]  # equal items are one sequence
+        self.automaton = Automaton(list(named), length)
 
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -188,16 +216,16 @@ def _pass(index, text: str, earlier: bool):
             numbers = own.numbered(hashes)
             rows: dict[int, tuple[list, set]] = {}
             for a, b in own.stretches(numbers, bounds):
-                covered, names = own.automaton.hits(numbers[a:b].tolist())
+                covered, known = own.automaton.hits(numbers[a:b].tolist())
                 if covered:
                     row = int(np.searchsorted(bounds, a, side="right")) - 1
                     runs, seen = rows.setdefault(row, ([], set()))
                     runs += [(x + a - int(bounds[row]), y + a - int(bounds[row])) for x, y in covered]
-                    seen |= names
+                    seen |= known
             runs = batch.column(batch.schema.get_field_index("__runs")).to_pylist() if earlier else [[]] * batch.num_rows
             items = batch.column(batch.schema.get_field_index("__items")).to_pylist() if earlier else [[]] * batch.num_rows
             runs, items = list(runs), list(items)
-            for row, (new, names) in rows.items():
+            for row, (new, known) in rows.items():
                 starts, ends = word_bytes(column[row].as_py())
                 merged: list[list[int]] = []
                 for x, y in sorted([(r["first"], r["after"]) for r in runs[row]] + new):
@@ -206,7 +234,7 @@ def _pass(index, text: str, earlier: bool):
                     else:
                         merged.append([x, y])
                 runs[row] = [{"first": x, "after": y, "start": int(starts[x]), "end": int(ends[y - 1])} for x, y in merged]
-                items[row] = sorted({*items[row], *names})
+                items[row] = sorted({*items[row], *(name for number in known for name in own.names[number])})
             keep = [n for n in batch.schema.names if n not in ("__words", "__runs", "__items")]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(np.diff(bounds)), pa.array(runs, _RUN), pa.array(items, pa.list_(pa.string()))],

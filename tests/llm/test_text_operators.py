@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,21 @@ def test_hits_are_those_of_all_windows(spark, monkeypatch, shard_bytes):
     assert got == want
 
 
+def test_many_equal_short_items_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    items = [(str(i), "one") for i in range(10_000)] + [(f"long{i}", " ".join(["one"] + [f"w{rng.randrange(20_000)}" for _ in range(200)])) for i in range(200)]
+    tracemalloc.start()
+    index = decontaminate.Index(items, 10)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 20e6
+    first = [int(x) for x in index.numbered(decontaminate.words(pa.array(["one"]), decontaminate.ALPHANUMERIC, decontaminate.Hasher())[0])]
+    covered, known = index.automaton.hits(first)
+    assert covered == [(0, 1)] and [len(index.names[n]) for n in known] == [10_000]
+
+
 def test_covered_passages_are_cut_out(spark):
     tests = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
     texts = [(1, "Héllo, One two THREE four five!  and more than enough words stay"), (2, "one two three four five six"), (3, None), (4, ""), (5, "nothing here")]
