@@ -22,3 +22,12 @@ def with_rows_where(df: DataFrame, condition: Column) -> DataFrame:
 def exploded(df: DataFrame, kept: list, array: str | Column, alias: str) -> DataFrame:
     """``kept`` columns and one row per array item; rows with an empty or null array go."""
     return df.select(*kept, F.explode_outer(array).alias(alias)).where(F.col(alias).isNotNull())
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, through which Catalyst merges no projections.
+
+    It may draw one call of a Python function into the arguments of another, and then cannot take them apart again (Spark 4.1:
+    "Cannot evaluate expression").
+    """
+    return df.withColumn("_apart", F.explode(F.array(F.lit(True)))).drop("_apart")

@@ -38,7 +38,8 @@ from spanguard.functions.sqlx import (
     struct,
 )
 from spanguard.operators.policy import Policy
-from spanguard.schemas import CREDENTIALS, RANGE, SPAN
+from spanguard.operators.ruletable import RuleTable
+from spanguard.schemas import CREDENTIALS, HIT, RANGE, SPAN
 
 _CREDENTIAL_LIST = ", ".join(lit(g) for g in CREDENTIALS)
 _PROPOSAL = f"struct<start:int,end:int,ord:int,span:{SPAN}>"
@@ -91,6 +92,114 @@ def decided(raw: str, hits: str, images: str, policy: Policy) -> str:
     return f"cast(flatten({each(keep(hits, lambda h: valid_hit(raw, h)), one)}) as array<{SPAN}>)"
 
 
+# The same in three steps for a policy whose rules on single texts are a table: what it knows of a word is looked up between
+# them, first of the trimmed text (a registered one is not completed), then of the final one.
+
+_TRIMMED = f"struct<h:{HIT},t:{RANGE},w:string>"
+_PIECE = "struct<entity_group:string,score:double,start:int,end:int,w:string>"
+
+
+def trimmed_hits(raw: str, hits: str) -> str:
+    """SQL array<_TRIMMED>: the valid hits with their trimmed range and its text."""
+
+    def one(h: str) -> str:
+        return let(
+            trimmed(raw, f"{h}.start", f"{h}.end"),
+            lambda t: struct(h=h, t=t, w=cut(raw, f"{t}.start", f"{t}.end")),
+        )
+
+    return each(keep(hits, lambda h: valid_hit(raw, h)), one)
+
+
+def grown_pieces(raw: str, trims: str, ruled: str, images: str) -> str:
+    """SQL array<_PIECE>: completed unless registered, without images, trimmed again."""
+
+    def grown(x: str, i: str) -> str:
+        wide = completed(raw, f"{x}.t.start", f"{x}.t.end", CREDENTIAL_CLASS)
+        narrow = completed(raw, f"{x}.t.start", f"{x}.t.end", TOKEN_CLASS)
+        return (
+            f"if(coalesce({ruled}[{i}].registered, false), {x}.t,"
+            f" if({x}.h.entity_group in ({_CREDENTIAL_LIST}), {wide}, {narrow}))"
+        )
+
+    def parts(r: str) -> str:
+        whole = f"if({r}.start < {r}.end, array({r}), {empty(RANGE)})"
+        return f"if(size({images}) = 0, {whole}, {subtract(f'{r}.start', f'{r}.end', images)})"
+
+    def piece(x: str, p: str) -> str:
+        return let(
+            trimmed(raw, f"{p}.start", f"{p}.end"),
+            lambda q: struct(
+                entity_group=f"{x}.h.entity_group",
+                score=f"{x}.h.score",
+                start=f"{q}.start",
+                end=f"{q}.end",
+                w=cut(raw, f"{q}.start", f"{q}.end"),
+            ),
+        )
+
+    return f"flatten({each_indexed(trims, lambda x, i: let(grown(x, i), lambda r: each(parts(r), lambda p: piece(x, p))))})"
+
+
+def first_rule(compiled: Policy, group: str, score: str, word: str, ruled: str) -> str:
+    """SQL struct(action, rule_id, priority): the first of the compiled rules and the one the table has for the word."""
+
+    def chosen(d: str) -> str:
+        table = f"({ruled}.id is not null and ({d}.rule_id is null or {ruled}.rank < -{d}.priority or ({ruled}.rank = -{d}.priority and {ruled}.id < {d}.rule_id)))"
+        return f"if({table}, {struct(action=f'{ruled}.action', rule_id=f'{ruled}.id', priority=f'-{ruled}.rank')}, {d})"
+
+    return let(compiled.decision_sql(group, score, word), chosen)
+
+
+def table_decided(compiled: Policy, pieces: str, ruled: str) -> str:
+    """SQL array<SPAN>: every piece with the first rule on it."""
+
+    def one(p: str, i: str) -> str:
+        return let(
+            first_rule(compiled, f"{p}.entity_group", f"{p}.score", f"{p}.w", f"{ruled}[{i}]"),
+            lambda d: struct(
+                entity_group=f"{p}.entity_group",
+                score=f"{p}.score",
+                byte_start=f"{p}.start",
+                byte_end=f"{p}.end",
+                original_text=f"{p}.w",
+                action=f"{d}.action",
+                matched_rule_id=f"{d}.rule_id",
+                priority=f"{d}.priority",
+            ),
+        )
+
+    return each_indexed(pieces, one)
+
+
+def _with_decided(steps: _Steps, policy: Policy | RuleTable, sources, hits: str) -> None:
+    """Add ``_decided`` to the columns of ``steps``."""
+    if isinstance(policy, Policy):
+        steps.add(
+            "_decided",
+            f"array<{SPAN}>",
+            lambda raw, hits, images: f"if(size({hits}) = 0, {empty(SPAN)}, {decided(raw, hits, images, policy)})",
+            hits=hits,
+            **sources("raw", "images"),
+        )
+        return
+    nested = steps.over is not None
+    words = lambda column: f"transform({column}, xs -> transform(xs, x -> x.w))" if nested else f"transform({column}, x -> x.w)"
+    steps.add("_trims", f"array<{_TRIMMED}>", lambda raw, hits: f"if(size({hits}) = 0, {empty(_TRIMMED)}, {trimmed_hits(raw, hits)})", hits=hits, **sources("raw"))
+    steps.df = policy.with_ruled(steps.df, words("_trims"), "_ruled", nested)
+    steps.add(
+        "_pieces",
+        f"array<{_PIECE}>",
+        lambda raw, trims, ruled, images: f"if(size({trims}) = 0, {empty(_PIECE)}, {grown_pieces(raw, trims, ruled, images)})",
+        trims="_trims",
+        ruled="_ruled",
+        **sources("raw", "images"),
+    )
+    steps.df = policy.with_ruled(steps.df, words("_pieces"), "_ruled", nested)
+    steps.add("_decided", f"array<{SPAN}>", lambda pieces, ruled: table_decided(policy.compiled, pieces, ruled), pieces="_pieces", ruled="_ruled")
+    steps.df = steps.df.drop("_trims", "_pieces", "_ruled")
+
+
 def _confirmed(spans: str) -> str:
     """SQL: redacted spans of credential categories, in order."""
     return keep(
@@ -279,7 +388,7 @@ class _Steps:
         self.df = self.df.withColumn(output, F.expr(f"cast({work} as {kind})"))
 
 
-def judged(df: DataFrame, policy: Policy, text: str, hits: str, per: str = "row") -> DataFrame:
+def judged(df: DataFrame, policy: Policy | RuleTable, text: str, hits: str, per: str = "row") -> DataFrame:
     """Add ``_spans``, ``_ranges`` and ``_redacted``.
 
     ``per`` says what is judged: a ``row`` (a text with its hits), every one of the ``texts`` in an array column with its
@@ -302,13 +411,7 @@ def judged(df: DataFrame, policy: Policy, text: str, hits: str, per: str = "row"
         steps.df = steps.df.withColumn("_images", F.expr(image_ranges(text)))
     else:
         steps.add("_images", f"array<{RANGE}>", lambda text: image_ranges(text), **sources("text"))
-    steps.add(
-        "_decided",
-        f"array<{SPAN}>",
-        lambda raw, hits, images: f"if(size({hits}) = 0, {empty(SPAN)}, {decided(raw, hits, images, policy)})",
-        hits=hits,
-        **sources("raw", "images"),
-    )
+    _with_decided(steps, policy, sources, hits)
     extra = {}
     if per == "row":
         steps.df = _with_places(steps.df, text)
@@ -359,7 +462,7 @@ def _with_places(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def redact(df: DataFrame, policy: Policy, text: str = "text", hits: str = "hits") -> DataFrame:
+def redact(df: DataFrame, policy: Policy | RuleTable, text: str = "text", hits: str = "hits") -> DataFrame:
     """Add ``spans``, ``redacted_text``, ``released``, ``redacted`` and ``changed`` to rows with a hit array."""
     return (
         judged(df, policy, f"`{text}`", f"`{hits}`")

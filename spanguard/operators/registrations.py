@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from spanguard.functions.frames import exploded
 from spanguard.functions.occurrences import automaton, byte_offsets
 from spanguard.functions.sqlx import each, empty
-from spanguard.operators.policy import Registration, decision_priority, keyword_rules
+from spanguard.operators.policy import Policy, Registration, decision_priority, keyword_rules
+from spanguard.operators.ruletable import RuleTable
 from spanguard.schemas import HIT
 
 #: The pattern list is shipped to every task; more characters than this are refused instead of broadcast.
@@ -84,6 +85,13 @@ def with_registered_hits(
     return df.withColumn(output, (search_all if nested else search)(F.col(text)))
 
 
+def with_policy_hits(df: DataFrame, text: str, output: str, policy: Policy | RuleTable, nested: bool = False) -> DataFrame:
+    """Add ``output``: the hits of what a policy has registered, compiled or as a table."""
+    if isinstance(policy, Policy):
+        return with_registered_hits(df, text, output, policy.registrations(), nested)
+    return policy.with_registered_hits(df, text, output, nested)
+
+
 def registered_hits(df: DataFrame, registrations: Sequence[Registration], text: str = "text") -> DataFrame:
     """One row per occurrence of a registered text."""
     kept = [c for c in df.columns if c != text]

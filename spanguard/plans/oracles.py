@@ -561,6 +561,73 @@ ORACLES["merged_ranges"] = select(
 ORACLES["redacted_documents"] = select(
     range_parts(), "SELECT k AS doc_id, out AS payload, k IN (SELECT k FROM ranges) AS changed FROM redacted"
 )
+
+
+def table_rule_parts() -> list[str]:
+    """The rules on single texts as a table, and every place in a document where one of their texts stands."""
+    return [
+        """decisions AS MATERIALIZED (
+  SELECT 'decision.' || doc_id AS id, lower(word) AS low, doc_id % 3 = 0 AS releases,
+         ['secret', 'private_person', 'private_address', 'private_date'][doc_id % 4 + 1] AS category
+  FROM (SELECT doc_id, substr(text, doc_id % 40 + 1, 12 + doc_id % 3) AS word,
+               row_number() OVER (PARTITION BY lower(substr(text, doc_id % 40 + 1, 12 + doc_id % 3)) ORDER BY doc_id) AS nth
+        FROM documents WHERE length(text) >= 60) w WHERE nth = 1 AND regexp_matches(word, '[^\s]')
+  UNION ALL SELECT 'customer.' || c_custkey || '.' || n, lower(c_name || ' ' || n), n % 2 = 0, 'account_number' FROM customer, unnest(range(1, 51)) AS u(n)
+  UNION ALL SELECT 'part.' || p_partkey || '.' || n, lower(p_name || ' ' || p_brand || ' ' || n), n % 2 = 0, 'account_number' FROM part, unnest(range(1, 16)) AS u(n))""",
+        """places AS MATERIALIZED (
+  SELECT doc_id AS k, text, cs, lower(substr(text, cs + 1, 12)) AS head
+  FROM (SELECT doc_id, text, unnest(range(0, length(text) - 11)) AS cs FROM documents WHERE length(text) >= 12) p)""",
+        """registered AS MATERIALIZED (
+  SELECT k, r.category AS grp, 1.0::DOUBLE AS score, cs, cs + length(low) AS ce, substr(text, cs + 1, length(low)) AS word, r.id, r.releases
+  FROM places p JOIN decisions r ON substr(r.low, 1, 12) = p.head AND lower(substr(text, cs + 1, length(low))) = low)""",
+    ]
+
+
+#: The first rule on a word ``w``: a decision comes before all other rules here, of two on one text the first by priority and id.
+_FIRST_DECISION = """best AS MATERIALIZED (
+  SELECT low, arg_min(id, (releases, id)) AS id, min(releases) AS releases FROM decisions GROUP BY low)"""
+_RULED = (
+    "coalesce({p}.id, {rule})",
+    "CASE WHEN {p}.id IS NULL THEN {action} WHEN {p}.releases THEN 'release' ELSE 'redact' END",
+    "CAST(CASE WHEN {p}.id IS NULL THEN {priority} WHEN {p}.releases THEN 500 ELSE 1000 END AS INTEGER)",
+)
+
+
+def table_decided_parts() -> list[str]:
+    console = [
+        ("console.release.mail", "release", 300, "grp = 'private_email' AND (contains(lower(w), 'mail2') OR contains(lower(w), 'mail5'))"),
+        ("console.redact.shout", "redact", 150, "grp = 'private_address' AND contains(w, 'OU')"),
+        *builtin_rules("grp", "score", "w"),
+    ]
+    case = lambda place, end: "CASE " + " ".join(f"WHEN {r[3]} THEN {q(r[place]) if isinstance(r[place], str) else r[place]}" for r in console) + f" {end} END"
+    filled = dict(p="b", rule=case(0, ""), action=case(1, "ELSE 'release'"), priority=case(2, "ELSE -2147483648"))
+    rule, action, priority = (x.format(**filled) for x in _RULED)
+    return [
+        *combined_parts(),
+        *table_rule_parts(),
+        _FIRST_DECISION,
+        """ordered AS MATERIALIZED (
+  SELECT k, grp, score, cs, ce, word, row_number() OVER (PARTITION BY k ORDER BY late, p1, p2, certain, entry, p3, p4) AS ord
+  FROM (SELECT k, grp, score, cs, ce, word, 0 AS late, cs AS p1, ce AS p2, certain, entry, '' AS p3, 0 AS p4 FROM combined
+        UNION ALL SELECT k, grp, score, cs, ce, word, 1, 0, 0, 0, CASE WHEN releases THEN 1 ELSE 0 END, id, cs FROM registered) z)""",
+        f"""decided AS MATERIALIZED (
+  SELECT k, grp, score, ws AS s, we AS e, w, ord, {rule} AS rule, {action} AS action, {priority} AS priority
+  FROM ({grown('ordered', 'lower(tw) IN (SELECT low FROM best)', 'k, grp, score, ord')}) c LEFT JOIN best b ON b.low = lower(w))""",
+    ]
+
+
+ORACLES["registered_table_redaction"] = select(
+    [*table_decided_parts(), *final_parts()[len(decided_parts()) :], *range_parts()[len(final_parts()) :]],
+    """SELECT r.k AS doc_id, out AS payload, CAST(coalesce(rel, 0) AS INTEGER) AS released, CAST(coalesce(red, 0) AS INTEGER) AS redacted
+       FROM redacted r LEFT JOIN (SELECT k, count(*) FILTER (action = 'release') AS rel, count(*) FILTER (action = 'redact') AS red
+                                  FROM final GROUP BY k) c ON c.k = r.k""",
+)
+ORACLES["registered_table_rules"] = select(
+    [*table_rule_parts(), _FIRST_DECISION],
+    """SELECT b.id AS matched_rule_id, CASE WHEN b.releases THEN 'release' ELSE 'redact' END AS action,
+              CAST(CASE WHEN b.releases THEN 500 ELSE 1000 END AS INTEGER) AS priority, count(*) AS spans
+       FROM registered r JOIN best b ON b.low = lower(r.word) GROUP BY ALL ORDER BY spans DESC, matched_rule_id LIMIT 50""",
+)
 ORACLES["stream_redact"] = select(
     range_parts(),
     """SELECT r.k AS doc_id, out AS redacted_text, CAST(coalesce(rel, 0) AS INTEGER) AS released, CAST(coalesce(red, 0) AS INTEGER) AS redacted

@@ -9,7 +9,8 @@ from spanguard.operators.merge import combined
 from spanguard.operators.policy import Policy
 from spanguard.operators.recognize import Recognizers
 from spanguard.operators.redact import redact
-from spanguard.operators.registrations import with_registered_hits
+from spanguard.operators.registrations import with_policy_hits
+from spanguard.operators.ruletable import RuleTable
 from spanguard.operators.scoring import Scorer, hits_column
 
 #: Span ordinals inside one fragment; seq = fragment ordinal * SPAN_SLOTS + span ordinal.
@@ -34,7 +35,7 @@ def combined_hits(
 
 def redact_scored(
     df: DataFrame,
-    policy: Policy,
+    policy: Policy | RuleTable,
     scored: str,
     text: str = "text",
     recognizers: Recognizers | None = None,
@@ -45,17 +46,18 @@ def redact_scored(
     """
     recognizers = recognizers or Recognizers()
     certain = recognizers.with_hits(df, text, "_certain")
-    registered = with_registered_hits(certain, text, "_registered", policy.registrations())
+    registered = with_policy_hits(certain, text, "_registered", policy)
     merged = combined("_certain", f"`{scored}`", recognizers.authoritative())
+    plain = isinstance(policy, Policy) and not policy.registrations()
     joined = registered.withColumn(
-        "_hits", F.expr(f"concat({merged}, _registered)" if policy.registrations() else merged)
+        "_hits", F.expr(merged if plain else f"concat({merged}, _registered)")
     ).drop("_certain", "_registered")
     return redact(joined, policy, text, "_hits").drop("_hits")
 
 
 def run_pipeline(
     df: DataFrame,
-    policy: Policy,
+    policy: Policy | RuleTable,
     text: str = "text",
     scorer: Scorer | None = None,
     recognizers: Recognizers | None = None,

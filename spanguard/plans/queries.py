@@ -24,6 +24,7 @@ from spanguard.operators import (
     registrations,
     scoring,
 )
+from spanguard.operators.ruletable import RuleTable
 from spanguard.plans import setup
 from spanguard.plans.pipeline import combined_hits, fragments, run_pipeline, spans
 from spanguard.plans.requests import redact_requests, request_turns
@@ -327,6 +328,24 @@ def redacted_documents(spark, d):
     return tables.payloads(done).select("doc_id", "payload", "changed")
 
 
+@query
+def registered_table_redaction(spark, d):
+    """Documents redacted under more than 100,000 decisions on single texts, which stay a table."""
+    done = run_pipeline(setup.documents(spark, d), RuleTable(setup.decision_rules(spark, d)), scorer=setup.SCORER)
+    return done.select("doc_id", F.col("redacted_text").alias("payload"), "released", "redacted")
+
+
+@query
+def registered_table_rules(spark, d):
+    """How many spans each rule of that table has decided; the 50 with the most."""
+    found = combined_hits(setup.documents(spark, d), scorer=setup.SCORER)
+    rules = RuleTable(setup.decision_rules(spark, d))
+    hits = rules.with_registered_hits(found.select("doc_id", "text"), "text", "hits")
+    spans = exploded(hits, ["doc_id"], "hits", "h").select("doc_id", "h.*")
+    counted = rules.evaluate(spans).groupBy("matched_rule_id", "action", "priority").agg(F.count(F.lit(1)).alias("spans"))
+    return counted.orderBy(F.desc("spans"), "matched_rule_id").limit(50)
+
+
 @query
 def redaction_counts(spark, d):
     done = run_pipeline(setup.documents(spark, d), setup.POLICY, scorer=setup.SCORER)

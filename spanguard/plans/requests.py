@@ -11,14 +11,15 @@ from spanguard.operators.merge import arbitrated, combined
 from spanguard.operators.policy import Policy
 from spanguard.operators.recognize import Recognizers, builtin_hits
 from spanguard.operators.redact import judged
-from spanguard.operators.registrations import with_registered_hits
+from spanguard.operators.registrations import with_policy_hits
+from spanguard.operators.ruletable import RuleTable
 from spanguard.operators.scoring import Scorer
 from spanguard.plans.pipeline import SPAN_SLOTS
 from spanguard.schemas import HIT
 
 
 def redact_requests(
-    requests: DataFrame, policy: Policy, scorer: Scorer | None = None, recognizers: Recognizers | None = None
+    requests: DataFrame, policy: Policy | RuleTable, scorer: Scorer | None = None, recognizers: Recognizers | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(processed, quarantine).  Input: ``request_id``, ``api_format``, ``body``.
 
@@ -33,7 +34,7 @@ def redact_requests(
         scored = fields.withColumn("_scored", F.expr(each("_texts", lambda t: empty(HIT))))
     else:
         scored = scorer.with_nested_hits(fields, "_texts", "_scored")
-    registered = with_registered_hits(scored, "_texts", "_registered", policy.registrations(), nested=True)
+    registered = with_policy_hits(scored, "_texts", "_registered", policy, nested=True)
     closed = (recognizers or Recognizers()).authoritative()
 
     # One step per column: the analyzer resolves nested lambdas one level per pass, and gives up after a hundred.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanguard.operators.policy import Rule, all_of, any_of, builtin_policy, entity, keyword, operator_rule
+from spanguard.operators.policy import Rule, all_of, any_of, builtin_policy, decision_priority, entity, keyword, operator_rule, rules_frame
 from spanguard.operators.scoring import LexiconScorer, PatternScorer
 from spanguard.plans.pipeline import pool_rows, run_pipeline, spans as span_rows
 from spanguard.schemas import FORMATS
@@ -126,6 +126,37 @@ def event_requests(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def decision_rules(spark: SparkSession, directory: str) -> DataFrame:
+    """Rules of which very many are decisions on single texts: one for each text cut out of documents (12 to 14 characters), 50 for each
+    customer and 15 for each part; the console and built-in rules of ``POLICY`` beside them.
+    """
+    docs = read_table(spark, directory, "documents").where("length(text) >= 60 and doc_id is not null")
+    cut = F.expr("substring(text, cast(doc_id % 40 as int) + 1, cast(12 + doc_id % 3 as int))")
+    # Texts that differ in case only are one decision, the one of the first document.
+    asked = docs.select("doc_id", cut.alias("word")).where(r"word rlike r'[^\s]'").groupBy(F.lower("word").alias("_low"))
+    own = asked.agg(F.min(F.struct("doc_id", "word")).alias("_first")).select("_first.*")
+    kinds = F.array(*map(F.lit, ("secret", "private_person", "private_address", "private_date")))
+    own = own.select(F.concat(F.lit("decision."), "doc_id").alias("id"), "word", (F.col("doc_id") % 3 == 0).alias("releases"), F.get(kinds, (F.col("doc_id") % 4).cast("int")).alias("category"))
+    each = lambda table, key, n, word: read_table(spark, directory, table).select(key, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("n"), *word).select(
+        F.concat_ws(".", F.lit(table), key, "n").alias("id"), F.concat_ws(" ", *word, "n").alias("word"), (F.col("n") % 2 == 0).alias("releases"), F.lit("account_number").alias("category")
+    )
+    texts = own.unionByName(each("customer", "c_custkey", 50, ["c_name"])).unionByName(each("part", "p_partkey", 15, ["p_name", "p_brand"]))
+    pattern = F.struct(F.col("word").alias("text"), F.lit("exact").alias("kind"), F.lit(False).alias("case_sensitive"))
+    condition = F.struct(F.lit("filter").alias("kind"), F.struct(F.lit("keyword").alias("kind"), pattern.alias("pattern")).alias("filter"))
+    action = F.when(F.col("releases"), "release").otherwise("redact")
+    decided = texts.select(
+        "id",
+        F.concat(F.lit("approval."), action).alias("name"),
+        F.when(F.col("releases"), decision_priority("release")).otherwise(decision_priority("redact")).alias("priority"),
+        F.to_json(condition).alias("condition_json"),
+        action.alias("action"),
+        F.lit(True).alias("enabled"),
+        F.lit("approval").alias("source"),
+        "category",
+    )
+    return decided.unionByName(rules_frame(spark, [r for r in POLICY.rules if r.source != "approval"]))
+
+
 #: Start of the trailing window used on events: the last 20 of 30 days.
 SINCE_MS = 1_704_931_200_000
 
