@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spanguard.session import scratch
+
 
 def with_rows_where(df: DataFrame, condition: Column) -> DataFrame:
     """``where`` for a condition on an expensive computed column."""
@@ -31,3 +33,10 @@ def apart(df: DataFrame) -> DataFrame:
     "Cannot evaluate expression").
     """
     return df.withColumn("_apart", F.explode(F.array(F.lit(True)))).drop("_apart")
+
+
+def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """The rows written below the shared folder of the cluster and read again: made once, whoever reads them."""
+    path = scratch(df.sparkSession, name)
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -355,6 +355,32 @@ def _large_fields(body: Column, api_format: Column) -> Column:
     return fields(body, api_format)
 
 
+_PARTS = pa.list_(pa.struct([("path", pa.string()), ("json", pa.string())]))
+
+
+def large_parts(body: Column, api_format: Column) -> Column:
+    """``array<struct<path, json>>``: the parts of each body that make its turns, as JSON texts; none of null bodies."""
+
+    def cut(text: str | None, kind: str | None) -> list[dict]:
+        document = json.loads(text) if text is not None else {}
+        if not isinstance(document, dict):
+            return []
+        head, rest = ("instructions", "input") if kind == "openai_responses" else ("system", "messages")
+        listed = document.get(rest)
+        values = [(f"/{head}", document[head])] if head in document else []
+        if isinstance(listed, list):
+            values += [(f"/{rest}/{i}", value) for i, value in enumerate(listed)]
+        elif rest == "input" and rest in document:
+            values.append((f"/{rest}", listed))
+        return [{"path": path, "json": json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace").decode()} for path, value in values]
+
+    @F.arrow_udf("array<struct<path:string,json:string>>")
+    def parts(bodies: pa.Array, formats: pa.Array) -> pa.Array:
+        return pa.array([cut(b.as_py(), f.as_py()) for b, f in zip(bodies, formats)], _PARTS)
+
+    return parts(body, api_format)
+
+
 def _with_large(df: DataFrame, sql: str, api_format: Column, parsed: str, output: str, body: str) -> DataFrame:
     if body not in df.columns:
         return df.withColumn(output, F.expr(sql))

@@ -14,13 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanguard.functions.frames import apart
+from spanguard.functions.frames import apart, written
 from spanguard.functions.occurrences import byte_offsets
 from spanguard.functions.phrases import Keys, Phrases
 from spanguard.functions.ranges import Ordered
 from spanguard.operators.policy import Policy, PolicyError, keyword_rules, load_policy, rule_violations
 from spanguard.schemas import HIT, RULE_SCHEMA
-from spanguard.session import scratch
 
 #: Bytes of one shard as it is shipped; counted before and checked after it is made.
 SHARD_BYTES = 64 << 20
@@ -120,13 +119,6 @@ def _look_up(shard, nested: bool):
     return look_up
 
 
-def _written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
-    """The rows written to the shared folder and read again."""
-    path = scratch(df.sparkSession, name)
-    df.write.partitionBy(*partitions).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class RuleTable:
     """A policy over a table of rules (the columns of ``schemas.RULE_SCHEMA``) without a limit on rules about single texts.
 
@@ -136,7 +128,7 @@ class RuleTable:
 
     def __init__(self, rules: DataFrame, fallback: str = "release", shard_bytes: int | None = None):
         spark, self.limit = rules.sparkSession, shard_bytes or SHARD_BYTES
-        rules = _written(rules.select(*RULE_SCHEMA.fieldNames()), "rules")  # what they are made from is read once
+        rules = written(rules.select(*RULE_SCHEMA.fieldNames()), "rules")  # what they are made from is read once
         if broken := rule_violations(rules).limit(1).collect():
             raise PolicyError(f"rule {broken[0].id!r}: {broken[0].violation}")
         is_single = F.coalesce(F.get_json_object("condition_json", "$.filter.pattern.kind") == "exact", F.lit(False))
@@ -145,7 +137,7 @@ class RuleTable:
 
         worded = keyword_rules(rules, nested=True).withColumn("single", is_single)
         worded = worded.withColumn("key", F.when(F.col("case_sensitive"), F.col("keyword")).otherwise(F.lower("keyword")))
-        worded = _written(worded.drop("condition_json", "name"), "rules-worded")
+        worded = written(worded.drop("condition_json", "name"), "rules-worded")
         size = worded.agg(F.sum(F.octet_length("id") + _RULE_BYTES)).first()[0] or 0
         shards = -(-2 * size // self.limit) if size > self.limit else 1
         shard = F.pmod(F.xxhash64(F.lower("keyword")), F.lit(shards)).alias("shard")
@@ -156,7 +148,7 @@ class RuleTable:
         hunted = worded.where(F.col("enabled") & approved & F.col("category").isNotNull() & (F.col("keyword") != ""))
         hunted = hunted.select(shard, "id", "priority", "keyword", "case_sensitive", "category")
         placed = Ordered(hunted, [F.desc("priority"), F.asc("id"), F.asc("keyword")]).placed()
-        tables = [_written(known, "rules-known", "shard"), _written(placed.drop("id", "priority"), "rules-registered", "shard")]
+        tables = [written(known, "rules-known", "shard"), written(placed.drop("id", "priority"), "rules-registered", "shard")]
         self.shards = []
         for number in range(shards):
             found, words = (t.where(F.col("shard") == number).toArrow() for t in (tables[1], tables[0]))
@@ -169,7 +161,7 @@ class RuleTable:
         """A column for each shard, made by ``one``; after some of them what was found is written, to let their shards go."""
         for number, shard in enumerate(self.shards):
             if number and number % PASSES == 0:
-                df = _written(df, "passes")
+                df = written(df, "passes")
             df = apart(apart(df).withColumn(f"{output}_{number}", one(shard)))
         return df
 

@@ -1075,6 +1075,44 @@ ORACLES["redacted_requests"] = select(
 # ---------------------------------------------------------------------------------------------------------------
 
 
+_FOLLOWED = """
+b AS (SELECT doc_id, source AS s, lang AS l, text AS t0, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS t2 FROM documents),
+r AS (SELECT DISTINCT s, t0, l FROM b),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY s, t2, l ORDER BY doc_id) = 1 AS own2,
+             EXISTS (SELECT 1 FROM r WHERE r.s IS NOT DISTINCT FROM b.s AND r.t0 IS NOT DISTINCT FROM b.t2 AND r.l IS NOT DISTINCT FROM b.l) AS kept
+      FROM b),
+f AS (SELECT *, own2 AND NOT kept AS own0, list_filter([s], lambda x: x IS NOT NULL) AS fs,
+             list_filter(['see below', t2, l], lambda x: x IS NOT NULL) AS f0, list_filter([s, s, '', l], lambda x: x IS NOT NULL) AS f2 FROM k),
+m AS (SELECT *, list_filter(CASE WHEN own0 THEN f0 ELSE [] END || CASE WHEN own2 THEN f2 ELSE [] END, lambda x: x <> '') AS missing FROM f),
+u AS (SELECT *, len(fs) + CASE WHEN own0 THEN 0 ELSE len(f0) END + CASE WHEN own2 THEN 0 ELSE len(f2) END AS cached_fragments,
+             len(missing) - len(list_distinct(missing)) AS deduplicated_fragments, len(list_distinct(missing)) AS inferred_fragments FROM m)"""
+_hits_in = " + ".join(f"len(string_split(x, {q(t)})) - 1" for t, _, _ in LEXICON)
+ORACLES["request_replay"] = f"""WITH {_FOLLOWED}
+SELECT 'n' || doc_id AS request_id, cached_fragments, deduplicated_fragments, inferred_fragments,
+       CAST(list_sum(list_transform(fs || f0 || f2, lambda x: {_hits_in})) AS INTEGER) AS hits,
+       repeat('1', len(fs)) || repeat(CASE WHEN own0 THEN '0' ELSE '1' END, len(f0)) || repeat(CASE WHEN own2 THEN '0' ELSE '1' END, len(f2)) AS audited
+FROM u"""
+ORACLES["request_usage"] = f"""WITH {_FOLLOWED}
+SELECT (1700000000000 + doc_id * 1000) // 3600000 AS hour, count(*) AS requests, CAST(sum(cached_fragments) AS BIGINT) AS cached_fragments,
+       CAST(sum(deduplicated_fragments) AS BIGINT) AS deduplicated_fragments, CAST(sum(inferred_fragments) AS BIGINT) AS inferred_fragments
+FROM u GROUP BY hour"""
+_MESSAGES_ROOT = q(_identity(version="turn-chain-2", scorer="stand-in-1", format="anthropic_messages"))
+_turn_text = lambda *layout: " || chr(31) || ".join(["json", " || chr(31) || ".join(f"to_json([{p}, {t}])" for p, t in layout) or "''"])
+ORACLES["request_turn_hashes"] = f"""
+WITH p AS (
+  SELECT doc_id, '[{{"text":' || to_json(source) || '}}]' AS j0,
+         '{{"content":[{{"text":"see below","type":"text"}},{{"content":' || to_json(text) || ',"type":"tool_result"}},{{"content":[{{"text":' || to_json(lang)
+           || ',"type":"text"}}],"type":"tool_result"}}],"role":"user"}}' AS j1,
+         '{{"content":' || to_json(text) || ',"role":"assistant"}}' AS j2, source, text, lang
+  FROM documents),
+h0 AS (SELECT *, sha256({_MESSAGES_ROOT} || sha256({_turn_text(("'/0/text'", "source")).replace("json", "j0", 1)})) AS a FROM p),
+h1 AS (SELECT *, sha256(a || sha256({_turn_text(("'/content/0/text'", "'see below'"), ("'/content/1/content'", "text"), ("'/content/2/content/0/text'", "lang")).replace("json", "j1", 1)})) AS b FROM h0),
+h2 AS (SELECT *, sha256(b || sha256({_turn_text().replace("json", "j2", 1)})) AS c FROM h1)
+SELECT 'm' || doc_id AS request_id, '/system' AS path, a AS hash, {_MESSAGES_ROOT} AS parent_hash, 1::INTEGER AS fields FROM h2
+UNION ALL SELECT 'm' || doc_id, '/messages/0', b, a, 3 FROM h2
+UNION ALL SELECT 'm' || doc_id, '/messages/1', c, b, 0 FROM h2"""
+
+
 def replay_parts() -> list[str]:
     rule, action = strict_builtin("grp", "score", "w")
     return [

@@ -25,7 +25,7 @@ from spanguard.operators import (
     scoring,
 )
 from spanguard.operators.ruletable import RuleTable
-from spanguard.plans import setup
+from spanguard.plans import replay, setup
 from spanguard.plans.pipeline import combined_hits, fragments, run_pipeline, spans
 from spanguard.plans.requests import redact_requests, request_turns
 from spanguard.sources import tables
@@ -849,6 +849,32 @@ def request_turn_hashes(spark, d):
     return parts.select("request_id", "path", "hash", "parent_hash", F.size("fields").alias("fields"))
 
 
+def _roots(identity: str) -> dict[str, str]:
+    return {f: chain.chain_root(identity, f) for f in ("openai_responses", "openai_chat", "anthropic_messages")}
+
+
+def _replayed_requests(spark, d):
+    """Requests one turn later, with what their first turns have left."""
+    before = replay.replayed(setup.messages_bodies(spark, d), None, _roots("lexicon-1"), setup.LEXICON)
+    return replay.replayed(setup.followup_bodies(spark, d), before.nodes, _roots("lexicon-1"), setup.LEXICON)
+
+
+@query
+def request_replay(spark, d):
+    done = _replayed_requests(spark, d).requests
+    hits = F.expr("cast(aggregate(_scored, 0, (n, h) -> n + size(h)) as int)")
+    audited = F.array_join(F.transform("audited", lambda a: F.when(a, "1").otherwise("0")), "")
+    return done.select("request_id", "cached_fragments", "deduplicated_fragments", "inferred_fragments", hits.alias("hits"), audited.alias("audited"))
+
+
+@query
+def request_usage(spark, d):
+    """Usage of those requests as request statistics read it from their outcomes, per hour."""
+    outcomes = replay.request_outcomes(_replayed_requests(spark, d).redacted(setup.POLICY))
+    counted = [metrics.usage_count("cache_usage_json", f"{name}_fragments").alias(f"{name}_fragments") for name in ("cached", "deduplicated", "inferred")]
+    return outcomes.groupBy(F.expr("started_at div 3600000").alias("hour")).agg(F.count(F.lit(1)).alias("requests"), *counted)
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Back-test
 # ---------------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spanguard.functions.frames import exploded
 from spanguard.functions.sqlx import each, each_indexed, empty, hash_chain, keep, let, link, lit, struct
-from spanguard.operators.extract import FIELD, apply_replacements, collected_by_format, parse_requests
+from spanguard.operators.extract import FIELD, _get, _items, apply_replacements, collected_by_format, large_parts, parse_requests
 from spanguard.operators.merge import arbitrated, combined
 from spanguard.operators.policy import Policy
 from spanguard.operators.recognize import Recognizers, builtin_hits
@@ -34,6 +34,11 @@ def redact_requests(
         scored = fields.withColumn("_scored", F.expr(each("_texts", lambda t: empty(HIT))))
     else:
         scored = scorer.with_nested_hits(fields, "_texts", "_scored")
+    return redact_scored_fields(scored, policy, recognizers), quarantine
+
+
+def redact_scored_fields(scored: DataFrame, policy: Policy | RuleTable, recognizers: Recognizers | None = None) -> DataFrame:
+    """What :func:`redact_requests` adds, from requests with their ``fields``, the texts of these and the scorer's hits on each."""
     registered = with_policy_hits(scored, "_texts", "_registered", policy, nested=True)
     closed = (recognizers or Recognizers()).authoritative()
 
@@ -78,7 +83,7 @@ def redact_requests(
         .withColumn("redacted", count_of("redact"))
         .drop("_texts", "_scored", "_registered", "_found", "_certain", "_hits", "_spans", "_ranges", "_redacted")
     )
-    return apply_replacements(counted), quarantine
+    return apply_replacements(counted)
 
 
 def request_pool(processed: DataFrame, created_at: Column, already_audited: Column | None = None) -> DataFrame:
@@ -124,23 +129,26 @@ def request_turns(df: DataFrame, roots: dict[str, str]) -> DataFrame:
 
     ``roots`` gives the chain root per format (:func:`spanguard.operators.chain.chain_root`).  A part's hash also covers
     where its fields are and what they hold, so a stored result is only found for the same layout.  Parts without
-    fields are part of the chain, as is ``/system`` for formats that never read it.
+    fields are part of the chain, as is ``/system`` for formats that never read it.  Bodies of any size have the same turns;
+    columns ``parsed``, ``body``, ``api_format`` and ``fields`` are read.
     """
-    from spanguard.operators.extract import _get, _items
 
     def listed(base: str, key: str) -> str:
         items = f"coalesce({_items(_get('parsed', key))}, cast(array() as array<variant>))"
-        return each_indexed(items, lambda v, i: struct(path=f"concat({lit(base)}, {i})", v=v))
+        return each_indexed(items, lambda v, i: struct(path=f"concat({lit(base)}, {i})", json=f"to_json({v})"))
 
     def single(path: str, key: str) -> str:
-        return struct(path=lit(path), v=_get("parsed", key))
+        return struct(path=lit(path), json=f"to_json({_get('parsed', key)})")
 
     responses = (
         f"concat(array({single('/instructions', 'instructions')}),"
         f" if({_items(_get('parsed', 'input'))} is not null, {listed('/input/', 'input')}, array({single('/input', 'input')})))"
     )
     others = f"concat(array({single('/system', 'system')}), {listed('/messages/', 'messages')})"
-    parts = keep(f"if(api_format = 'openai_responses', {responses}, {others})", lambda p: f"{p}.v is not null")
+    small = keep(f"if(api_format = 'openai_responses', {responses}, {others})", lambda p: f"{p}.json is not null")
+    # Each part of a body that no VARIANT holds is written as it would be in a smaller body, if a VARIANT can hold the part.
+    large = each("_parts", lambda p: struct(path=f"{p}.path", json=f"coalesce(to_json(try_parse_json({p}.json)), {p}.json)"))
+    parts = f"if(parsed is null, {large}, {small})"
 
     def digest(p: str) -> str:
         mine = keep(
@@ -155,7 +163,7 @@ def request_turns(df: DataFrame, roots: dict[str, str]) -> DataFrame:
             )
             return struct(
                 path=f"{p}.path",
-                digest=f"sha2(concat(to_json({p}.v), chr(31), array_join({layout}, chr(31))), 256)",
+                digest=f"sha2(concat({p}.json, chr(31), array_join({layout}, chr(31))), 256)",
                 fields=each(own, lambda f: f"{f}.i"),
             )
 
@@ -177,7 +185,8 @@ def request_turns(df: DataFrame, roots: dict[str, str]) -> DataFrame:
         )
 
     chained = f"cast({let(each(parts, digest), linked)} as array<{TURN}>)"
-    return df.withColumn("turns", F.expr(chained))
+    cut = df.withColumn("_parts", large_parts(F.when(F.col("parsed").isNull(), F.col("body")), F.col("api_format")))
+    return cut.withColumn("turns", F.expr(chained)).drop("_parts")
 
 
 def audited_fields(requests: DataFrame, nodes: DataFrame, key: str = "request_id") -> DataFrame:

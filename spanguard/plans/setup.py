@@ -212,6 +212,17 @@ def messages_bodies(spark: SparkSession, directory: str) -> DataFrame:
     return _bodies(spark, directory, "m", "/v1/messages", "anthropic_messages", body)
 
 
+def followup_bodies(spark: SparkSession, directory: str) -> DataFrame:
+    """The requests of ``messages_bodies`` one turn later: history sent again, in one of five edited, and a new turn."""
+    told = "if(doc_id % 5 = 0, concat(text, '!'), text)"
+    body = f"""concat('{{"system":[{{"text":', {_json('source')},
+        '}}],"messages":[{{"role":"user","content":[{{"type":"text","text":"see below"}},{{"type":"tool_result","content":',
+        {_json(told)}, '}},{{"type":"tool_result","content":[{{"type":"text","text":', {_json('lang')},
+        '}}]}}]}},{{"role":"assistant","content":"done"}},{{"role":"user","content":[{{"type":"text","text":', {_json('source')},
+        '}},{{"type":"text","text":', {_json('source')}, '}},{{"type":"text","text":""}},{{"type":"text","text":', {_json('lang')}, '}}]}}]}}')"""
+    return _bodies(spark, directory, "n", "/v1/messages", "anthropic_messages", body)
+
+
 def responses_bodies(spark: SparkSession, directory: str) -> DataFrame:
     """One responses request per document: instructions, items, and the document in the envelope of a script tool."""
     envelope = f"concat('{{\"chunk_id\":\"k\",\"wall_time_seconds\":0.25,\"output\":', {_json('text')}, '}}')"
