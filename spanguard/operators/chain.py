@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanguard.functions.ranges import Ordered
 from spanguard.operators.scoring import Scorer
 
 CHAIN_VERSION = "turn-chain-2"
@@ -66,8 +67,8 @@ def retained(
 ) -> DataFrame:
     """What a least-recently-used cache holds after an access log: columns ``key``, ``bytes``, ``at``.
 
-    An entry larger than the budget is never kept.  The most recent entries are cut to ``max_entries`` by a top-k
-    first, so the running total behind it sees a bounded number of rows.
+    An entry larger than the budget is never kept. The last accesses are sorted by range over all tasks, newest first, with their
+    places and running sums, so budgets may be of any size.
     """
     if max_entries < 1 or max_bytes < 1:
         raise ValueError("limits must be positive")
@@ -75,11 +76,10 @@ def retained(
         accesses.where(F.col("bytes") <= max_bytes)
         .groupBy("key")
         .agg(F.max("at").alias("at"), F.max_by("bytes", "at").alias("bytes"))
-        .orderBy(F.desc("at"), "key")
-        .limit(max_entries)
     )
-    newest_first = Window.orderBy(F.desc("at"), "key").rowsBetween(Window.unboundedPreceding, 0)
-    return last.withColumn("total", F.sum("bytes").over(newest_first)).where(F.col("total") <= max_bytes).drop("total")
+    newest_first = Ordered(last, [F.desc("at"), F.asc("key")], ["bytes"])
+    placed = newest_first.placed("_place", {"_total": "bytes"})
+    return placed.where((F.col("_place") < max_entries) & (F.col("_total") <= max_bytes)).select("key", "at", "bytes")
 
 
 # ---------------------------------------------------------------------------------------------------------------

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spanguard.functions.ranges import Ordered
+
 HOUR_MS = 3_600_000
 DEFAULT_HOURS, MOST_HOURS = 24, 24 * 365
 
@@ -38,12 +43,27 @@ def usage_count(json: str, name: str) -> Column:
     return F.sum(F.coalesce(whole, F.lit(0)))
 
 
-def request_columns() -> list[Column]:
+def percentiles(df: DataFrame, column: str, fractions: dict[str, str]) -> DataFrame:
+    """Nearest-rank percentiles of whole numbers in one row, by output name; 0 for no rows. Nulls do not count.
+
+    Rows are counted by value, values sorted by range over all tasks, and counts added up along them: the percentile is the first
+    value that as many rows reach. No task holds more than its share of the distinct values. Fractions are decimal texts.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    values = Ordered(counts, [F.col(column)], ["_n"])
+    reached = values.placed("_place", {"_upto": "_n"})
+    ranks = {name: max(1, ceil(Fraction(fraction) * values.totals["_n"])) for name, fraction in fractions.items()}
+    first = [F.min(F.when(F.col("_upto") >= rank, F.col(column))) for rank in ranks.values()]
+    return reached.agg(*[F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(name) for name, c in zip(ranks, first)])
+
+
+def request_columns(ranked: bool = True) -> list[Column]:
+    """Aggregates over requests; ``ranked`` ones hold all distinct durations of a group in one place, as a stream must."""
+    ranks = [percentile_ms("duration_ms", 0.5).alias("p50_ms"), percentile_ms("duration_ms", 0.95).alias("p95_ms")]
     return [
         F.count(F.lit(1)).alias("requests"),
         mean_ms("duration_ms").alias("average_ms"),
-        percentile_ms("duration_ms", 0.5).alias("p50_ms"),
-        percentile_ms("duration_ms", 0.95).alias("p95_ms"),
+        *(ranks if ranked else ()),
         F.coalesce(F.max("duration_ms"), F.lit(0)).cast("bigint").alias("max_ms"),
         mean_ms("inference_ms").alias("average_inference_ms"),
         mean_ms("upstream_ms").alias("average_upstream_ms"),
@@ -53,8 +73,20 @@ def request_columns() -> list[Column]:
 
 
 def request_stats(requests: DataFrame, since_ms: int) -> DataFrame:
-    """Count, latency and usage of the requests since a time, in one pass."""
-    return in_window(requests, since_ms).agg(*request_columns())
+    """Count, latency and usage of the requests since a time."""
+    recent = in_window(requests, since_ms)
+    ranks = percentiles(recent, "duration_ms", {"p50_ms": "0.5", "p95_ms": "0.95"})
+    return _laid_over(recent.agg(*request_columns(ranked=False)), ranks)
+
+
+
+
+def _laid_over(*sides: DataFrame) -> DataFrame:
+    """One-row tables with columns of their own as one row."""
+    stacked = sides[0]
+    for side in sides[1:]:
+        stacked = stacked.unionByName(side, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def span_stats(spans: DataFrame, since_ms: int) -> DataFrame:
@@ -86,9 +118,7 @@ def ratio(part: str, whole: Column) -> Column:
 
 def statistics(requests: DataFrame, fragments: DataFrame, spans: DataFrame, since_ms: int) -> DataFrame:
     """All counters of the overview in one row: three one-row aggregates laid over each other."""
-    sides = (request_stats(requests, since_ms), fragment_stats(fragments, since_ms), span_stats(spans, since_ms))
-    stacked = sides[0].unionByName(sides[1], allowMissingColumns=True).unionByName(sides[2], allowMissingColumns=True)
-    joined = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    joined = _laid_over(request_stats(requests, since_ms), fragment_stats(fragments, since_ms), span_stats(spans, since_ms))
     return joined.select(
         "*",
         ratio("redacted_spans", F.col("spans")).alias("redacted_ratio"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from spanguard.functions.ranges import Ordered
 from spanguard.operators.policy import keyword_rules, operator_decision
 from spanguard.schemas import CATEGORIES
 
@@ -115,6 +116,28 @@ def page(df: DataFrame, limit: int | None = None, offset: int | None = None) ->
     return df.offset(max(offset or 0, 0)).limit(size)
 
 
+class Pages:
+    """A review queue whose pages are addressed by rank: sorted by range and written once, then each page reads only its own rows.
+
+    For deep pages and many of them; :func:`page` keeps all rows up to the page, which is cheaper for the first few.
+    """
+
+    def __init__(self, summary: DataFrame):
+        unstable = is_unstable().desc()
+        self._rows = Ordered(summary, [unstable, F.desc("occurrences"), F.desc("last_seen"), F.asc("original_text")])
+        self.total = self._rows.total
+
+    def page(self, limit: int | None = None, offset: int | None = None) -> DataFrame:
+        """One page in review order, with the ``place`` of each row."""
+        size, first = min(max(DEFAULT_PAGE if limit is None else limit, 1), LONGEST_PAGE), max(offset or 0, 0)
+        return self._rows.between(first, first + size).orderBy("place")
+
+
+def content_pages(spans: DataFrame, rules: DataFrame, mode: str = "unreviewed") -> Pages:
+    """The review queue with categories, ready for pages at any depth."""
+    return Pages(review(content_summary(spans, evidence=True), registered_texts(rules), mode))
+
+
 def content_count(summary: DataFrame, registered: DataFrame, mode: str = "unreviewed") -> DataFrame:
     return review(summary, registered, mode).agg(F.count(F.lit(1)).alias("total"))
 

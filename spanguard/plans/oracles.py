@@ -662,6 +662,12 @@ ORACLES["review_page"] = select(
         FROM (SELECT * FROM summary ORDER BY (released > 0 AND redacted > 0) DESC, occurrences DESC, last_seen DESC, original_text
               LIMIT 40 OFFSET 5) s""",
 )
+ORACLES["review_deep_page"] = select(
+    [*summary_parts(), "queue AS MATERIALIZED (SELECT * FROM summary WHERE original_text NOT IN (SELECT keyword FROM rules))"],
+    """SELECT row_number() OVER (ORDER BY (released > 0 AND redacted > 0) DESC, occurrences DESC, last_seen DESC, original_text) - 1 AS place,
+              original_text, occurrences, last_seen FROM queue
+       ORDER BY place LIMIT 100 OFFSET (SELECT count(*) // 2 FROM queue)""",
+)
 ORACLES["review_counts"] = select(
     summary_parts(),
     """SELECT count(*) AS total, 'unreviewed' AS "mode" FROM summary WHERE original_text NOT IN (SELECT keyword FROM rules)
@@ -790,6 +796,11 @@ for _name, _since in (("request_stats", SINCE), ("request_stats_empty", SINCE *
         [REQUESTS, f"win AS MATERIALIZED (SELECT * FROM requests WHERE started_at >= {_since})"],
         f"SELECT {stats_columns()} FROM win",
     )
+ORACLES["stream_stats_drained"] = select(
+    [REQUESTS],
+    f"""SELECT h.hour * 3600000 AS start_ms, s.* FROM (SELECT DISTINCT started_at // 3600000 AS hour FROM requests) h,
+               LATERAL (WITH win AS (SELECT * FROM requests WHERE started_at // 3600000 = h.hour) SELECT {stats_columns()} FROM win) s""",
+)
 ORACLES["span_stats_by_group"] = select(
     pool_parts(),
     'SELECT entity_group, count(*) AS "count" FROM spans WHERE created_at >= 1700000200000 GROUP BY entity_group',
@@ -932,6 +943,9 @@ SELECT key, "at", bytes FROM (
   FROM (SELECT event_type || ':' || user_id AS key, max(event_id) AS "at", arg_max(CAST(ceil(value * 10) AS BIGINT), event_id) AS bytes
         FROM events WHERE ceil(value * 10) <= 100000 GROUP BY ALL) e) t
 WHERE n <= 400 AND total <= 100000"""
+ORACLES["stream_new_turns"] = f"""
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, CAST({_lexicon_count} AS INTEGER) AS hits FROM conversations c
+WHERE role <> 'assistant' AND EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn >= c.turn)"""
 ORACLES["stream_dedup"] = "SELECT DISTINCT 'u' || user_id AS request_id FROM events"
 
 # ---------------------------------------------------------------------------------------------------------------

@@ -413,6 +413,13 @@ def review_page(spark, d):
     return page.withColumn("categories", listed)
 
 
+@query
+def review_deep_page(spark, d):
+    """A page from the middle of the queue, read by rank."""
+    pages = pool.content_pages(setup.pool_spans(spark, d), _rules(spark), "unreviewed")
+    return pages.page(100, pages.total // 2).select("place", "original_text", "occurrences", "last_seen")
+
+
 @query
 def review_counts(spark, d):
     summary = pool.content_summary(setup.fragments_and_spans(spark, d)[1])
@@ -905,13 +912,14 @@ def backtest_rules(spark, d):
 # ---------------------------------------------------------------------------------------------------------------
 
 
-def _drained(spark, frame, name: str) -> DataFrame:
-    """Run a stream over all that is there now, and read what it wrote."""
+def _drained(spark, frame, name: str, complete: bool = False) -> DataFrame:
+    """Run a stream over all that is there now, and read what it wrote; with ``complete`` its result after the last batch."""
     from spanguard.session import scratch
 
     out, state = scratch(spark, name), scratch(spark, f"{name}-state")
-    stream = frame.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-    stream.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    stream = frame.writeStream.option("checkpointLocation", state).outputMode("complete" if complete else "append")
+    sink = stream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)) if complete else stream.format("parquet").option("path", out)
+    sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -929,6 +937,37 @@ def stream_redact(spark, d):
     return _drained(spark, done.select("doc_id", "redacted_text", "released", "redacted"), "redact")
 
 
+@query
+def stream_stats_drained(spark, d):
+    """Request statistics of every hour of the events, from a stream that has seen them all."""
+    from spanguard.streaming import streams
+
+    events = setup.event_requests_of(_table_stream(spark, d, "events"))
+    done = _drained(spark, streams.stream_stats(events, "ts", "60 days", "1 hour"), "stats", complete=True)
+    return done.select(F.unix_millis("start").alias("start_ms"), *[c for c in done.columns if c not in ("start", "end")])
+
+
+@query
+def stream_new_turns(spark, d):
+    """Conversations as requests that send their history again with every user turn; each turn reaches the output once."""
+    from spanguard.functions.frames import written
+    from spanguard.streaming import streams
+
+    turns = _turns(spark, d).select("conv_id", "turn", "role", "text")
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
+    asked = listed.select("conv_id", "all", F.explode(F.expr("filter(all, t -> t.role = 'user')")).alias("u"))
+    sent = asked.select(
+        F.concat_ws("/", "conv_id", "u.turn").alias("request_id"),
+        "conv_id",
+        (F.lit(setup.FIRST_CREATED) + F.col("u.turn") * 1000).alias("created_at"),
+        F.expr("transform(filter(all, t -> t.turn <= u.turn), t -> named_struct('role', t.role, 'text', t.text))").alias("turns"),
+    )
+    files = written(sent.repartition(4, "created_at"), "requests")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(files.inputFiles()[0].rsplit("/", 1)[0])
+    done = streams.stream_new_turns(stream, chain.chain_root("lexicon-1"), setup.POLICY, setup.LEXICON)
+    return _drained(spark, done.select("conv_id", "turn", "role", F.size("hits").alias("hits")), "turns")
+
+
 @query
 def stream_dedup(spark, d):
     from spanguard.streaming import streams

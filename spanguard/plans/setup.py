@@ -96,6 +96,10 @@ def event_millis() -> Column:
 
 
 def event_requests(spark: SparkSession, directory: str) -> DataFrame:
+    return event_requests_of(read_table(spark, directory, "events"))
+
+
+def event_requests_of(events: DataFrame) -> DataFrame:
     """Events as request outcomes."""
     duration = F.round(F.col("value") * 100).cast("bigint")
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -106,7 +110,7 @@ def event_requests(spark: SparkSession, directory: str) -> DataFrame:
         F.lit(',"tokenization_ms":'), F.col("event_id") % 7, F.lit(',"validation_ms":'), F.col("event_id") % 3,
         F.lit(',"forward_ms":'), k + 1, F.lit(',"decoding_ms":'), F.col("event_id") % 11, F.lit("}"),
     )
-    return read_table(spark, directory, "events").select(
+    return events.select(
         F.concat(F.lit("r"), "event_id").alias("request_id"),
         F.when(F.col("event_type") != "error", F.concat(F.lit("p"), F.col("user_id") % 5)).alias("provider_id"),
         F.element_at(F.array(*map(F.lit, FORMATS)), (F.col("event_id") % 3 + 1).cast("int")).alias("api_format"),

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spanguard.functions.frames import exploded
+from spanguard.functions.sqlx import each, each_indexed, hash_chain, let, link, lit, struct
 from spanguard.operators.chain import lookup_nodes, new_nodes, replay_or_score, turn_chain
 from spanguard.operators.extract import scannable_turns
 from spanguard.operators.metrics import request_columns
@@ -84,6 +86,36 @@ def stream_stats(
     )
 
 
+def sent_turns(requests: DataFrame, root: str) -> DataFrame:
+    """The turns of requests that carry their conversation (``request_id``, ``conv_id``, ``created_at``, ``turns`` as
+    ``array<struct<role, text>>``), one row each, with a hash that covers a turn and all before it. Map-only.
+    """
+    digests = each("turns", lambda t: f"sha2(to_json(array(coalesce({t}.role, ''), coalesce({t}.text, ''))), 256)")
+    rows = let(
+        f"cast({hash_chain(digests, lit(root))} as binary)",
+        lambda c: each_indexed("turns", lambda t, i: struct(turn=f"cast({i} as bigint)", role=f"{t}.role", text=f"{t}.text", hash=link(c, i))),
+    )
+    return exploded(requests, ["request_id", "conv_id", "created_at"], F.expr(rows), "t").select("request_id", "conv_id", "created_at", "t.*")
+
+
+def new_turns(turns: DataFrame, remembered: str = "30 days") -> DataFrame:
+    """Turns of a stream (:func:`sent_turns`) whose hash their conversation has not sent before, once each.
+
+    What was sent is keyed state, one small entry for each turn, so no batch reads what earlier ones wrote, a long conversation is dealt
+    to many tasks, and a restart goes on from the checkpoint. An entry is forgotten once the stream is ``remembered`` further on in
+    ``created_at`` (milliseconds); rows that come later than that are left out. Of several requests that bring a turn in one
+    batch any one is named. Rows without a conversation are one conversation.
+    """
+    timed = turns.withColumn("_at", F.timestamp_millis("created_at")).withWatermark("_at", remembered)
+    return timed.dropDuplicatesWithinWatermark(["conv_id", "hash"]).drop("_at")
+
+
+def stream_new_turns(requests: DataFrame, root: str, policy: Policy, scorer: Scorer, remembered: str = "30 days") -> DataFrame:
+    """Redacted rows of the turns that a stream of requests brings anew; turns of the model are part of the chain only."""
+    fresh = scannable_turns(new_turns(sent_turns(requests, root), remembered))
+    return redact_scored(scorer.with_hits(fresh, "text", "hits"), policy, "hits")
+
+
 def new_turn_batches(
     nodes_path: str,
     pool_path: str,
