@@ -14,3 +14,12 @@ def once(key, make):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def latest(key, version, make):
+    """The same for what comes in versions: only the one asked for last is kept."""
+    held = once(("latest", key), dict)
+    if version not in held:
+        held.clear()
+        held[version] = make()
+    return held[version]

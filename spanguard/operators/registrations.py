@@ -6,6 +6,7 @@ registration would multiply the work by their number.  Case is folded in one way
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from spanguard.functions.frames import exploded
 from spanguard.functions.occurrences import automaton, byte_offsets
 from spanguard.functions.sqlx import each, empty
+from spanguard.functions.worker import latest
 from spanguard.operators.policy import Policy, Registration, decision_priority, keyword_rules
 from spanguard.operators.ruletable import RuleTable
 from spanguard.schemas import HIT
@@ -66,21 +68,23 @@ def with_registered_hits(
         raise ValueError(f"registered texts hold {total} characters; at most {MAX_PATTERN_CHARACTERS} can be shipped")
 
     listed = tuple((r.text, r.group, r.case_sensitive) for r in registrations)
-    shipped = df.sparkSession.sparkContext.broadcast(listed)
+    shipped, version = df.sparkSession.sparkContext.broadcast(listed), uuid.uuid4().hex
+
+    def machine():
+        """The automaton, made once in a worker process and kept from task to task."""
+        return latest("registered texts", version, lambda: automaton(["".join(map(_fold, p[0])) for p in shipped.value]))
 
     @F.pandas_udf(f"array<{HIT}>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        patterns = shipped.value
-        machine = automaton(["".join(map(_fold, p[0])) for p in patterns])
+        patterns, found = shipped.value, machine()
         for texts in batches:
-            yield texts.map(lambda t: _scan_registered(t, patterns, machine), na_action="ignore")
+            yield texts.map(lambda t: _scan_registered(t, patterns, found), na_action="ignore")
 
     @F.pandas_udf(f"array<array<{HIT}>>")
     def search_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        patterns = shipped.value
-        machine = automaton(["".join(map(_fold, p[0])) for p in patterns])
+        patterns, found = shipped.value, machine()
         for lists in batches:
-            yield lists.map(lambda texts: [_scan_registered(t, patterns, machine) for t in texts], na_action="ignore")
+            yield lists.map(lambda texts: [_scan_registered(t, patterns, found) for t in texts], na_action="ignore")
 
     return df.withColumn(output, (search_all if nested else search)(F.col(text)))
 
@@ -188,7 +192,10 @@ def apply_decisions(rules: DataFrame, decisions: DataFrame, order: str | None =
 
 
 def backfill_category(rules: DataFrame, spans: DataFrame, default: str = "secret") -> DataFrame:
-    """Give every registration the most frequent category of its text (ties by name), or ``default``."""
+    """Give every registration the most frequent category of its text (ties by name), or ``default``.
+
+    For tables whose rules have no categories yet: one that is set is replaced.
+    """
     text = F.get_json_object("condition_json", "$.filter.pattern.text")
     usual = (
         spans.groupBy(F.col("original_text").alias("_text"), "entity_group")

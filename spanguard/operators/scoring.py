@@ -235,6 +235,20 @@ def adaptive_windows(df: DataFrame, limit: int, cost: Callable[[str], int], text
     return df.select(*kept, text).mapInPandas(cut_texts, schema)
 
 
+def window_table(limit: int, cost: Callable[[str], int]):
+    """The windows of :func:`window_cuts` as a table function of a text: ``window, char_start, chunk, byte_start``.
+
+    For lateral joins: ``df.lateralJoin(window_table(500, len)(F.col("text").outer()))``. A null text has no windows.
+    """
+
+    class Windows:
+        def eval(self, text: str):
+            for k, (first, chunk, offset) in enumerate(window_cuts(text, limit, cost) if text is not None else ()):
+                yield k, first, chunk, offset
+
+    return F.udtf(Windows, returnType="window int, char_start int, chunk string, byte_start int")
+
+
 def window_cuts(text: str, limit: int, cost: Callable[[str], int]) -> Iterator[tuple[int, str, int]]:
     """Windows of a text as (first character, window, first byte), none of which costs more than ``limit``.
 

@@ -403,6 +403,19 @@ SELECT c_custkey, word, regexp_full_match(word, {q(CREDIT)}) AND {credit_ok('wor
 FROM (SELECT c_custkey, '91' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || 'MA'
              || lpad(CAST(c_custkey * 31 % 10000000 AS VARCHAR), 7, '0')
              || substr('0123456789ABCDEFGHJKLMNPQRTUWXYZ', CAST(c_custkey % 32 AS INTEGER) + 1, 1) AS word FROM customer) t"""
+ID_TEXTS = """(SELECT o_orderkey, 'Ärzte 110105' || strftime(o_orderdate, '%Y%m%d') || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')
+  || substr('10X98765432x', CAST(o_orderkey % 12 AS INTEGER) + 1, 1)
+  || CASE o_custkey % 5 WHEN 0 THEN 'é' WHEN 1 THEN 'a' ELSE '.' END AS text FROM orders)"""
+CREDIT_TEXTS = """(SELECT c_custkey, 'ñ 91' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') || 'MA' || lpad(CAST(c_custkey * 31 % 10000000 AS VARCHAR), 7, '0')
+  || substr('0123456789ABCDEFGHJKLMNPQRTUWXYZ', CAST(c_custkey % 32 AS INTEGER) + 1, 1) || CASE WHEN c_custkey % 7 = 0 THEN '0' ELSE ' é' END AS text FROM customer)"""
+for _name, _source, _key, _group, _pattern, _ok in (
+    ("id_card_spans", ID_TEXTS, "o_orderkey", "id_card", ID_CARD, id_ok("word")),
+    ("credit_code_spans", CREDIT_TEXTS, "c_custkey", "credit_code", CREDIT, credit_ok("word")),
+):
+    ORACLES[_name] = select(
+        [candidates("c", _source, _key, "text", _pattern)],
+        f"SELECT k AS {_key}, '{_group}' AS entity_group, 1.0::DOUBLE AS score, bs AS \"start\", be AS \"end\", word FROM c WHERE {ALONE} AND {_ok}",
+    )
 ORACLES["luhn_check"] = f"""
 SELECT o_orderkey, word, {luhn('word')} AS luhn, {ISSUER.format(w='word')} AS issuer
 FROM (SELECT o_orderkey, CAST(30 + o_orderkey % 70 AS VARCHAR)
@@ -498,6 +511,23 @@ ORACLES["windows"] = select(
     window_parts(500),
     'SELECT doc_id, win AS "window", char_start, byte_start, CAST(length(chunk) AS INTEGER) AS chars FROM cuts',
 )
+_price = "length({t}) + 9 * (length({t}) - length(replace({t}, chr(10), '')))"
+ORACLES["adaptive_windows"] = f"""
+WITH RECURSIVE s AS (
+  SELECT *, greatest(size // 2, 1) AS step FROM (
+    SELECT doc_id, text, length(text) AS n, {_price.format(t="text")} AS price, greatest(9 * 400 * length(text) // (10 * greatest({_price.format(t="text")}, 1)), 1) AS size
+    FROM documents) x),
+r AS (
+  SELECT doc_id, text, [0::BIGINT] AS path, 0::BIGINT AS lo, n AS hi FROM s WHERE price <= 400
+  UNION ALL SELECT doc_id, text, [k], k * step, least(n, k * step + size)
+  FROM s, unnest(range(0, CASE WHEN n <= size THEN 1 ELSE 1 + CAST(ceil((n - size) / step) AS BIGINT) END)) AS u(k) WHERE price > 400
+), c AS (
+  SELECT * FROM r
+  UNION ALL SELECT doc_id, text, list_append(path, x), CASE WHEN x = 0 THEN lo ELSE lo + greatest((hi - lo) // 3, 1) END, CASE WHEN x = 0 THEN hi - greatest((hi - lo) // 3, 1) ELSE hi END
+  FROM c, (VALUES (0), (1)) AS v(x) WHERE {_price.format(t="substr(text, lo + 1, hi - lo)")} > 400)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS INTEGER) AS "window", CAST(lo AS INTEGER) AS char_start,
+       CAST(strlen(substr(text, 1, lo)) AS INTEGER) AS byte_start, CAST(hi - lo AS INTEGER) AS chars
+FROM c WHERE {_price.format(t="substr(text, lo + 1, hi - lo)")} <= 400"""
 _window_unions = " UNION ALL ".join(
     f"SELECT k, '{g}' AS grp, {s}::DOUBLE AS score, bs, be FROM w_{n}" for n, (g, s, _) in enumerate(SCORER)
 )
@@ -532,6 +562,10 @@ ORACLES["policy_eval"] = select(
     f"SELECT k AS doc_id, {HIT_COLUMNS}, {ACTION} AS action, {RULE} AS matched_rule_id, {PRIORITY} AS priority FROM combined",
 )
 ORACLES["policy_eval_joined"] = ORACLES["policy_eval"]
+ORACLES["loaded_policy"] = ORACLES["policy_eval"]
+ORACLES["stored_providers"] = """
+SELECT 'id' || n_nationkey AS id, n_name AS name, false AS named FROM nation UNION ALL SELECT 'id' || n_nationkey, n_name, true FROM nation WHERE n_name = (SELECT min(n_name) FROM nation)"""
+ORACLES["json_fragments"] = "SELECT p_name AS text, count(*) AS n FROM part WHERE p_partkey % 9 > 0 AND p_name <> '' GROUP BY text"
 _srule, _saction = strict_builtin("grp", "score", "word")
 ORACLES["policy_fallback"] = select(
     combined_parts(),
@@ -913,6 +947,14 @@ def _identity(**parameters: object) -> str:
 ROOT = q(_identity(version="turn-chain-2", scorer="stand-in-1", format="conversation"))
 OTHER = q(_identity(version="turn-chain-2", scorer="other", format="conversation"))
 ORACLES["turn_chain"] = "WITH RECURSIVE " + chain_cte("ch", "conversations", ROOT) + " SELECT * FROM ch"
+ORACLES["node_violations"] = (
+    "WITH RECURSIVE "
+    + chain_cte("ch", "conversations", ROOT)
+    + """ SELECT violation, count(DISTINCT hash) AS nodes FROM (
+            SELECT hash, CASE WHEN conv_id % 5 = 0 THEN 'parent' WHEN turn % 4 = 1 THEN 'fields'
+                              WHEN turn % 4 = 2 AND (strlen(text) < 2 OR NOT starts_with(text, '??')) THEN 'offsets' END AS violation
+            FROM ch JOIN conversations USING (conv_id, turn)) v WHERE violation IS NOT NULL GROUP BY violation"""
+)
 ORACLES["replay_split"] = (
     "WITH RECURSIVE "
     + chain_cte("ch", "conversations", ROOT)
@@ -946,6 +988,10 @@ WHERE n <= 400 AND total <= 100000"""
 ORACLES["stream_new_turns"] = f"""
 SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, CAST({_lexicon_count} AS INTEGER) AS hits FROM conversations c
 WHERE role <> 'assistant' AND EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn >= c.turn)"""
+ORACLES["written_pool"] = ORACLES["pool_spans"]
+ORACLES["requests_since"] = select(
+    [REQUESTS], "SELECT request_id, started_at FROM requests WHERE started_at >= (SELECT max(started_at) FROM requests) - 48 * 3600000"
+)
 ORACLES["stream_dedup"] = "SELECT DISTINCT 'u' || user_id AS request_id FROM events"
 
 # ---------------------------------------------------------------------------------------------------------------

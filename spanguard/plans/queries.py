@@ -28,6 +28,7 @@ from spanguard.operators.ruletable import RuleTable
 from spanguard.plans import replay, setup
 from spanguard.plans.pipeline import combined_hits, fragments, run_pipeline, spans
 from spanguard.plans.requests import redact_requests, request_turns
+from spanguard.session import scratch
 from spanguard.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +104,23 @@ def credit_code_check(spark, d):
     return words.withColumn("valid", F.expr(recognize.is_credit_code("word")))
 
 
+@query
+def id_card_spans(spark, d):
+    """Order texts with a number that may be an ID card's, some of them glued to letters."""
+    text = """concat('Ärzte 110105', date_format(o_orderdate, 'yyyyMMdd'), lpad(o_orderkey % 1000, 3, '0'),
+              substring('10X98765432x', cast(o_orderkey % 12 as int) + 1, 1), if(o_custkey % 5 = 0, 'é', if(o_custkey % 5 = 1, 'a', '.')))"""
+    rows = tables.read_table(spark, d, "orders").select("o_orderkey", F.expr(text).alias("text"))
+    return recognize.recognized(rows, "text", recognize.run_hits("text", ["id_card"]))
+
+
+@query
+def credit_code_spans(spark, d):
+    text = """concat('ñ 91', lpad(c_custkey % 1000000, 6, '0'), 'MA', lpad(c_custkey * 31 % 10000000, 7, '0'),
+              substring('0123456789ABCDEFGHJKLMNPQRTUWXYZ', cast(c_custkey % 32 as int) + 1, 1), if(c_custkey % 7 = 0, '0', ' é'))"""
+    rows = tables.read_table(spark, d, "customer").select("c_custkey", F.expr(text).alias("text"))
+    return recognize.recognized(rows, "text", recognize.run_hits("text", ["credit_code"]))
+
+
 @query
 def luhn_check(spark, d):
     word = "concat(cast(30 + o_orderkey % 70 as string), lpad(o_orderkey * 1000003 % 100000000000000, 14, '0'))"
@@ -214,6 +232,18 @@ def windows(spark, d):
     return cut.select("doc_id", "window", "char_start", "byte_start", F.char_length("chunk").alias("chars"))
 
 
+def dear_lines(text: str) -> int:
+    """A cost that is uneven: a line end costs as much as ten characters."""
+    return len(text) + 9 * text.count("\n")
+
+
+@query
+def adaptive_windows(spark, d):
+    cut = scoring.window_table(400, dear_lines)(F.col("text").outer())
+    rows = setup.documents(spark, d).lateralJoin(cut)
+    return rows.select("doc_id", "window", "char_start", "byte_start", F.char_length("chunk").alias("chars"))
+
+
 @query
 def window_reconcile(spark, d):
     cut = scoring.windows(setup.documents(spark, d), 300)
@@ -464,6 +494,52 @@ def occurrences_of_span(spark, d):
     return pool.occurrences_of_span(rows, found, anchor)
 
 
+@query
+def written_pool(spark, d):
+    """Spans read back from a pool that was written by day, fragments and spans together."""
+    path = scratch(spark, "by-day")
+    tables.write_pool(setup.document_pool(spark, d), path)
+    return tables.read_spans(spark, path)
+
+
+@query
+def loaded_policy(spark, d):
+    """Spans judged by a policy that was written as tables and read again."""
+    rules, fallback = scratch(spark, "rules"), scratch(spark, "fallback")
+    policy.rules_frame(spark, setup.POLICY.rules).write.parquet(rules)
+    spark.createDataFrame([("release",)], "action string").write.parquet(fallback)
+    return policy.evaluate(combined_spans(spark, d), tables.read_policy(spark, rules, fallback))
+
+
+@query
+def stored_providers(spark, d):
+    path = scratch(spark, "providers")
+    rows = tables.read_table(spark, d, "nation").select(F.concat(F.lit("id"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    rows.write.parquet(path)
+    everyone = tables.read_providers(spark, path)
+    one = tables.read_providers(spark, path, everyone.first()["name"])
+    return everyone.withColumn("named", F.lit(False)).unionByName(one.withColumn("named", F.lit(True)))
+
+
+@query
+def json_fragments(spark, d):
+    """Supplier and part names as JSON arrays of texts, one file for each of their first letters; empty texts are left out."""
+    path = scratch(spark, "fragments")
+    names = tables.read_table(spark, d, "part").select(F.when(F.col("p_partkey") % 9 > 0, F.col("p_name")).otherwise("").alias("text"))
+    listed = names.groupBy(F.substring("text", 1, 1).alias("first")).agg(F.to_json(F.collect_list(F.struct("text"))).alias("value"))
+    listed.repartition("first").write.partitionBy("first").text(path)
+    return tables.read_fragments_json(spark, path).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def requests_since(spark, d):
+    """Requests of the last 48 hours before the newest one, from a written table."""
+    path = scratch(spark, "requests")
+    setup.event_requests(spark, d).select("request_id", "started_at").write.parquet(path)
+    now = tables.read_requests(spark, path).agg(F.max("started_at")).first()[0]
+    return tables.read_requests(spark, path, metrics.since(now, 48))
+
+
 @query
 def spans_of_fragment(spark, d):
     return pool.spans_of(setup.pool_spans(spark, d), "f22")
@@ -691,6 +767,17 @@ def replay_split(spark, d):
     return split.select("conv_id", "turn", "already_audited")
 
 
+@query
+def node_violations(spark, d):
+    """Stored results of which some have another parent, none at all, or a word that is no slice of its turn."""
+    chained = chain.turn_chain(_turns(spark, d), chain.chain_root("stand-in-1")).select("conv_id", "turn", "text", "hash", "parent_hash")
+    hits = """case turn % 4 when 1 then null when 2 then array(named_struct('entity_group', 'secret', 'score', 1D, 'start', 0, 'end', 2, 'word', '??'))
+              else array(named_struct('entity_group', 'secret', 'score', 1D, 'start', 0, 'end', 0, 'word', '')) end"""
+    nodes = chained.select("hash", F.when(F.col("conv_id") % 5 == 0, "x").otherwise(F.col("parent_hash")).alias("parent_hash"), F.expr(hits).alias("hits"))
+    found = chain.node_violations(chain.lookup_nodes(chained, nodes))
+    return found.groupBy("violation").agg(F.count_distinct("hash").alias("nodes"))
+
+
 @query
 def new_nodes(spark, d):
     chained = chain.turn_chain(_turns(spark, d), chain.chain_root("stand-in-1"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanguard.functions import phrases
 from spanguard.functions.ranges import Ordered
-from spanguard.operators import ruletable
+from spanguard.operators import ruletable, scoring
 from spanguard.operators.policy import Policy, PolicyError, Rule, all_of, builtin_policy, confidence, entity, keyword, operator_rule, rules_frame
 from spanguard.operators.registrations import registered_hits
 from spanguard.operators.ruletable import RuleTable
@@ -134,3 +134,12 @@ def test_rows_are_decided_by_a_table(spark):
     key = lambda r: (r.word or "", r.score)
     got = [(r.word, r.action, r.matched_rule_id, r.priority) for r in sorted(table.evaluate(spans).collect(), key=key)]
     assert got == [(r.word, r.action, r.matched_rule_id, r.priority) for r in sorted(evaluate(spans, POLICY).collect(), key=key)]
+
+
+def test_windows_as_a_table_function(spark):
+    texts = [(1, "a\nb" * 40), (2, ""), (3, None), (4, "é" * 99), (5, "\n" * 5)]
+    rows = spark.createDataFrame(texts, "i int, text string")
+    cost = lambda t: len(t) + 9 * t.count("\n")
+    found = rows.lateralJoin(scoring.window_table(30, cost)(F.col("text").outer())).collect()
+    got = [(r.i, r.window, r.char_start, r.chunk, r.byte_start) for r in sorted(found, key=lambda r: (r.i, r.window))]
+    assert got == [(i, k, *cut[:2], cut[2]) for i, t in texts if t is not None for k, cut in enumerate(scoring.window_cuts(t, 30, cost))]
