@@ -1,6 +1,7 @@
 """Personal data, decontamination, language, extraction, sharding and resampling against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -397,6 +398,36 @@ def test_weights_follow_the_target(spark):
     assert resampling.resampled(docs.limit(0), target).count() == 0
 
 
+def test_resampling_against_plain_counts(spark):
+    """Weights from counts of words and pairs made one by one; ranks and kept rows from the keys."""
+    rng = random.Random(12)
+    say = lambda n, word: " ".join(rng.choice(["Alpha", "beta", "Ç7", word, f"{word}{rng.randrange(9)}"]) for _ in range(n))
+    rows = [(i, say(rng.randrange(0, 30), "good" if i % 3 else "bad")) for i in range(150)] + [(None, "good beta"), (500, None), (501, "!!"), (7, "twice good")]
+    target = [i for i in range(0, 150) if i % 3 and i % 2] + [7]
+    grams, where = {}, lambda text: resampling.bins(pa.array([text]))[0].tolist()
+    for _, text in rows:
+        w = word_list(text)
+        for gram in [*w, *zip(w, w[1:])]:
+            if gram not in grams:
+                grams[gram] = where(gram)[0] if isinstance(gram, str) else where(" ".join(gram))[2]
+    listed = [[grams[g] for g in [*w, *zip(w, w[1:])]] for w in (word_list(t) for _, t in rows)]
+    raw, wanted = Counter(b for bins in listed for b in bins), Counter(b for (key, _), bins in zip(rows, listed) for b in bins if key in set(target))
+    n, m = sum(raw.values()), sum(wanted.values())
+
+    def ratio(b):
+        share = (raw[b] + 0.5) / (n + 0.5 * resampling.BINS)
+        return math.log((wanted[b] + resampling.PRIOR * share) / (m + resampling.PRIOR) / share)
+
+    out = resampling.resampled(frame(spark, rows), spark.createDataFrame([(i,) for i in target], "doc_id long"), fraction=0.3, seed=5).collect()
+    plain = sorted((str(key), len(bins), round(sum(map(ratio, bins)), 9)) for (key, _), bins in zip(rows, listed))
+    assert sorted((str(r.doc_id), r.n_grams, round(r.log_weight, 9)) for r in out) == plain
+    ranked = sorted(out, key=lambda r: r["rank"])
+    assert [r["rank"] for r in ranked] == list(range(len(rows))) and all(a.gumbel_key >= b.gumbel_key for a, b in zip(ranked, ranked[1:]))
+    assert [r.kept for r in ranked] == [i < round(0.3 * len(rows)) for i in range(len(rows))]
+    noise = sorted(math.exp(-math.exp(r.log_weight - r.gumbel_key)) for r in out)  # uniform if the noise is Gumbel's
+    assert max(abs(u - (i + 0.5) / len(noise)) for i, u in enumerate(noise)) < 0.15 and len(set(noise)) == len(noise)
+
+
 # --- registered queries -------------------------------------------------------------------------------------------
 
 
