@@ -97,3 +97,35 @@ def reconcile(hits: DataFrame, keys: list[str]) -> DataFrame:
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"))
         .drop("island")
     )
+
+
+#: Widths of bins; a span lies in one or two bins of the first width that is not less than its length, and of every wider one.
+BIN_WIDTHS = tuple(64 * 4**level for level in range(13))
+
+
+def _in_bins(spans: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """A row for each bin a span lies in, from its own width on; the span as a struct, null keys as values."""
+    level = F.lit(len(BIN_WIDTHS) - 1)
+    for number in reversed(range(len(BIN_WIDTHS) - 1)):
+        level = F.when(F.col("end") - F.col("start") <= BIN_WIDTHS[number], number).otherwise(level)
+    width = F.get(F.array(*[F.lit(w).cast("bigint") for w in BIN_WIDTHS]), F.col("_wide"))
+    rows = spans.select(F.struct(*keys).alias("_key"), "start", "end", level.alias(f"_level_{side}"), F.struct(*spans.columns).alias(side))
+    wide = rows.withColumn("_wide", F.explode(F.sequence(F.col(f"_level_{side}"), F.lit(len(BIN_WIDTHS) - 1)))).withColumn("_width", width)
+    bins = F.sequence(F.expr("start div _width"), F.expr("greatest(end - 1, start) div _width"))
+    return wide.withColumn("_bin", F.explode(bins)).drop("start", "end", "_width")
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of spans (structs ``a`` and ``b``) of two tables that have the same ``keys`` and overlap; touching ones do not.
+
+    A join on key and bin: two spans meet in bins of the width that suits the longer one, and the bin that holds the later of
+    their starts owns the pair, so each pair is found once. A span makes at most two rows for each width, however long it is; no
+    text or key gathers its spans in one task. Offsets are not negative. Null keys are values; a null offset overlaps nothing.
+    """
+    a, b = _in_bins(left, keys, "a"), _in_bins(right, keys, "b")
+    met = a.join(b, ["_key", "_wide", "_bin"])
+    width = F.get(F.array(*[F.lit(w).cast("bigint") for w in BIN_WIDTHS]), F.col("_wide"))
+    suits = F.col("_wide") == F.greatest("_level_a", "_level_b")
+    owner = F.col("_bin") == F.call_function("div", F.greatest("a.start", "b.start").cast("bigint"), width)
+    strict = (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))
+    return met.where(suits & owner & strict).select("a", "b")

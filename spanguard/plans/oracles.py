@@ -478,6 +478,11 @@ ORACLES["lexicon_hits"] = select(
     ),
 )
 ORACLES["long_text_hits"] = ORACLES["lexicon_hits"]
+ORACLES["overlapping_spans"] = select(
+    [*recognizers(DOCS, "doc_id", "text"), *scorer_parts()],
+    """SELECT s.k AS doc_id, s.grp AS a_entity_group, s.bs AS a_start, s.be AS a_end, a.grp AS b_entity_group, a.bs AS b_start, a.be AS b_end
+       FROM scored s JOIN acc6 a ON a.k = s.k AND a.bs < s.be AND s.bs < a.be""",
+)
 ORACLES["combined_spans"] = select(combined_parts(), _hits.format(t="combined"))
 ORACLES["registered_hits"] = select(registered_parts(), _hits.format(t="registered"))
 ORACLES["registered_hits_automaton"] = ORACLES["registered_hits"]

@@ -191,6 +191,14 @@ def long_text_hits(spark, d):
     return exploded(scored, ["doc_id"], "hits", "h").select("doc_id", "h.*")
 
 
+@query
+def overlapping_spans(spark, d):
+    """Every scorer hit with every certain hit that it overlaps, whatever their categories."""
+    pairs = merge.overlapping(scored_spans(spark, d), arbitrated_spans(spark, d), ["doc_id"])
+    named = lambda s: [F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in ("entity_group", "start", "end")]
+    return pairs.select("a.doc_id", *named("a"), *named("b"))
+
+
 @query
 def combined_spans(spark, d):
     merged = combined_hits(setup.documents(spark, d), scorer=setup.SCORER)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanguard.functions import phrases
 from spanguard.functions.ranges import Ordered
-from spanguard.operators import ruletable, scoring
+from spanguard.operators import merge, ruletable, scoring
 from spanguard.operators.policy import Policy, PolicyError, Rule, all_of, builtin_policy, confidence, entity, keyword, operator_rule, rules_frame
 from spanguard.operators.registrations import registered_hits
 from spanguard.operators.ruletable import RuleTable
@@ -143,3 +143,13 @@ def test_windows_as_a_table_function(spark):
     found = rows.lateralJoin(scoring.window_table(30, cost)(F.col("text").outer())).collect()
     got = [(r.i, r.window, r.char_start, r.chunk, r.byte_start) for r in sorted(found, key=lambda r: (r.i, r.window))]
     assert got == [(i, k, *cut[:2], cut[2]) for i, t in texts if t is not None for k, cut in enumerate(scoring.window_cuts(t, 30, cost))]
+
+
+def test_overlapping_spans_of_all_lengths(spark):
+    rng = random.Random(4)
+    span = lambda i: (rng.choice([None, 1, 2]), (lo := rng.choice([0, 63, 64, rng.randrange(5_000), rng.randrange(2_000_000)])), lo + rng.choice([0, 1, 5, 64, 65, 300, 5_000, 3_000_000]), i)
+    left, right = [span(i) for i in range(150)], [span(i) for i in range(150)] + [(1, None, 5, 900), (1, 5, None, 901)]
+    schema = "k int, start int, end int, i int"
+    got = merge.overlapping(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"]).select("a.i", F.col("b.i").alias("j")).collect()
+    want = [(x[3], y[3]) for x in left for y in right if x[0] == y[0] and None not in y[1:3] and x[1] < y[2] and y[1] < x[2]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1_000
