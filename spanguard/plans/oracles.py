@@ -1044,6 +1044,33 @@ ORACLES["label_dim"] = select(
         FROM (SELECT i, CASE WHEN i > 0 THEN {LABELS}[(i - 1) // 4 + 1] END AS g,
                      CASE WHEN i > 0 THEN ['B', 'I', 'E', 'S'][(i - 1) % 4 + 1] ELSE 'O' END AS b FROM range(33) t(i)) x""",
 )
+_starts = lambda x: f"({x} = 0 OR ({x} - 1) % 4 IN (0, 3))"
+_ends = lambda x: f"({x} = 0 OR ({x} - 1) % 4 IN (2, 3))"
+_may_follow = f"CASE WHEN {_ends('j')} THEN {_starts('i')} ELSE i > 0 AND (i - 1) // 4 = (j - 1) // 4 AND (i - 1) % 4 IN (1, 2) END"
+#: For every label the best path that ends in it, token by token; of equal ones the lowest label before.
+BEST_PATHS = f"""paths AS (
+  SELECT doc_id, token_idx, list_transform(range(0, 33), lambda i:
+           {{'s': CASE WHEN {_starts('i')} THEN logits[i + 1]::DOUBLE ELSE '-inf'::DOUBLE END, 'n': 0::BIGINT, 'p': [i]}}) AS best
+  FROM tok WHERE token_idx = 0
+  UNION ALL
+  SELECT t.doc_id, t.token_idx, list_transform(
+           list_transform(range(0, 33), lambda i: {{'i': i, 'm': list_max(list_transform(range(0, 33), lambda j:
+             {{'s': CASE WHEN {_may_follow} THEN best[j + 1].s + logits[i + 1]::DOUBLE ELSE '-inf'::DOUBLE END, 'n': -j, 'p': best[j + 1].p}}))}}),
+           lambda x: {{'s': x.m.s, 'n': 0::BIGINT, 'p': list_append(x.m.p, x.i)}})
+  FROM paths JOIN tok t ON t.doc_id = paths.doc_id AND t.token_idx = paths.token_idx + 1),
+chosen AS (
+  SELECT doc_id, list_max(list_transform(range(0, 33), lambda i:
+           {{'s': CASE WHEN {_ends('i')} THEN best[i + 1].s ELSE '-inf'::DOUBLE END, 'n': -i, 'p': best[i + 1].p}})).p AS path
+  FROM paths p WHERE token_idx = (SELECT max(token_idx) FROM tok t WHERE t.doc_id = p.doc_id)),
+lab AS MATERIALIZED (
+  SELECT *, CASE WHEN label_id = 0 THEN NULL ELSE {LABELS}[(label_id - 1) // 4 + 1] END AS grp,
+         CASE WHEN label_id = 0 THEN 'O' ELSE ['B', 'I', 'E', 'S'][(label_id - 1) % 4 + 1] END AS mark,
+         exp(logits[label_id + 1]::DOUBLE - list_max(logits)::DOUBLE) / list_sum(list_transform(logits, lambda x: exp(x::DOUBLE - list_max(logits)::DOUBLE))) AS probability
+  FROM (SELECT t.*, CAST(path[token_idx + 1] AS INTEGER) AS label_id FROM tok t JOIN chosen c USING (doc_id)) x)"""
+ORACLES["viterbi_spans"] = (
+    f"WITH RECURSIVE {tokens_cte('tok')},\n{BEST_PATHS},\n{spans_cte('sp', 'lab')}"
+    ' SELECT doc_id, entity_group, "start", "end", round(score, 9) AS score FROM sp'
+)
 ORACLES["bioes_spans"] = select(
     [tokens_cte("tok"), labelled_cte("lab", "tok"), spans_cte("sp", "lab")],
     'SELECT doc_id, entity_group, "start", "end", round(score, 9) AS score FROM sp',
