@@ -497,6 +497,18 @@ ORACLES["category_dim"] = select(
 )
 
 
+_IMAGES = """img AS (
+  SELECT c_custkey, c_name, c_custkey % 5 > 0 AS whole, to_base64(from_hex(CASE c_custkey % 3
+           WHEN 0 THEN '89504E470D0A1A0A0000000D49484452' || x || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '49454E44AE426082' END
+           WHEN 1 THEN 'FFD8FFE0' || x || x || x || CASE WHEN c_custkey % 5 = 0 THEN '0000' ELSE 'FFD9' END
+           ELSE '474946383961' || x || x || CASE WHEN c_custkey % 5 = 0 THEN '00' ELSE '3B' END END)) AS b
+  FROM (SELECT *, lpad(to_hex(c_custkey), 16, '0') AS x FROM customer) c)"""
+ORACLES["image_ranges"] = select([_IMAGES], 'SELECT c_custkey, 7 AS "start", CAST(7 + length(b) AS INTEGER) AS "end" FROM img WHERE whole')
+ORACLES["image_scoring_texts"] = select(
+    [_IMAGES], "SELECT c_custkey, 'é see ' || CASE WHEN whole THEN repeat(' ', length(b)) ELSE b END || ' then ' || c_name AS seen FROM img"
+)
+
+
 def window_parts(limit: int) -> list[str]:
     return [
         f"""sized AS MATERIALIZED (

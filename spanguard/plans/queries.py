@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanguard.functions import checks
+from spanguard.functions import checks, content
 from spanguard.functions.frames import exploded
 from spanguard.functions.sqlx import let, struct
 from spanguard.operators import (
@@ -234,6 +234,27 @@ def setup_categories():
     return CATEGORIES
 
 
+def _image_texts(spark, d):
+    """Customers as texts with a small PNG, JPEG or GIF in base64; one in five has lost its last bytes."""
+    payload = "lpad(hex(c_custkey), 16, '0')"
+    data = f"""case c_custkey % 3 when 0 then concat('89504E470D0A1A0A0000000D49484452', {payload}, if(c_custkey % 5 = 0, '', '49454E44AE426082'))
+        when 1 then concat('FFD8FFE0', {payload}, {payload}, {payload}, if(c_custkey % 5 = 0, '0000', 'FFD9'))
+        else concat('474946383961', {payload}, {payload}, if(c_custkey % 5 = 0, '00', '3B')) end"""
+    text = F.expr(f"concat('é see ', base64(unhex({data})), ' then ', c_name)")
+    return tables.read_table(spark, d, "customer").select("c_custkey", text.alias("text"))
+
+
+@query
+def image_ranges(spark, d):
+    return exploded(_image_texts(spark, d), ["c_custkey"], F.expr(content.image_ranges("text")), "r").select("c_custkey", "r.*")
+
+
+@query
+def image_scoring_texts(spark, d):
+    """What a scorer sees of those texts."""
+    return _image_texts(spark, d).select("c_custkey", F.expr(content.scoring_text("text")).alias("seen"))
+
+
 @query
 def windows(spark, d):
     cut = scoring.windows(setup.documents(spark, d), 500)
