@@ -509,6 +509,21 @@ ORACLES["image_scoring_texts"] = select(
 )
 
 
+_BLANK = "[\\s\\x{A0}\\x{3000}]"
+ORACLES["trimmed_hits"] = f"""
+WITH t AS (SELECT doc_id, ' ' || chr(160) || chr(9) || substr(text, doc_id % 50 + 1, 10) || chr(12288) || ' é' || chr(10) AS x FROM documents),
+h AS (
+  SELECT doc_id, x, 0 AS nth, true AS valid, 0 AS lo, length(x) AS hi FROM t
+  UNION ALL SELECT doc_id, x, 1, false, 0, 0 FROM t UNION ALL SELECT doc_id, x, 2, false, 0, 0 FROM t
+  UNION ALL SELECT doc_id, x, 3, true, 2, length(x) - 3 FROM t
+  UNION ALL SELECT doc_id, x, 4, false, 0, 0 FROM t UNION ALL SELECT doc_id, x, 5, true, 0, 2 FROM t),
+w AS (SELECT *, substr(x, lo + 1, hi - lo) AS word FROM h),
+e AS (SELECT *, CASE WHEN regexp_full_match(word, '{_BLANK}*') THEN 0 ELSE strlen(regexp_extract(word, '^{_BLANK}*')) END AS lead,
+             CASE WHEN regexp_full_match(word, '{_BLANK}*') THEN 0 ELSE strlen(regexp_extract(word, '{_BLANK}*$')) END AS tail FROM w)
+SELECT doc_id, nth, valid, CASE WHEN valid THEN CAST(strlen(substr(x, 1, lo)) + lead AS INTEGER) END AS "start",
+       CASE WHEN valid THEN CAST(strlen(substr(x, 1, hi)) - tail AS INTEGER) END AS "end" FROM e"""
+
+
 def window_parts(limit: int) -> list[str]:
     return [
         f"""sized AS MATERIALIZED (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanguard.functions import checks, content
+from spanguard.functions import checks, content, offsets
 from spanguard.functions.frames import exploded
 from spanguard.functions.sqlx import let, struct
 from spanguard.operators import (
@@ -255,6 +255,20 @@ def image_scoring_texts(spark, d):
     return _image_texts(spark, d).select("c_custkey", F.expr(content.scoring_text("text")).alias("seen"))
 
 
+@query
+def trimmed_hits(spark, d):
+    """Hits with blank edges, inside a character, beyond the end or turned round: which are usable, and what is left of them."""
+    text = F.concat(F.lit(" \u00a0\t"), F.expr("substring(text, cast(doc_id % 50 as int) + 1, 10)"), F.lit("\u3000 é\n"))
+    rows = setup.documents(spark, d).select("doc_id", text.alias("text")).withColumn("raw", F.col("text").cast("binary"))
+    size = "octet_length(raw)"
+    hits = f"""array(named_struct('start', 0, 'end', {size}), named_struct('start', 2, 'end', {size}), named_struct('start', 0, 'end', {size} + 1),
+        named_struct('start', 3, 'end', {size} - 4), named_struct('start', 5, 'end', 4), named_struct('start', 0, 'end', 3))"""
+    listed = rows.select("doc_id", "raw", F.posexplode(F.expr(hits)).alias("nth", "h"))
+    usable = listed.withColumn("valid", F.expr(offsets.valid_hit("raw", "h")))
+    left = F.when(F.col("valid"), F.expr(offsets.trimmed("raw", "h.start", "h.end")))
+    return usable.withColumn("t", left).select("doc_id", "nth", "valid", "t.start", "t.end")
+
+
 @query
 def windows(spark, d):
     cut = scoring.windows(setup.documents(spark, d), 500)
