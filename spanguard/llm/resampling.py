@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanguard.llm.bytetext import ALPHANUMERIC, Hasher, mixed, slices, words
-from spanguard.llm.rows import numbered
+from spanguard.llm.rows import numbered, stored
 from spanguard.llm.worker import kept
 
 BINS = 1 << 14
@@ -79,5 +79,6 @@ def resampled(df: DataFrame, target_ids: DataFrame, key: str = "doc_id", text: s
     uniform = (F.pmod(F.xxhash64("__key", "__text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = rows.select("__key", weight(rows, "__text", table).alias("w"), (-F.log(-F.log(uniform))).alias("noise"))
     small = scored.select(F.col("__key").alias(key), F.col("w.weight").alias("log_weight"), F.col("w.grams").alias("n_grams"), (F.col("w.weight") + F.col("noise")).alias("gumbel_key"))
-    ranked = numbered(small, [F.col("gumbel_key").desc(), F.col(key).asc_nulls_last()], "rank", total="__n")
+    # Written before it is sorted: sorting by range reads its input twice, and the weights cost a pass over all texts.
+    ranked = numbered(stored(small, "weights"), [F.col("gumbel_key").desc(), F.col(key).asc_nulls_last()], "rank", total="__n")
     return ranked.withColumn("kept", F.col("rank") < F.round(F.col("__n") * fraction)).drop("__n")
