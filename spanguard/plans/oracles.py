@@ -632,7 +632,7 @@ ORACLES["redacted_documents"] = select(
 def table_rule_parts() -> list[str]:
     """The rules on single texts as a table, and every place in a document where one of their texts stands."""
     return [
-        """decisions AS MATERIALIZED (
+        r"""decisions AS MATERIALIZED (
   SELECT 'decision.' || doc_id AS id, lower(word) AS low, doc_id % 3 = 0 AS releases,
          ['secret', 'private_person', 'private_address', 'private_date'][doc_id % 4 + 1] AS category
   FROM (SELECT doc_id, substr(text, doc_id % 40 + 1, 12 + doc_id % 3) AS word,
@@ -640,12 +640,17 @@ def table_rule_parts() -> list[str]:
         FROM documents WHERE length(text) >= 60) w WHERE nth = 1 AND regexp_matches(word, '[^\s]')
   UNION ALL SELECT 'customer.' || c_custkey || '.' || n, lower(c_name || ' ' || n), n % 2 = 0, 'account_number' FROM customer, unnest(range(1, 51)) AS u(n)
   UNION ALL SELECT 'part.' || p_partkey || '.' || n, lower(p_name || ' ' || p_brand || ' ' || n), n % 2 = 0, 'account_number' FROM part, unnest(range(1, 16)) AS u(n))""",
-        """places AS MATERIALIZED (
-  SELECT doc_id AS k, text, cs, lower(substr(text, cs + 1, 12)) AS head
-  FROM (SELECT doc_id, text, unnest(range(0, length(text) - 11)) AS cs FROM documents WHERE length(text) >= 12) p)""",
+        # In blocks of 1,000 characters: the place of a character in a long text takes long to find.
+        """blocks AS MATERIALIZED (
+  SELECT doc_id AS k, b * 1000 AS base, substr(text, b * 1000 + 1, 1011) AS part
+  FROM documents, unnest(range(0, length(text) // 1000 + 1)) AS u(b)),
+places AS MATERIALIZED (
+  SELECT k, base + i AS cs, lower(substr(part, i + 1, 12)) AS head
+  FROM (SELECT k, base, part, unnest(range(0, least(1000, length(part) - 11))) AS i FROM blocks WHERE length(part) >= 12) p)""",
         """registered AS MATERIALIZED (
   SELECT k, r.category AS grp, 1.0::DOUBLE AS score, cs, cs + length(low) AS ce, substr(text, cs + 1, length(low)) AS word, r.id, r.releases
-  FROM places p JOIN decisions r ON substr(r.low, 1, 12) = p.head AND lower(substr(text, cs + 1, length(low))) = low)""",
+  FROM (SELECT p.k, p.cs, r.* FROM places p JOIN decisions r ON substr(r.low, 1, 12) = p.head) r JOIN documents d ON d.doc_id = r.k
+  WHERE lower(substr(text, cs + 1, length(low))) = low)""",
     ]
 
 
