@@ -139,6 +139,10 @@ class Reader:
         return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
+#: Ids that a task reads back.
+READ_IDS = 1 << 22
+
+
 def _written(folder: str, key: str, text: str, tokenizer: str):
     """Writes the file of a task and returns its chunks: where each starts in the file's documents, and their keys."""
 
@@ -185,11 +189,14 @@ def written(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
 
 
 def _read(batches):
+    reader, opened = None, None
     for batch in batches:
         for row in range(batch.num_rows):
             take = {n: batch.column(batch.schema.get_field_index(n))[row].as_py() for n in ("path", "first", "before")}
             keys = batch.column(batch.schema.get_field_index("keys"))[row].values
-            reader, start = Reader(take["path"]), take["before"]
+            if take["path"] != opened:  # rows of a file follow each other
+                reader, opened = Reader(take["path"]), take["path"]
+            start = take["before"]
             starts, sizes, sums = [], [], []
             for number in range(take["first"], take["first"] + len(keys)):
                 ids = reader.document(number)
@@ -201,7 +208,11 @@ def _read(batches):
 
 
 def read_back(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each document, from the files: key, ids before it, its ids and their checksum."""
+    """One row for each document, from the files: key, ids before it, its ids and their checksum.
+
+    The number of tasks follows the ids in the files; the manifest alone, a few bytes a document, would fit one.
+    """
     kind = manifest.schema["keys"].dataType.elementType.simpleString()
-    runs = manifest.select("path", "first", "before", "keys").repartition("path", "first")
+    tasks = 1 + (manifest.agg(F.sum("ids")).first()[0] or 0) // READ_IDS
+    runs = manifest.select("path", "first", "before", "keys").repartition(tasks, "path", "first").sortWithinPartitions("path", "first")
     return runs.mapInArrow(_read, f"key {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
