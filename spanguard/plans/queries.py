@@ -1054,8 +1054,9 @@ def _drained(spark, frame, name: str, complete: bool = False) -> DataFrame:
 
 
 def _table_stream(spark, d, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of parts; a pattern, as a stream takes no plain path of a file."""
     schema = tables.read_table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 @query
