@@ -38,5 +38,5 @@ def apart(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """The rows written below the shared folder of the cluster and read again: made once, whoever reads them."""
     path = scratch(df.sparkSession, name)
-    df.write.partitionBy(*partitions).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanguard.functions.frames import exploded, written
+from spanguard.functions.frames import apart, exploded, with_rows_where, written
 from spanguard.operators.extract import collected_by_format, parse_requests
 from spanguard.operators.policy import Policy
 from spanguard.operators.recognize import Recognizers
@@ -65,7 +65,8 @@ def replayed(requests: DataFrame, nodes: DataFrame | None, roots: dict[str, str]
     owners = parts.groupBy("hash").agg(F.min(place).alias("first")).join(stored.select("hash"), "hash", "left_anti")
     owned = owners.groupBy("first._row").agg(F.array_sort(F.collect_list("first.turn")).alias("owned"))
 
-    asked = turned.select("_row", "turns", "fields").join(owned, "_row")
+    # The small side of these joins is hashed, so rows that hold texts are dealt once and never sorted.
+    asked = turned.select("_row", "turns", "fields").join(owned.hint("shuffle_hash"), "_row")
     texts = "flatten(transform(owned, k -> transform(turns[k].fields, i -> fields[i].text)))"
     asked = asked.withColumn("_missing", F.expr(f"filter({texts}, t -> t <> '')")).withColumn("_distinct", F.array_distinct("_missing"))
     scored = scorer.with_nested_hits(asked, "_distinct", "_hits")
@@ -80,11 +81,12 @@ def replayed(requests: DataFrame, nodes: DataFrame | None, roots: dict[str, str]
 
     known = parts.join(stored.unionByName(fresh), "hash").select("_row", F.struct("turn", "parent_hash", "entities").alias("part"))
     gathered = known.groupBy("_row").agg(F.array_sort(F.collect_list("part")).alias("_parts"))
-    rows = turned.join(gathered, "_row", "left").join(scored.select("_row", "owned", "inferred", "repeated"), "_row", "left")
+    gathered = gathered.join(scored.select("_row", "owned", "inferred", "repeated"), "_row", "full")
+    rows = turned.join(gathered.hint("shuffle_hash"), "_row", "left")
     rows = rows.withColumn("owned", F.coalesce("owned", F.array().cast("array<int>"))).withColumn("_parts", F.coalesce("_parts", F.array().cast(dict(gathered.dtypes)["_parts"])))
     placed = """array_sort(flatten(transform(turns, (t, k) -> transform(t.fields, (i, j) -> named_struct('i', i,
         'hits', get(get(_parts, k).entities, j), 'audited', not array_contains(owned, k))))))"""
-    rows = rows.withColumn("_placed", F.expr(placed))
+    rows = apart(rows.withColumn("_placed", F.expr(placed)))  # made once for all that is read from it
     fits = F.expr(
         """size(_placed) = size(fields) and not exists(_parts, p -> not (p.parent_hash <=> turns[p.turn].parent_hash)
            or size(p.entities) <> size(turns[p.turn].fields)) and not exists(_placed, x -> exists(x.hits, h ->
@@ -93,21 +95,20 @@ def replayed(requests: DataFrame, nodes: DataFrame | None, roots: dict[str, str]
     )
     rows = rows.withColumn("_fits", F.coalesce(fits, F.lit(False)))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    done = written(
-        rows.withColumns(
-            {
-                "_texts": F.expr("transform(fields, f -> f.text)"),
-                "_scored": F.expr("transform(_placed, x -> x.hits)"),
-                "audited": F.expr("transform(_placed, x -> x.audited)"),
-                "cached_fragments": F.expr("cast(size(filter(_placed, x -> x.audited)) as bigint)"),
-                "deduplicated_fragments": count("repeated"),
-                "inferred_fragments": count("inferred"),
-            }
-        ).drop("_row", "_parts", "_placed", "owned", "inferred", "repeated"),
-        "replayed",
-    )
-    unfit = done.where("not _fits").select(*requests.columns, F.lit("stored_result").alias("reject_reason"))
-    return Replay(done.where("_fits").drop("_fits"), fresh, quarantine.select(*requests.columns, "reject_reason").unionByName(unfit))
+    # Not written: bodies and texts lie in "turns" and hits in "stored" and "scored" already, whoever reads this takes only the columns
+    # it needs, and one who wants the nodes alone never makes it.
+    done = rows.withColumns(
+        {
+            "_texts": F.expr("transform(fields, f -> f.text)"),
+            "_scored": F.expr("transform(_placed, x -> x.hits)"),
+            "audited": F.expr("transform(_placed, x -> x.audited)"),
+            "cached_fragments": F.expr("cast(size(filter(_placed, x -> x.audited)) as bigint)"),
+            "deduplicated_fragments": count("repeated"),
+            "inferred_fragments": count("inferred"),
+        }
+    ).drop("_row", "_parts", "_placed", "owned", "inferred", "repeated")
+    unfit = with_rows_where(done, ~F.col("_fits")).select(*requests.columns, F.lit("stored_result").alias("reject_reason"))
+    return Replay(with_rows_where(done, F.col("_fits")).drop("_fits"), fresh, quarantine.select(*requests.columns, "reject_reason").unionByName(unfit))
 
 
 def request_outcomes(processed: DataFrame, started_at: Column | None = None) -> DataFrame:
