@@ -7,7 +7,7 @@ overrule overlapping spans of the other action, merge redacted ranges and put pl
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spanguard.functions.content import image_ranges
@@ -451,10 +451,15 @@ def _with_places(df: DataFrame, text: str) -> DataFrame:
     Texts without a confirmed credential are not handed to Python.
     """
 
-    @F.pandas_udf(f"array<array<{RANGE}>>")
-    def search(texts: pd.Series, values: pd.Series) -> pd.Series:
-        rows = [None if t is None else literal_occurrences(t, list(v)) for t, v in zip(texts, values)]
-        return pd.Series(rows, index=texts.index, dtype=object)
+    kind = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    @F.arrow_udf(f"array<array<{RANGE}>>")
+    def search(texts: pa.Array, values: pa.Array) -> pa.Array:
+        def places(text: str, wanted: list[str]) -> list[list[dict]]:
+            return [[{"start": a, "end": b} for a, b in found] for found in literal_occurrences(text, wanted)]
+
+        # One text at a time: a worker holds its batch once.
+        return pa.array([places(t.as_py(), v.as_py()) if t.is_valid else None for t, v in zip(texts, values)], kind)
 
     wanted = F.size("_values") > 0
     return df.withColumn("_values", F.expr(let("_decided", confirmed_values))).withColumn(

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from spanguard.functions.frames import exploded
@@ -20,6 +20,8 @@ from spanguard.operators.policy import Policy, Registration, decision_priority,
 from spanguard.operators.ruletable import RuleTable
 from spanguard.schemas import HIT
 
+ARROW_HITS = pa.list_(pa.struct([("entity_group", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("word", pa.string())]))
+
 #: The pattern list is shipped to every task; more characters than this are refused instead of broadcast.
 MAX_PATTERN_CHARACTERS = 64_000_000
 
@@ -32,9 +34,16 @@ def _fold(character: str) -> str:
     return "σ" if lowered == "ς" else lowered
 
 
+def _folded(text: str) -> str:
+    """Every character of a text through :func:`_fold`, at once: of all characters only İ has a longer small form."""
+    if text.isascii():
+        return text.lower()
+    return "İ".join(part.lower() for part in text.split("İ")).replace("ς", "σ")
+
+
 def _scan_registered(text: str, registrations: tuple[tuple[str, str, bool], ...], machine) -> list[tuple]:
     found = []
-    for last, indexes in machine.iter("".join(map(_fold, text))):
+    for last, indexes in machine.iter(_folded(text)):
         for index in indexes:
             needle, group, sensitive = registrations[index]
             first = last + 1 - len(needle)
@@ -44,7 +53,8 @@ def _scan_registered(text: str, registrations: tuple[tuple[str, str, bool], ...]
     found.sort(key=lambda f: f[:2])
     offsets = byte_offsets(text) if found else ()
     return [
-        (group, 1.0, int(offsets[first]), int(offsets[first + len(window)]), window) for _, first, window, group in found
+        dict(entity_group=group, score=1.0, start=int(offsets[first]), end=int(offsets[first + len(window)]), word=window)
+        for _, first, window, group in found
     ]
 
 
@@ -72,19 +82,22 @@ def with_registered_hits(
 
     def machine():
         """The automaton, made once in a worker process and kept from task to task."""
-        return latest("registered texts", version, lambda: automaton(["".join(map(_fold, p[0])) for p in shipped.value]))
+        return latest("registered texts", version, lambda: automaton([_folded(p[0]) for p in shipped.value]))
 
-    @F.pandas_udf(f"array<{HIT}>")
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Texts are taken out of a batch one at a time, so a worker holds a batch once and no second form of it.
+    @F.arrow_udf(f"array<{HIT}>")
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         patterns, found = shipped.value, machine()
         for texts in batches:
-            yield texts.map(lambda t: _scan_registered(t, patterns, found), na_action="ignore")
+            read = (t.as_py() for t in texts)
+            yield pa.array([None if t is None else _scan_registered(t, patterns, found) for t in read], ARROW_HITS)
 
-    @F.pandas_udf(f"array<array<{HIT}>>")
-    def search_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(f"array<array<{HIT}>>")
+    def search_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         patterns, found = shipped.value, machine()
         for lists in batches:
-            yield lists.map(lambda texts: [_scan_registered(t, patterns, found) for t in texts], na_action="ignore")
+            read = (x.as_py() for x in lists)
+            yield pa.array([None if x is None else [_scan_registered(t, patterns, found) for t in x] for x in read], pa.list_(ARROW_HITS))
 
     return df.withColumn(output, (search_all if nested else search)(F.col(text)))
 
