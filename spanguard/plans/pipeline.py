@@ -45,6 +45,7 @@ def redact_scored(
     ``scored`` is an ``array<HIT>`` column; it may come from a scorer or from stored results.
     """
     recognizers = recognizers or Recognizers()
+    policy = policy.narrowed(df, text) if isinstance(policy, RuleTable) else policy
     certain = recognizers.with_hits(df, text, "_certain")
     registered = with_policy_hits(certain, text, "_registered", policy)
     merged = combined("_certain", f"`{scored}`", recognizers.authoritative())

@@ -412,10 +412,12 @@ def registered_table_redaction(spark, d):
 def registered_table_rules(spark, d):
     """How many spans each rule of that table has decided; the 50 with the most."""
     found = combined_hits(setup.documents(spark, d), scorer=setup.SCORER)
-    rules = RuleTable(setup.decision_rules(spark, d))
+    rules = RuleTable(setup.decision_rules(spark, d)).narrowed(found, "text")
     hits = rules.with_registered_hits(found.select("doc_id", "text"), "text", "hits")
     spans = exploded(hits, ["doc_id"], "hits", "h").select("doc_id", "h.*")
-    counted = rules.evaluate(spans).groupBy("matched_rule_id", "action", "priority").agg(F.count(F.lit(1)).alias("spans"))
+    # Spans are decided by these three: those that are equal in them are counted before.
+    alike = spans.groupBy("entity_group", "score", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = rules.evaluate(alike).groupBy("matched_rule_id", "action", "priority").agg(F.sum("n").alias("spans"))
     return counted.orderBy(F.desc("spans"), "matched_rule_id").limit(50)
 
 

@@ -39,6 +39,7 @@ def redact_requests(
 
 def redact_scored_fields(scored: DataFrame, policy: Policy | RuleTable, recognizers: Recognizers | None = None) -> DataFrame:
     """What :func:`redact_requests` adds, from requests with their ``fields``, the texts of these and the scorer's hits on each."""
+    policy = policy.narrowed(scored, "_texts", nested=True) if isinstance(policy, RuleTable) else policy
     registered = with_policy_hits(scored, "_texts", "_registered", policy, nested=True)
     closed = (recognizers or Recognizers()).authoritative()
 

@@ -148,11 +148,14 @@ def decision_rules(spark: SparkSession, directory: str) -> DataFrame:
     pattern = F.struct(F.col("word").alias("text"), F.lit("exact").alias("kind"), F.lit(False).alias("case_sensitive"))
     condition = F.struct(F.lit("filter").alias("kind"), F.struct(F.lit("keyword").alias("kind"), pattern.alias("pattern")).alias("filter"))
     action = F.when(F.col("releases"), "release").otherwise("redact")
+    # A word without escapes is put between the two halves of its condition.
+    before, behind = F.lit('{"kind":"filter","filter":{"kind":"keyword","pattern":{"text":"'), F.lit('","kind":"exact","case_sensitive":false}}}')
+    condition = F.when(~F.col("word").rlike(r'["\\\x00-\x1f]'), F.concat(before, "word", behind)).otherwise(F.to_json(condition))
     decided = texts.select(
         "id",
         F.concat(F.lit("approval."), action).alias("name"),
         F.when(F.col("releases"), decision_priority("release")).otherwise(decision_priority("redact")).alias("priority"),
-        F.to_json(condition).alias("condition_json"),
+        condition.alias("condition_json"),
         action.alias("action"),
         F.lit(True).alias("enabled"),
         F.lit("approval").alias("source"),
